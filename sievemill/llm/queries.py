@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, ngram_join, packing, sharding, topk
+from . import langid, mixing, ngram_join, packing, pii, sharding, topk
 from .common import table
 
 
@@ -29,6 +29,13 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs.where(~langid.held_out()).select("doc_id", "text", "lang"))
+    said = langid.identify(docs, model)
+    return said.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mix_documents(docs, weights=[3, 1, 2], percent=150).select("doc_id", "size", "source_size", "target", "taken")
@@ -38,12 +45,18 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(table(spark, sf_dir, "documents"), n=5, percent=80)
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     "op2_packing": op2_packing,
     "op3_topk": op3_topk,
     "op5_sharding": op5_sharding,
+    "op6_langid": op6_langid,
     "op8_mixing": op8_mixing,
     "op9_ngram_join": op9_ngram_join,
+    "op10_pii": op10_pii,
 }
 
 ORACLES = {
