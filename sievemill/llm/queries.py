@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, ngram_join, packing, pii, sharding, topk
+from . import langid, mixing, neardup, ngram_join, packing, pii, sharding, topk
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(rows, rows.where("vec_id % 50 = 0"), k=5)
 
 
+def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     dealt = sharding.shard_documents(table(spark, sf_dir, "documents"), shards=24)
     return dealt.select(
@@ -52,6 +56,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_packing": op2_packing,
     "op3_topk": op3_topk,
+    "op4_neardup": op4_neardup,
     "op5_sharding": op5_sharding,
     "op6_langid": op6_langid,
     "op8_mixing": op8_mixing,
@@ -60,6 +65,19 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op4_neardup": """
+        WITH RECURSIVE v AS (
+          SELECT vec_id, label, [CAST(x AS DOUBLE) FOR x IN embedding] AS v FROM embeddings
+          WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+            AND len([x FOR x IN embedding IF x <> 0]) > 0
+        ), e AS (
+          SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+          WHERE list_cosine_similarity(a.v, b.v) >= 0.93
+        ), r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+        n AS (SELECT a, count(*) AS n FROM e GROUP BY a), m AS (SELECT a, min(b) AS b FROM r GROUP BY a)
+        SELECT vec_id, coalesce(n.n, 0) AS n_links, least(vec_id, coalesce(m.b, vec_id)) AS component_id,
+               least(vec_id, coalesce(m.b, vec_id)) = vec_id AS kept
+        FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN m ON m.a = vec_id""",
     "op9_ngram_join": r"""
         WITH RECURSIVE w AS (
           SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
