@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, neardup, ngram_join, packing, pii, sharding, topk
+from . import langid, line_dedup, mixing, neardup, ngram_join, packing, pii, sharding, topk
 from .common import table
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = line_dedup.dedup_lines(docs, k=8, percent=80)
+    return kept.select("doc_id", "n_lines", "n_kept", F.length("text").cast("long").alias("n_chars"), F.crc32("text").alias("text_crc32"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -54,6 +60,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_packing": op2_packing,
     "op3_topk": op3_topk,
     "op4_neardup": op4_neardup,
