@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, line_dedup, mixing, neardup, ngram_join, packing, pii, sharding, topk
+from . import langid, line_dedup, mixing, neardup, ngram_join, packing, pii, quality, sharding, topk
 from .common import table
 
 
@@ -46,6 +46,11 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return said.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality.classify(docs, labels, quantile=0.99).drop("text_key")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mix_documents(docs, weights=[3, 1, 2], percent=150).select("doc_id", "size", "source_size", "target", "taken")
@@ -66,6 +71,7 @@ QUERIES = {
     "op4_neardup": op4_neardup,
     "op5_sharding": op5_sharding,
     "op6_langid": op6_langid,
+    "op7_quality": op7_quality,
     "op8_mixing": op8_mixing,
     "op9_ngram_join": op9_ngram_join,
     "op10_pii": op10_pii,
