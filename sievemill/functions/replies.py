@@ -9,6 +9,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import RUBRIC_MAX, RUBRIC_MIN, RUBRIC_WEIGHTS
 
@@ -49,7 +50,11 @@ def _text(value) -> str:
     return value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
 
 
-@F.pandas_udf("array<struct<instruction:string,response:string>>")
+_EXAMPLES = T.ArrayType(T.StructType([T.StructField("instruction", T.StringType()), T.StructField("response", T.StringType())]))
+_VERDICTS = T.ArrayType(T.StructType([T.StructField("id", T.IntegerType()), T.StructField("pass", T.BooleanType())]))
+
+
+@F.pandas_udf(_EXAMPLES)
 def _example_items(texts: pd.Series) -> pd.Series:
     def parse(text):
         out = []
@@ -72,7 +77,7 @@ def parse_examples(replies: DataFrame, text: str = "reply", keep: tuple[str, ...
     return rows.withColumn("example_id", F.concat_ws("-", *keep, tail))
 
 
-@F.pandas_udf("array<struct<id:int,pass:boolean>>")
+@F.pandas_udf(_VERDICTS)
 def _verdict_items(texts: pd.Series) -> pd.Series:
     def parse(text):
         out = []
@@ -110,7 +115,7 @@ def balanced_objects(text: str) -> list[str]:
     return out
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def object_blocks(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: balanced_objects(t or ""))
 
@@ -134,6 +139,6 @@ def rubric_of(text: str | None) -> dict[str, int]:
     return {}
 
 
-@F.pandas_udf("map<string,int>")
+@F.pandas_udf(T.MapType(T.StringType(), T.IntegerType()))
 def parse_rubric(texts: pd.Series) -> pd.Series:
     return texts.map(rubric_of)

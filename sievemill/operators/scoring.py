@@ -55,10 +55,11 @@ def accepted(rows: DataFrame) -> DataFrame:
 def funnel(rows: DataFrame) -> DataFrame:
     """stage, outcome, n in one pass over rows with prefilter_score, verdict and, where deduplicated, reason."""
     reason = F.col("reason") if "reason" in rows.columns else F.lit(None).cast("string")
+    told = lambda stage, outcome: F.struct(F.lit(stage).alias("stage"), outcome.alias("outcome"))
     outcome = (
-        F.when(F.col("prefilter_score") < 1.0, F.struct(F.lit("screen").alias("stage"), F.lit("fail").alias("outcome")))
-        .when(F.col("verdict") != "accept", F.struct(F.lit("judge"), F.col("verdict")))
-        .when(reason.isNotNull(), F.struct(F.lit("dedup"), reason))
-        .otherwise(F.struct(F.lit("done"), F.lit("accepted")))
+        F.when(F.col("prefilter_score") < 1.0, told("screen", F.lit("fail")))
+        .when(F.col("verdict") != "accept", told("judge", F.col("verdict")))
+        .when(reason.isNotNull(), told("dedup", reason))
+        .otherwise(told("done", F.lit("accepted")))
     )
     return rows.groupBy(outcome.alias("o")).agg(F.count("*").alias("n")).select("o.stage", "o.outcome", "n")

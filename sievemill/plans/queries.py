@@ -23,6 +23,11 @@ def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _glob(d: str, name: str) -> str:
+    """A pattern for a table that is a file or a folder: a stream's plain path has to be a folder."""
+    return f"{d}/{name}.parque[t]"
+
+
 def _scratch(spark: SparkSession, name: str) -> str:
     return f"{dedup.shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -312,14 +317,14 @@ def resume_rest(spark: SparkSession, d: str) -> DataFrame:
 
 def stream_counts(spark: SparkSession, d: str) -> DataFrame:
     name = f"counts_{uuid.uuid4().hex}"
-    events = continuous.file_stream(spark, f"{d}/events.parquet", _read(spark, d, "events").schema)
+    events = continuous.file_stream(spark, _glob(d, "events"), _read(spark, d, "events").schema)
     continuous.running_counts(events, ["event_type"], name).awaitTermination()
     return spark.table(name)
 
 
 def stream_coverage(spark: SparkSession, d: str) -> DataFrame:
     name = f"coverage_{uuid.uuid4().hex}"
-    docs = continuous.file_stream(spark, f"{d}/documents.parquet", _read(spark, d, "documents").schema)
+    docs = continuous.file_stream(spark, _glob(d, "documents"), _read(spark, d, "documents").schema)
     docs = docs.select(F.create_map(F.lit("lang"), "lang", F.lit("source"), "source").alias("dimensions"))
     continuous.running_coverage(docs, name).awaitTermination()
     return spark.table(name)
@@ -328,7 +333,7 @@ def stream_coverage(spark: SparkSession, d: str) -> DataFrame:
 def stream_first_seen(spark: SparkSession, d: str) -> DataFrame:
     """Users in the order of their first event's file: one row each."""
     out, at = _scratch(spark, "seen"), _scratch(spark, "seen-checkpoint")
-    events = continuous.file_stream(spark, f"{d}/events.parquet", _read(spark, d, "events").schema)
+    events = continuous.file_stream(spark, _glob(d, "events"), _read(spark, d, "events").schema)
     seen = continuous.first_seen(events.select("user_id"), "user_id")
     seen.writeStream.format("parquet").option("path", out).option("checkpointLocation", at).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema("user_id long").parquet(out)
