@@ -74,7 +74,7 @@ def shard_documents(docs: DataFrame, shards: int = 24, segments: int = 8, tolera
 
     Returns doc_id, text, size, text_crc32, shard, slot. Slots follow the sort key and are gapless from 0 within a
     shard; each shard is numbered in ``segments`` parts, so no task sorts a whole shard. Null text counts as empty,
-    a null id is an id like others, repeated rows are placed separately; an empty table gives an empty result; other
+    a null id is an id like others, rows repeated whole share a key and stay together; an empty table gives an empty result; other
     columns of ``docs``, whatever their names, are ignored.
     """
     text = text_or_empty("text")
