@@ -22,15 +22,50 @@ from pyspark.sql import functions as F
 from .common import shuffle_partitions, stored
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-CACHE_WORDS = 400_000
+CACHED = 600_000  # entries of a worker's caches at most
 _loaded: dict = {}
 
 
-def token_bytes(path: str, texts: list[str]) -> list[bytes]:
-    """The ids of each text as little-endian unsigned 32-bit integers, equal to ``Tokenizer.encode``.
+class _Words(dict):
+    """word -> its ids as little-endian unsigned 32-bit integers, by the tokenizer's model."""
 
-    Texts of ASCII and Latin-1 are cut with the tokenizer's own split rule and each distinct word is encoded once per
-    worker; other texts, and those that could hold special tokens, go to the tokenizer whole.
+    def __init__(self, model):
+        super().__init__()
+        self.model = model
+        kept = [*range(33, 127), *range(161, 173), *range(174, 256)]  # fixed: bytes that byte-level BPE writes as themselves
+        rest = [b for b in range(256) if b not in kept]
+        chars = {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(rest)}
+        self.spelling = {c: "".join(chars[b] for b in chr(c).encode()) for c in range(256)}
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= CACHED:
+            self.clear()
+        ids = self[word] = np.array([t.id for t in self.model.tokenize(word.translate(self.spelling))], dtype="<u4").tobytes()
+        return ids
+
+
+class _Chunks(dict):
+    """What stands between white space -> its ids, put together from its words."""
+
+    def __init__(self, words: _Words):
+        super().__init__()
+        self.words = words
+        self.split = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\\s0-9a-zªµºß-öø-ÿ²³¹¼½¾]+").findall
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = b"".join(map(self.words.__getitem__, self.split(chunk)))
+        if len(chunk) < 64:
+            if len(self) >= CACHED:
+                self.clear()
+            self[chunk] = ids
+        return ids
+
+
+def token_bytes(path: str, text: str) -> bytes:
+    """The ids of a text as little-endian unsigned 32-bit integers, equal to ``Tokenizer.encode``.
+
+    Texts of ASCII and Latin-1 are cut with the tokenizer's own split rule, and each distinct word is encoded once per
+    worker by the tokenizer's model; other texts, and those that could hold special tokens, go to the tokenizer whole.
     """
     if path not in _loaded:
         import os
@@ -38,27 +73,12 @@ def token_bytes(path: str, texts: list[str]) -> list[bytes]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        split = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\\s0-9a-zªµºß-öø-ÿ²³¹¼½¾]+")
-        plain = re.compile("[\t\n\r\x20-\x7e\xa1-\xff]*")
-        _loaded[path] = Tokenizer.from_file(path), split, plain, {}
-    tokenizer, split, plain, cache = _loaded[path]
-
-    def ids(e) -> bytes:
-        return np.asarray(e.ids, dtype="<u4").tobytes()
-
-    out = []
-    for text in texts:
-        if plain.fullmatch(text) and "<|" not in text:
-            words = split.findall(text.lower())
-            if missing := [w for w in set(words) if w not in cache]:
-                if len(cache) + len(missing) > CACHE_WORDS:
-                    cache.clear()
-                    missing = list(set(words))
-                cache.update(zip(missing, map(ids, tokenizer.encode_batch(missing, add_special_tokens=False)), strict=True))
-            out.append(b"".join([cache[w] for w in words]))
-        else:
-            out.append(ids(tokenizer.encode(text, add_special_tokens=False)))
-    return out
+        tokenizer = Tokenizer.from_file(path)
+        _loaded[path] = tokenizer, tokenizer.model, re.compile("[\t\n\r\x20-\x7e\xa1-\xff]*").fullmatch, _Chunks(_Words(tokenizer.model))
+    tokenizer, _, plain, chunks = _loaded[path]
+    if plain(text) and "<|" not in text:
+        return b"".join(map(chunks.__getitem__, text.lower().split()))
+    return np.asarray(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int) -> DataFrame:
@@ -69,7 +89,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int) ->
         for batch in batches:
             rows: list[tuple] = []
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
-                data = token_bytes(tokenizer_path, [text.as_py() or ""])[0] + end
+                data = token_bytes(tokenizer_path, text.as_py() or "") + end
                 n = len(data) // 4
                 for s in range(0, n, capacity):
                     part = data[4 * s : 4 * (s + capacity)]
