@@ -92,16 +92,34 @@ def log_probabilities(types: DataFrame, model: dict) -> DataFrame:
     return p.select("lang", "key", F.log("p").alias("logp"))
 
 
-def perplexities(docs: DataFrame, model: dict, block_docs: int = 2000) -> DataFrame:
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as they travel to their block: compressed one by one."""
+    import zstandard
+
+    pack = zstandard.ZstdCompressor(level=3).compress
+    for batch in batches:
+        packed = pa.array([pack((t.as_py() or "").encode("utf-8", "surrogatepass")) for t in batch["text"]], pa.binary())
+        yield pa.RecordBatch.from_arrays([*[batch[c] for c in ("doc_id", "lang", "trusted", "text_key", "block")], packed], names=["doc_id", "lang", "trusted", "text_key", "block", "packed"])
+
+
+def _unpacked(table: pa.Table) -> Iterator[str]:
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor().decompress
+    return (unpack(p.as_py()).decode("utf-8", "surrogatepass") for p in table["packed"])
+
+
+def perplexities(docs: DataFrame, model: dict, block_docs: int = 8000) -> DataFrame:
     """doc_id, text_key, lang, trusted, chars, perplexity of every row of ``docs`` (doc_id, lang, text, trusted); null if there are no characters."""
     blocks = max(1, -(-docs.count() // block_docs))
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", "lang", "text", "trusted", F.xxhash64(text).alias("text_key"), F.pmod(F.xxhash64("doc_id", text), F.lit(blocks)).alias("block"))
+    rows = docs.select("doc_id", "lang", "trusted", F.xxhash64(text).alias("text_key"), F.pmod(F.xxhash64("doc_id", text), F.lit(blocks)).alias("block"), "text")
+    rows = rows.mapInArrow(_packed, "doc_id long, lang string, trusted boolean, text_key long, block long, packed binary")
 
     def types(table: pa.Table) -> pa.Table:
         by: dict = {}
-        for lang, text in zip(table["lang"].to_pylist(), table["text"], strict=True):
-            by.setdefault(lang, []).append(np.unique(gram_keys(text.as_py() or "")))
+        for lang, text in zip(table["lang"].to_pylist(), _unpacked(table), strict=True):
+            by.setdefault(lang, []).append(np.unique(gram_keys(text)))
         found = [(lang, np.unique(np.concatenate(keys))) for lang, keys in by.items()]
         block = table["block"][0].as_py()
         return pa.table({
@@ -119,8 +137,8 @@ def perplexities(docs: DataFrame, model: dict, block_docs: int = 2000) -> DataFr
             order = mine[np.argsort(keys[mine], kind="stable")]
             by[lang] = keys[order], logs[order]
         out, sizes = [], []
-        for lang, text in zip(table["lang"].to_pylist(), table["text"], strict=True):
-            k = gram_keys(text.as_py() or "")
+        for lang, text in zip(table["lang"].to_pylist(), _unpacked(table), strict=True):
+            k = gram_keys(text)
             sizes.append(len(k))
             if lang in by and len(k):
                 all_, logp = by[lang]
@@ -129,14 +147,15 @@ def perplexities(docs: DataFrame, model: dict, block_docs: int = 2000) -> DataFr
                 out.append(None)
         return table.select(["doc_id", "text_key", "lang", "trusted"]).append_column("chars", pa.array(sizes, pa.int64())).append_column("perplexity", pa.array(out, pa.float64()))
 
-    held = rows.groupBy("block").applyInArrow(types, "block long, lang string, key long")
+    # The same exchange serves the distinct 4-grams and the way back to the blocks.
+    held = rows.groupBy("block").applyInArrow(types, "block long, lang string, key long").repartition("lang", "key")
     logs = log_probabilities(held.select("lang", "key").distinct(), model)
     own = held.join(logs, ["lang", "key"]).select(F.col("block").alias("of"), "lang", "key", "logp")
     scored = rows.groupBy("block").cogroup(own.groupBy("of")).applyInArrow(score, "doc_id long, text_key long, lang string, trusted boolean, chars long, perplexity double")
     return scored
 
 
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, spread: float = 2.0, block_docs: int = 2000) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, spread: float = 2.0, block_docs: int = 8000) -> DataFrame:
     """doc_id, text_key, lang, perplexity, limit, kept for every row of ``docs`` (doc_id, lang, text).
 
     Trusted are documents that ``labels`` (doc_id, quality) calls good, and never bad; all of them train the model. Kept are documents
