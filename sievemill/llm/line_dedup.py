@@ -2,8 +2,9 @@
 
 Distinct lines get MinHash signatures of their character shingles; lines that agree in a whole band of the signature share a
 bucket. Bucket by bucket, members are held against a leader by the exact Jaccard similarity of their shingle sets; those that fail meet
-the next leaders, twice as many each round, until none is left. Links are joined by distributed union-find, and one line of each component stays: its
-first occurrence in the order of documents.
+the next leaders, twice as many each round, until none is left. A line that fails a leader by little is then held against those that joined it,
+unless one component has both. Links are joined by distributed union-find, and one line of each component stays: its first occurrence in
+the order of documents.
 """
 
 from __future__ import annotations
@@ -53,8 +54,52 @@ def split_lines(docs: DataFrame) -> DataFrame:
     return rows.where("line rlike '[^\\\\s]'").select("row_key", "doc_id", "pos", F.xxhash64("line").alias("line_id"), "line")
 
 
-def similar_lines(lines: DataFrame, k: int, percent: int, bands: int, band_rows: int) -> DataFrame:
-    """u, v: verified links between distinct lines (line_id, line)."""
+def _overlaps(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """line_id, leader, shared, total (both sets' sizes) of the ``pairs`` (line_id, leader) whose sizes allow a similarity of ``percent`` %."""
+    a, b = texts.select("line_id", F.col("b").alias("one"), F.col("n").alias("n1")), texts.select(F.col("line_id").alias("leader"), F.col("b").alias("two"), F.col("n").alias("n2"))
+    sets = pairs.join(a, "line_id").join(b, "leader").where(f"n1 * 100 >= n2 * {percent} and n2 * 100 >= n1 * {percent}")
+    shared = F.size(F.array_intersect(shingle_hashes("one", k), shingle_hashes("two", k)))
+    return sets.select("line_id", "leader", shared.alias("shared"), (F.col("n1") + F.col("n2")).alias("total"))
+
+
+def _linked(percent: int) -> Column:
+    return F.col("shared") * 100 >= (F.col("total") - F.col("shared")) * percent
+
+
+def _chains(tested: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """node, component of lines, by the links among ``tested`` pairs and those between lines that a leader's followers may still have.
+
+    The Jaccard distance is a metric: a line y that is not linked to a leader can be linked to its follower x only where
+    y's similarity to the leader is at least x's less what ``percent`` leaves to 1. All such pairs of two components are tested, by salted blocks of
+    followers, eight times as many each round; pairs that one component joins by then need no test.
+    """
+    j = (F.col("shared") / (F.col("total") - F.col("shared"))).alias("j")
+    stars = tested.where(_linked(percent)).select("leader", F.col("line_id").alias("x"), j).distinct()
+    missed = tested.where(~_linked(percent)).select(F.col("line_id").alias("y"), "leader", j).where(F.col("j") >= 2 * percent / 100 - 1 - 1e-9).distinct()
+    sizes = stars.groupBy("leader").agg(F.ceil(F.count("*") / 8).alias("blocks"))
+    stars = stored(stars.join(sizes, "leader").select("leader", "x", F.col("j").alias("jx"), F.pmod(F.xxhash64("x", "leader"), "blocks").alias("block")), "stars")
+    missed = stored(missed.join(sizes, "leader"), "missed")
+    comps = stored(components(stars.select(F.col("x").alias("u"), F.col("leader").alias("v"))), "components")
+    start, end = 0, 1
+    while True:
+        own = lambda node: comps.select(F.col("node").alias(node), F.col("component").alias(f"{node}_comp"))
+        apart = missed.join(own("y"), "y", "left").join(own("leader"), "leader").where("y_comp is null or y_comp <> leader_comp").where(F.col("blocks") > start)
+        apart = stored(apart.select("y", "leader", "j", "blocks"), "missed")
+        forget(missed)
+        missed = apart
+        if not missed.limit(1).count():
+            return comps
+        asked = missed.withColumn("block", F.explode(F.expr(f"sequence({start}L, least({end}L, blocks) - 1)")))
+        pairs = asked.join(stars, ["leader", "block"]).where(F.col("jx") - F.col("j") <= 1 - percent / 100 + 1e-9).where("x <> y")
+        pairs = pairs.select(F.least("x", "y").alias("line_id"), F.greatest("x", "y").alias("leader")).distinct()
+        found = stored(_overlaps(pairs, texts, k, percent), "tested").where(_linked(percent))
+        links = comps.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(found.select(F.col("line_id").alias("u"), F.col("leader").alias("v")))
+        comps = stored(components(links), "components")
+        start, end = end, end * 8
+
+
+def line_components(lines: DataFrame, k: int, percent: int, bands: int, band_rows: int) -> DataFrame:
+    """node, component: components of the verified links between distinct lines (line_id, line) that share a bucket."""
     distinct = lines.groupBy("line_id").agg(F.first("line").alias("line"))
     signed = signatures(distinct, k, bands * band_rows)
     keys = [F.xxhash64(F.lit(n), *[f"s{n * band_rows + r}" for r in range(band_rows)]) for n in range(bands)]
@@ -62,9 +107,9 @@ def similar_lines(lines: DataFrame, k: int, percent: int, bands: int, band_rows:
     met = bucketed.withColumn("n", F.count("*").over(W.partitionBy("bucket"))).where("n > 1").drop("n")
     left = stored(met, "buckets")
     texts = _among(lines.select("line_id", "line"), "line_id", left).groupBy("line_id").agg(F.first("line").alias("line"))
-    texts = stored(texts.select("line_id", F.encode("line", "UTF-16BE").alias("b")), "candidates")
-    links, leaders_each = [], 1
-    a, b = texts.select(F.col("line_id").alias("line_id"), F.col("b").alias("one")), texts.select(F.col("line_id").alias("leader"), F.col("b").alias("two"))
+    texts = texts.select("line_id", F.encode("line", "UTF-16BE").alias("b"))
+    texts = stored(texts.withColumn("n", F.size(shingle_hashes("b", k))), "candidates")
+    each, leaders_each = [], 1
     while True:
         # Leaders have the least hashes with their bucket, so the buckets of one cluster get different ones. They double every round.
         order = W.partitionBy("bucket").orderBy(F.xxhash64("line_id", "bucket"), "line_id")
@@ -72,20 +117,16 @@ def similar_lines(lines: DataFrame, k: int, percent: int, bands: int, band_rows:
         leaders = ranked.where(F.col("r") <= leaders_each).select("bucket", F.col("line_id").alias("leader"), F.col("r").alias("leader_r"))
         against = ranked.join(leaders, "bucket").where("leader_r < r").select("bucket", "line_id", "leader", "r")
         pairs = against.select("line_id", "leader").distinct()
-        sets = pairs.join(a, "line_id").join(b, "leader")
-        sets = sets.select("line_id", "leader", shingle_hashes("one", k).alias("x"), shingle_hashes("two", k).alias("y"))
-        shared = F.size(F.array_intersect("x", "y"))
-        near = (F.size("x") * 100 >= F.size("y") * percent) & (F.size("y") * 100 >= F.size("x") * percent)
-        same = sets.where(near).where(shared * 100 >= (F.size("x") + F.size("y") - shared) * percent)
-        same = stored(same.select("line_id", "leader"), "verified")
-        links.append(same.select(F.col("line_id").alias("u"), F.col("leader").alias("v")))
+        tested = stored(_overlaps(pairs, texts, k, max(0, 2 * percent - 100)), "tested")
+        each.append(tested)
+        same = tested.where(_linked(percent))
         done = against.join(same, ["line_id", "leader"], "left_semi").select("bucket", "line_id").distinct()
         rest = ranked.where(F.col("r") > leaders_each).join(done, ["bucket", "line_id"], "left_anti").select("line_id", "bucket")
         after = stored(rest, "buckets")
         forget(left, ranked)
         left, leaders_each = after, leaders_each * 2
         if not left.limit(1).count():
-            return reduce(DataFrame.unionByName, links)
+            return _chains(reduce(DataFrame.unionByName, each), texts, k, percent)
 
 
 def dedup_lines(docs: DataFrame, k: int = 8, percent: int = 80, bands: int = 10, band_rows: int = 3) -> DataFrame:
@@ -98,8 +139,7 @@ def dedup_lines(docs: DataFrame, k: int = 8, percent: int = 80, bands: int = 10,
     """
     docs = docs.drop("n_lines", "n_kept")
     lines = split_lines(docs)
-    links = similar_lines(lines.select("line_id", "line"), k, percent, bands, band_rows)
-    comps = stored(components(links), "components")
+    comps = line_components(lines.select("line_id", "line"), k, percent, bands, band_rows)
     where = lines.drop("line")
     where = where.join(comps, where["line_id"] == comps["node"], "left").select("row_key", "doc_id", "pos", F.coalesce("component", "line_id").alias("cluster"))
     where = stored(where, "occurrences")

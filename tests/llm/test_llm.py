@@ -90,6 +90,26 @@ def test_line_dedup(spark, docs, texts):
     assert "size" in line_dedup.dedup_lines(docs).columns
 
 
+def test_line_chains(spark):
+    draw = random.Random(20)
+    letters = "abcdefghijklmnopqrstuvwxyz "
+
+    def edited(line, n):
+        line = list(line)
+        for i in draw.sample(range(len(line)), n):
+            line[i] = draw.choice(letters)
+        return "".join(line)
+
+    template = "".join(draw.choice(letters) for _ in range(400))
+    variants = [edited(template, 2) for _ in range(60)]
+    lines = sorted({*variants, *[edited(draw.choice(variants), 4) for _ in range(40)]})  # the latter often reach the rest by one variant only
+    sets = [_shingles(x) for x in lines]
+    links = [(i, j) for i in range(len(lines)) for j in range(i) if len(sets[i] & sets[j]) * 100 >= 80 * len(sets[i] | sets[j])]
+    group = _groups(links, range(len(lines)))
+    got = line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).where("n_kept > 0")
+    assert {r.doc_id for r in got.collect()} == {i for i, g in group.items() if i == g}
+
+
 def _tokenizer():
     import public_tokenizers
     from tokenizers import Tokenizer
