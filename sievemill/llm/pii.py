@@ -2,16 +2,18 @@
 
 Each value matched (an address, a number) is a protected entity. A term's disclosure of an entity is its pointwise
 mutual information with it over the corpus, as a share of the entity's own information: 1 where the term comes with that entity
-only. Terms near an entity whose disclosure passes a threshold are generalised, above a higher one removed.
+only, wherever in a text. Terms whose disclosure of an entity passes a threshold are generalised, above a higher one removed, in all texts.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -68,90 +70,155 @@ def spans(text: str) -> list[list[tuple[int, int]]]:
     return out
 
 
-def nearby(text: str, start: int, end: int, taken: list[tuple[int, int]], words: int, reach: int) -> list[tuple[str, int, int]]:
-    """Up to ``words`` whole words on each side of a span, within ``reach`` characters, that no span overlaps."""
-    a, b = max(0, start - reach), min(len(text), end + reach)
-    left = [m.span() for m in _WORD.finditer(text, a, start) if m.start() > a or a == 0][-words:]
-    right = [m.span() for m in _WORD.finditer(text, end, b) if m.end() < b or b == len(text)][:words]
-    return [(text[s:e].lower(), s, e) for s, e in left + right if not any(s < y and x < e for x, y in taken)]
+def words_of(text: str) -> dict[str, list[tuple[int, int]]]:
+    """Where each word of a text stands, of those that no base span overlaps."""
+    taken = sorted(s for of in spans(text) for s in of)
+    out: dict[str, list[tuple[int, int]]] = {}
+    i, reach = 0, 0
+    for m in _WORD.finditer(text):
+        s, e = m.span()
+        while i < len(taken) and taken[i][0] < e:
+            reach = max(reach, taken[i][1])
+            i += 1
+        if reach <= s:
+            out.setdefault(m[0].lower(), []).append((s, e))
+    return out
+
+
+def distinct_words(text: str) -> set[str]:
+    """The keys of ``words_of``."""
+    if any(spans(text)):
+        return set(words_of(text))
+    return {w.lower() for w in set(_WORD.findall(text))}
 
 
-FOUND = (
-    "uid long, doc_id long, text_key long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, "
-    "found array<struct<kind:string,value:string,terms:array<struct<term:string,start:long,end:long>>>>"
-)
-_TERM = pa.struct([("term", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
-_FOUND = pa.list_(pa.struct([("kind", pa.string()), ("value", pa.string()), ("terms", pa.list_(_TERM))]))
+FOUND = "doc_id long, text_key long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, found array<struct<kind:string,value:string>>"
+_FOUND = pa.list_(pa.struct([("kind", pa.string()), ("value", pa.string())]))
+MARKS = 1 << 24  # bits of the map of disclosing terms: 2 MB, whatever their number
 
 
-def _base(docs: DataFrame, words: int, reach: int) -> DataFrame:
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), "text")
+
+
+def _base(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, shas, bases, founds = [[], [], [], []], [], [], []
             for x in batch["text"]:
                 text = x.as_py() or ""
                 by_kind = spans(text)
-                taken = [s for of in by_kind for s in of]
                 base = ",".join(f"{k}:{s}:{e}" for k, of in zip(KINDS, by_kind, strict=True) for s, e in of)
                 for n, of in zip(counts, by_kind, strict=True):
                     n.append(len(of))
                 bases.append(base)
                 shas.append(hashlib.sha256(base.encode()).hexdigest())
-                founds.append([
-                    {"kind": k, "value": text[s:e].lower(), "terms": [dict(zip(("term", "start", "end"), t, strict=True)) for t in nearby(text, s, e, taken, words, reach)]}
-                    for k, of in zip(KINDS, by_kind, strict=True) for s, e in of
-                ])
-            cols = [batch["uid"], batch["doc_id"], batch["text_key"], *[pa.array(n, pa.int64()) for n in counts], pa.array(shas), pa.array(bases), pa.array(founds, _FOUND)]
-            yield pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in FOUND.split(", ")[:9]] + ["found"])
+                values = sorted({(k, text[s:e].lower()) for k, of in zip(KINDS, by_kind, strict=True) for s, e in of})
+                founds.append([{"kind": k, "value": v} for k, v in values])
+            cols = [batch["doc_id"], batch["text_key"], *[pa.array(n, pa.int64()) for n in counts], pa.array(shas), pa.array(bases), pa.array(founds, _FOUND)]
+            yield pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in FOUND.split(", ")[:8]] + ["found"])
 
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), "text")
-    return rows.mapInArrow(run, FOUND)
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), "text").mapInArrow(run, FOUND)
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
-    """term, n_term: in how many rows of ``docs`` each word occurs."""
+    """term, n_term: in how many rows of ``docs`` each word occurs outside of base spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: Counter = Counter()
             for x in batch["text"]:
-                seen.update(set(_WORD.findall((x.as_py() or "").lower())))
+                seen.update(distinct_words(x.as_py() or ""))
             yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], names=["term", "n"])
 
     return docs.select("text").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
 
 
+def _terms_of(texts: DataFrame) -> DataFrame:
+    """text_key, term: the distinct words of each row of ``texts``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, x in zip(batch["text_key"].to_pylist(), batch["text"], strict=True):
+                terms = distinct_words(x.as_py() or "")
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(terms), pa.int64()), pa.array(terms, pa.string())], names=["text_key", "term"])
+
+    return texts.select("text_key", "text").mapInArrow(run, "text_key long, term string")
+
+
 def disclosures(found: DataFrame, docs: DataFrame, support: int) -> DataFrame:
-    """kind, value, term, disclosure of the pairs seen in at least ``support`` different texts; all counts over all rows."""
+    """term, disclosure: each term's highest, over entities that ``support`` different texts or more share with it.
+
+    Counts are of whole texts and over all rows. Entities with the same texts have the same disclosures and are one class.
+    """
     total = docs.count()
-    seen = found.select("uid", "text_key", F.explode("found").alias("f")).select("uid", "text_key", "f.kind", "f.value", F.explode_outer("f.terms.term").alias("term"))
-    pairs = seen.where("term is not null").groupBy("kind", "value", "term", "text_key").agg(F.countDistinct("uid").alias("n"))
-    pairs = pairs.groupBy("kind", "value", "term").agg(F.sum("n").alias("n_pair"), F.count("*").alias("texts")).where(F.col("texts") >= support)
-    entities = seen.groupBy("kind", "value").agg(F.countDistinct("uid").alias("n_entity"))
-    pairs = stored(pairs.join(entities, ["kind", "value"]), "pairs")
+    texts = found.groupBy("text_key").agg(F.first("found").alias("found"), F.count("*").alias("n")).select("text_key", "n", F.explode("found").alias("f"))
+    texts = stored(texts.select("text_key", "n", "f.kind", "f.value"), "entities")
+    mark = [F.bit_xor(F.xxhash64("text_key", F.lit(i))).alias(f"h{i}") for i in (0, 1)]
+    entities = texts.groupBy("kind", "value").agg(F.count("*").alias("texts"), F.sum("n").alias("n_entity"), *mark).where(F.col("texts") >= support)
+    classed = texts.join(entities.select("kind", "value", "texts", "n_entity", F.xxhash64("texts", "h0", "h1").alias("class")), ["kind", "value"])
+    classed = stored(classed.select("class", "n_entity", "text_key", "n").distinct(), "classes")
+    with_one = _keyed(docs).join(classed.select("text_key").distinct(), "text_key", "left_semi").dropDuplicates(["text_key"])
+    pairs = _terms_of(with_one).join(classed, "text_key").groupBy("class", "term")
+    pairs = pairs.agg(F.sum("n").alias("n_pair"), F.count("*").alias("texts"), F.first("n_entity").alias("n_entity")).where(F.col("texts") >= support)
+    # A term's best class for equal n_entity is that with the most rows in common.
+    pairs = stored(pairs.groupBy("term", "n_entity").agg(F.max("n_pair").alias("n_pair")), "pairs")
+    if not pairs.limit(1).count():
+        return pairs.select("term", F.lit(0.0).alias("disclosure"))
     known = term_counts(docs).join(pairs.select("term").distinct(), "term", "left_semi")
     own = F.log(total / F.col("n_entity"))
     mutual = F.log(F.col("n_pair") * float(total) / (F.col("n_term") * F.col("n_entity")))
-    return pairs.join(known, "term").select("kind", "value", "term", F.when(own > 0, mutual / own).otherwise(0.0).alias("disclosure"))
+    return pairs.join(known, "term").groupBy("term").agg(F.max(F.when(own > 0, mutual / own).otherwise(0.0)).alias("disclosure"))
+
+
+def occurrences(docs: DataFrame, risky: DataFrame) -> DataFrame:
+    """text_key, start, end, disclosure: wherever a term of ``risky`` (term, disclosure) stands outside of base spans."""
+    bit = F.crc32(F.encode("term", "UTF-8")).bitwiseAND(F.lit(MARKS - 1))
+    words = risky.select(F.shiftright(bit, 6).alias("at"), F.expr("shiftleft(1L, cast(crc32(encode(term, 'UTF-8')) & 63 as int))").alias("bit"))
+    words = words.groupBy("at").agg(F.bit_or("bit").alias("bits")).toPandas()  # MARKS / 64 rows at most
+    marks = np.zeros(MARKS // 64, dtype=np.int64)
+    marks[words["at"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    shared = docs.sparkSession.sparkContext.broadcast(marks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+
+        def marked(word: str) -> bool:
+            h = zlib.crc32(word.encode()) & (MARKS - 1)
+            return bool(bits[h >> 6] >> (h & 63) & 1)
+
+        for batch in batches:
+            for key, x in zip(batch["text_key"].to_pylist(), batch["text"], strict=True):
+                text = x.as_py() or ""
+                if some := {w for w in distinct_words(text) if marked(w)}:
+                    rows = [(w, s, e) for w, at in words_of(text).items() if w in some for s, e in at]
+                    terms, starts, ends = zip(*rows, strict=True)
+                    cols = [pa.array([key] * len(rows), pa.int64()), pa.array(terms, pa.string()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())]
+                    yield pa.RecordBatch.from_arrays(cols, names=["text_key", "term", "start", "end"])
+
+    at = _keyed(docs).mapInArrow(run, "text_key long, term string, start long, end long")
+    return at.join(risky, "term").select("text_key", "start", "end", "disclosure").distinct()
 
 
-def find_pii(docs: DataFrame, generalise: float = 0.5, remove: float = 0.8, support: int = 3, words: int = 8, reach: int = 160) -> DataFrame:
+def find_pii(docs: DataFrame, generalise: float = 0.5, remove: float = 0.8, support: int = 3) -> DataFrame:
     """A row per row of ``docs`` (doc_id, text): doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans.
 
     ``spans`` lists kind:start:end (code points) of the base kinds, then `term` (to be generalised) and `gone` (to be removed)
-    by start. Null and empty texts have none. Repeated rows are found one by one, and copies of a text lend a term no support.
-    An empty table gives an empty result; other columns are ignored.
+    by start. A term counts wherever it stands in a text, and one that discloses an entity is listed at every place outside of base
+    spans, in texts without the entity as well. A term needs ``support`` different texts that share it with the entity: of an entity in fewer texts
+    each word of these would come with it only. Null and empty texts have no spans. Repeated rows are found one by one, and copies of a text
+    lend a term no support. An empty table gives an empty result; other columns are ignored.
     """
-    base = stored(_base(docs, words, reach), "found")
+    base = stored(_base(docs), "found")
     some = base.where("n_email + n_ip + n_card + n_phone > 0")
-    risky = disclosures(some, docs, support).where(F.col("disclosure") >= generalise)
-    terms = some.select("uid", F.explode("found").alias("f")).select("uid", "f.kind", "f.value", F.explode("f.terms").alias("t"))
-    terms = terms.select("uid", "kind", "value", "t.term", "t.start", "t.end").join(risky, ["kind", "value", "term"])
-    terms = terms.groupBy("uid", "start", "end").agg(F.max("disclosure").alias("d")).withColumn("kind", F.when(F.col("d") >= remove, "gone").otherwise("term"))
+    risky = stored(disclosures(some, docs, support).where(F.col("disclosure") >= generalise), "risky")
+    if not risky.limit(1).count():
+        return base.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", F.col("base").alias("spans"))
+    terms = occurrences(docs, risky).withColumn("kind", F.when(F.col("disclosure") >= remove, "gone").otherwise("term"))
     said = F.transform(F.array_sort(F.collect_list(F.struct(F.col("kind") == "gone", "start", "end", "kind"))), lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"]))
-    added = terms.groupBy("uid").agg(F.array_join(said, ",").alias("added"))
+    added = terms.groupBy("text_key").agg(F.array_join(said, ",").alias("added"))
     whole = F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), F.col("added"))
-    return base.join(added, "uid", "left").select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", whole.alias("spans"))
+    return base.join(added, "text_key", "left").select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", whole.alias("spans"))
 
 
 def sanitise(docs: DataFrame) -> DataFrame:

@@ -343,6 +343,18 @@ def test_disclosing_terms(spark):
     assert pii.find_pii(docs.where("doc_id < 0")).count() == 0
 
 
+def test_terms_far_from_their_entity(spark):
+    draw = random.Random(15)
+    rows = [(i, f"Zorvak {_words(draw, 30)} zz@mail.example {_words(draw, 30)} ZORVAK") for i in range(6)] + [(10 + i, _words(draw, 30)) for i in range(200)]
+    rows += [(500, "x Zorvak y"), (500, "x Zorvak y")]
+    got = {r.doc_id: r.spans.split(",") for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i in range(6):
+        n = len(rows[i][1])
+        assert "gone:0:6" in got[i] and f"gone:{n - 6}:{n}" in got[i]
+    assert got[500] == ["gone:2:8"]  # of 8 rows with the term, 6 hold the entity
+    assert pii.words_of("a@bc.de xy Xy") == {"xy": [(8, 10), (11, 13)]}
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
