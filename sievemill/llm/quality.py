@@ -2,7 +2,8 @@
 
 The model is a set of count tables by language and order. Documents are dealt into blocks; the distinct 4-grams of all blocks meet
 the count tables in joins on the 4-gram, its contexts and its suffixes, and each block gets back the log-probabilities of just its own
-4-grams. A document's perplexity is held against a quantile of the trusted documents' of its language.
+4-grams. A document's perplexity is held against a quantile of the trusted documents' of its language, each scored by a model of the
+other folds.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from .common import stored
 
 ORDER, BITS = 4, 16  # four characters of 16 bits make one long
+FOLDS = 4  # of trusted texts, by their hash: copies share a fold
 BROADCAST_IDS = 4_000_000  # trusted ids that may be broadcast; more are joined by a shuffle
 
 
@@ -59,7 +61,20 @@ def train(texts: DataFrame) -> dict[int, tuple[DataFrame, DataFrame]]:
 
     The highest order takes counts, each lower one the number of different characters seen before the n-gram.
     """
-    model, counts = {}, stored(_counts(texts), "counts4")
+    return _model(stored(_counts(texts), "counts4"))
+
+
+def train_folds(texts: DataFrame) -> dict[int, tuple[DataFrame, DataFrame]]:
+    """The models of ``texts`` (lang, fold, text), in one: lang `:x` is x's of all texts, `f:x` its model of all but fold f."""
+    counts = _counts(texts.select(F.concat_ws(":", "fold", "lang").alias("lang"), "text"))
+    own, lang = F.substring_index("lang", ":", 1), F.expr("substring(lang, instr(lang, ':'))")
+    to = F.filter(F.array(F.lit(""), *[F.lit(str(f)) for f in range(FOLDS)]), lambda f: f != own)
+    dealt = counts.select(F.explode(to).alias("to"), lang.alias("of"), "key", "c")
+    return _model(stored(dealt.groupBy(F.concat("to", "of").alias("lang"), "key").agg(F.sum("c").alias("c")), "counts4"))
+
+
+def _model(counts: DataFrame) -> dict[int, tuple[DataFrame, DataFrame]]:
+    model = {}
     for order in range(ORDER, 0, -1):
         n = [F.count(F.when(F.col("c") == i, 1)).alias(f"n{i}") for i in (1, 2, 3, 4)]
         y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
@@ -110,10 +125,17 @@ def _unpacked(table: pa.Table) -> Iterator[str]:
 
 
 def perplexities(docs: DataFrame, model: dict, block_docs: int = 8000) -> DataFrame:
-    """doc_id, text_key, lang, trusted, chars, perplexity of every row of ``docs`` (doc_id, lang, text, trusted); null if there are no characters."""
-    blocks = max(1, -(-docs.count() // block_docs))
+    """doc_id, text_key, lang, trusted, chars, perplexity of every row of ``docs`` (doc_id, lang, fold, text, trusted); null if there are no characters.
+
+    ``lang`` names a document's model; a block has documents of one fold, so that it needs one model of a language.
+    """
+    sizes = {r["fold"]: max(1, -(-r["count"] // block_docs)) for r in docs.groupBy("fold").count().collect()}  # FOLDS + 1 rows at most
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", "lang", "trusted", F.xxhash64(text).alias("text_key"), F.pmod(F.xxhash64("doc_id", text), F.lit(blocks)).alias("block"), "text")
+    block, before = F.lit(0).cast("long"), 0
+    for fold, blocks in sorted(sizes.items()):
+        block = F.when(F.col("fold") == fold, before + F.pmod(F.xxhash64("doc_id", text), F.lit(blocks))).otherwise(block)
+        before += blocks
+    rows = docs.select("doc_id", "lang", "trusted", F.xxhash64(text).alias("text_key"), block.alias("block"), "text")
     rows = rows.mapInArrow(_packed, "doc_id long, lang string, trusted boolean, text_key long, block long, packed binary")
 
     def types(table: pa.Table) -> pa.Table:
@@ -155,22 +177,28 @@ def perplexities(docs: DataFrame, model: dict, block_docs: int = 8000) -> DataFr
     return scored
 
 
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, spread: float = 2.0, block_docs: int = 8000) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, spread: float = 2.0, block_docs: int = 8000, least: int = 20) -> DataFrame:
     """doc_id, text_key, lang, perplexity, limit, kept for every row of ``docs`` (doc_id, lang, text).
 
-    Trusted are documents that ``labels`` (doc_id, quality) calls good, and never bad; all of them train the model. Kept are documents
+    Trusted are documents that ``labels`` (doc_id, quality) calls good, and never bad; all of them train the model. They are dealt into
+    folds by text, and the perplexity of each is by a model without its fold, as that of an unseen text is. Kept are documents
     whose log-perplexity is at most that of the ``quantile`` of the trusted ones of their language, plus ``spread`` divided by
     the root of their length, as the mean over a short text varies. A null language is one of its own (`und`).
-    Documents of a language without trusted text have no limit and stay; null, empty and blank texts have no perplexity and go.
+    Documents of a language with less than ``least`` different trusted texts so scored have no limit and stay; null, empty and blank texts have no perplexity and go.
     Repeated rows get equal results; an empty table gives an empty one; other columns stay out.
     """
     good = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select("doc_id", F.lit(True).alias("trusted"))
     good = F.broadcast(good) if labels.count() <= BROADCAST_IDS else good
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit("und")).alias("lang"), "text")
     rows = rows.join(good, "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
-    model = train(rows.where("trusted").select("lang", "text"))
-    scored = stored(perplexities(rows, model, block_docs), "perplexities")
-    limits = scored.where("trusted").groupBy("lang").agg(F.percentile_approx("perplexity", quantile, 10_000).alias("limit"))
+    fold = F.when(F.col("trusted"), F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(FOLDS)).cast("string")).otherwise("")
+    rows = rows.withColumn("fold", fold)
+    model = train_folds(rows.where("trusted").select("lang", "fold", "text"))
+    named = rows.withColumn("lang", F.concat_ws(":", "fold", "lang"))
+    scored = perplexities(named, model, block_docs).withColumn("lang", F.expr("substring(lang, instr(lang, ':') + 1)"))
+    scored = stored(scored, "perplexities")
+    enough = scored.where("trusted and perplexity is not null").select("lang", "text_key").distinct().groupBy("lang").count().where(F.col("count") >= least)
+    limits = scored.where("trusted").groupBy("lang").agg(F.percentile_approx("perplexity", quantile, 10_000).alias("limit")).join(enough, "lang", "left_semi")
     out = scored.join(limits, "lang", "left")
     allowed = F.col("limit") * F.exp(spread / F.sqrt(F.greatest("chars", F.lit(1))))
     kept = F.coalesce(F.col("perplexity") <= allowed, F.col("limit").isNull() & (F.col("chars") > 0))

@@ -237,6 +237,18 @@ def test_quality(spark):
     assert quality.classify(docs, labels.where("doc_id < 0")).where("kept").count() == len(good) + len(bad) + 3
 
 
+def test_quality_held_out(spark):
+    draw = random.Random(10)
+    names = ["".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(draw.randrange(3, 9))) for _ in range(3000)]
+    write = lambda n: " ".join(draw.choice(names) for _ in range(n))
+    rows = [(i, "en", write(150)) for i in range(90)] + [(1000, "it", write(150)), *[(1001 + i, "it", write(150)) for i in range(10)]]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(30)] + [(1000, 1)], "doc_id long, quality int")
+    got = {r.doc_id: r for r in quality.classify(docs, labels, spread=0.3, block_docs=40).collect()}
+    assert sum(got[i].kept for i in range(30, 90)) >= 55  # unseen clean texts, though the trusted ones are few
+    assert all(got[1000 + i].kept and got[1000 + i].limit is None for i in range(11))
+
+
 def test_probabilities_sum_to_one(spark):
     draw = random.Random(2)
     texts = spark.createDataFrame([("x", "".join(draw.choice("ab ") for _ in range(300)))], "lang string, text string")
