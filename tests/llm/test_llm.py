@@ -222,6 +222,13 @@ def test_langid(spark, docs):
     assert len(many.languages) == 70 and next(many.predict(["qaaz qaaz"]))[0] == "l000"
 
 
+def test_langid_rare_language(spark):
+    rows = spark.range(22_000).selectExpr("id as doc_id", "concat('the and of in tion er w', id % 50) as text", "'xa' as lang")
+    rare = spark.createDataFrame([(50_000, "zug ulm qix", "xr")], "doc_id long, text string, lang string")
+    model = langid.train(rows.unionByName(rare))
+    assert model.languages == ["xa", "xr"] and next(model.predict(["qix ulm"]))[0] == "xr"
+
+
 def test_quality(spark):
     draw = random.Random(9)
     good = [(i, "en", _words(draw, 60) + ".") for i in range(120)]
