@@ -29,9 +29,16 @@ def keep_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group of near-duplicates."""
-    said = ngram_join.ngram_components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(said, "doc_id", "left_semi").select(COLUMNS)
+    """One row, that with the smallest id, of each group of near-duplicates.
+
+    Rows are told apart by a key of their own, not by ``doc_id``: rows that repeat an id are copies or different texts like any others,
+    rows without an id come last in their group. Rows without any word are in no group and stay.
+    """
+    rows = stored(docs.select(COLUMNS).withColumn("row", F.monotonically_increasing_id()), "rows")
+    said = ngram_join.ngram_components(rows.select(F.col("row").alias("doc_id"), "text"))
+    said = said.select(F.col("doc_id").alias("row"), "component_id").join(rows.select("row", "doc_id", F.xxhash64("text").alias("key")), "row")
+    first = said.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key", "row")).alias("first"))
+    return rows.join(first.select("first.row"), "row", "left_semi").select(COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -374,6 +374,17 @@ def test_terms_far_from_their_entity(spark):
     assert pii.words_of("a@bc.de xy Xy") == {"xy": [(8, 10), (11, 13)]}
 
 
+def test_keep_distinct_rows(spark):
+    import corpus_pipeline
+
+    draw = random.Random(22)
+    a, b, c, d = (_words(draw, 40) for _ in range(4))
+    rows = [(1, a), (1, a), (1, b), (2, b), (3, c), (None, c), (None, d), (None, d), (4, ""), (4, ""), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.keep_distinct(spark, docs.repartition(3), "").collect()]
+    assert sorted(got, key=str) == sorted([(1, a), (1, b), (3, c), (None, d), (4, ""), (4, ""), (None, None)], key=str)
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
