@@ -1,51 +1,69 @@
 """Fuzzy line deduplication (DataFrame functions only).
 
 Distinct lines get MinHash signatures of their character shingles; lines that agree in a whole band of the signature share a
-bucket. Bucket by bucket, members are held against a leader by the exact Jaccard similarity of their shingle sets; those that fail meet
-the next leaders, twice as many each round, until none is left. A line that fails a leader by little is then held against those that joined it,
-unless one component has both. Links are joined by distributed union-find, and one line of each component stays: its first occurrence in
-the order of documents.
+bucket. Pairs of a bucket are held against each other by the exact Jaccard similarity of their shingle sets, unless one component
+of links has both already: first every line against two of its bucket, then against about eight, then all that are still apart. A bit
+sketch of each set, which bounds the similarity from above, goes first and leaves few pairs to the exact test. Links are joined by
+distributed union-find, and one line of each component stays: its first occurrence in the order of documents.
 """
 
 from __future__ import annotations
 
 import random
 from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import components, forget, stored
 
 MAP_WORDS = 1 << 18  # of 64 bits each: the fixed size of a map of wanted ids
+LONG = 256  # a line of as many shingles has its signature from about a quarter of them, chosen by their hash
+SKETCH = 32  # words of 64 bits of a set's sketch
 _draw = random.Random(20)
 _constants = [_draw.getrandbits(64) - 2**63 for _ in range(256)]
 
 
-def shingle_hashes(b: str, k: int) -> Column:
-    """The distinct hashes of a line's shingles of ``k`` UTF-16 characters, from its UTF-16 bytes; a shorter line is one shingle."""
-    return F.expr(f"array_distinct(transform(sequence(0, greatest(octet_length({b}) div 2 - {k}, 0)), i -> xxhash64(substring({b}, cast(2 * i + 1 as int), {2 * k}))))")
+def _starts(b: str, k: int) -> str:
+    """Where in the UTF-16 bytes ``b`` of a line its shingles of ``k`` characters start; a shorter line is one shingle."""
+    return f"sequence(1, greatest(octet_length({b}) - {2 * k - 1}, 1), 2)"
+
+
+def shingle_set(b: str, k: int) -> Column:
+    """The distinct hashes, of 32 bits, of a line's shingles of ``k`` UTF-16 characters, from its UTF-16 bytes."""
+    return F.expr(f"array_distinct(transform({_starts(b, k)}, i -> cast(shiftright(xxhash64(substring({b}, i, {2 * k})), 32) as int)))")
 
 
 def signatures(lines: DataFrame, k: int, hashes: int) -> DataFrame:
-    """line_id, s0 ... : minima of the shingles' hashes under XOR with constants. ``lines`` is grouped by line_id already.
+    """line_id, long, s0 ... : minima of the shingles' hashes under XOR with constants. ``lines`` is grouped by line_id already.
 
-    Shingles are exploded and aggregated in one generated loop; a minimum keeps just a number per line and hash.
+    The minima of lines of LONG shingles or more are over those whose hash ends in two zero bits, a set with the same expected similarity.
+    Lines of up to 5 / 4 times LONG have both signatures, so that any two lines whose sizes allow a link have signatures of one kind.
     """
-    b = lines.select("line_id", F.encode("line", "UTF-16BE").alias("b"))
-    at = b.select("line_id", "b", F.explode(F.expr(f"sequence(0, greatest(cast(octet_length(b) / 2 as int) - {k}, 0))")).alias("i"))
-    h = at.select("line_id", F.expr(f"xxhash64(substring(b, 2 * i + 1, {2 * k}))").alias("h"))
-    return h.groupBy("line_id").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(c))).alias(f"s{n}") for n, c in enumerate(_constants[:hashes])])
+    n = F.expr(f"octet_length(b) div 2 - {k - 1}")
+    both = F.when(n < LONG, F.array(F.lit(False))).when(n < LONG * 5 // 4, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(True)))
+    b = lines.select("line_id", F.encode("line", "UTF-16BE").alias("b")).select("line_id", "b", F.explode(both).alias("long"))
+    at = b.select("line_id", "long", "b", F.explode(F.expr(_starts("b", k))).alias("i"))  # one generated loop
+    h = at.select("line_id", "long", F.expr(f"xxhash64(substring(b, i, {2 * k}))").alias("h")).where("not long or (h & 3) = 0")
+    return h.groupBy("line_id", "long").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(c))).alias(f"s{n}") for n, c in enumerate(_constants[:hashes])])
+
+
+def _bit(key: str) -> tuple[Column, Column]:
+    return F.expr(f"pmod(shiftright(xxhash64({key}), 6), {MAP_WORDS})"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64({key}), 64) as int))")
+
+
+def _marks(ids: DataFrame, key: str) -> DataFrame:
+    """A bit map of fixed size (MAP_WORDS rows at most) of the ``ids``, to be broadcast."""
+    word, bit = _bit(key)
+    return F.broadcast(ids.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits")))
 
 
 def _among(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
-    """Rows that may be among ``ids``: a bit map of fixed size, broadcast as at most MAP_WORDS rows, sorts the others out."""
-    h = F.xxhash64(F.col(key))
-    word, bit = F.pmod(F.shiftright(h, 6), F.lit(MAP_WORDS)), F.expr(f"shiftleft(1L, cast(pmod(xxhash64({key}), 64) as int))")
-    marks = ids.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
-    rows = rows.withColumn("_word", word).withColumn("_bit", bit).join(F.broadcast(marks), "_word")
-    return rows.where(F.col("_bits").bitwiseAND(F.col("_bit")) != 0).drop("_word", "_bit", "_bits")
+    """Rows that may be among ``ids`` (a column ``key``): the bit map sorts most others out before they are moved."""
+    word, bit = _bit(key)
+    rows = rows.withColumn("_word", word).join(_marks(ids, key), "_word")
+    return rows.where(F.col("_bits").bitwiseAND(bit) != 0).drop("_word", "_bits")
 
 
 def split_lines(docs: DataFrame) -> DataFrame:
@@ -54,88 +72,95 @@ def split_lines(docs: DataFrame) -> DataFrame:
     return rows.where("line rlike '[^\\\\s]'").select("row_key", "doc_id", "pos", F.xxhash64("line").alias("line_id"), "line")
 
 
-def _overlaps(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """line_id, leader, shared, total (both sets' sizes) of the ``pairs`` (line_id, leader) whose sizes allow a similarity of ``percent`` %."""
-    a, b = texts.select("line_id", F.col("b").alias("one"), F.col("n").alias("n1")), texts.select(F.col("line_id").alias("leader"), F.col("b").alias("two"), F.col("n").alias("n2"))
-    sets = pairs.join(a, "line_id").join(b, "leader").where(f"n1 * 100 >= n2 * {percent} and n2 * 100 >= n1 * {percent}")
-    shared = F.size(F.array_intersect(shingle_hashes("one", k), shingle_hashes("two", k)))
-    return sets.select("line_id", "leader", shared.alias("shared"), (F.col("n1") + F.col("n2")).alias("total"))
+def sketches(sets: DataFrame) -> DataFrame:
+    """line_id, n, b0 ... : the size of a line's ``shingles`` and, in SKETCH words, the parity of how many of them hash to each bit.
 
+    A bit that two sketches differ in stands for a shingle, at least, that one line has and the other hasn't.
+    """
+    h = sets.select("line_id", F.explode("shingles").alias("h"))
+    h = h.select("line_id", F.expr(f"shiftright(h, 8) & {SKETCH - 1}").alias("word"), F.expr("shiftleft(1L, h & 63)").alias("bit"))
+    words = h.groupBy("line_id", "word").agg(F.bit_xor("bit").alias("bits"), F.count("*").alias("n"))
+    all_ = words.groupBy("line_id").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("at"))  # SKETCH entries at most
+    return all_.select("line_id", "n", *[F.coalesce(F.col("at")[w], F.lit(0)).alias(f"b{w}") for w in range(SKETCH)])
 
-def _linked(percent: int) -> Column:
-    return F.col("shared") * 100 >= (F.col("total") - F.col("shared")) * percent
 
+def _near(percent: int) -> Column:
+    """Whether the sketches of x and y leave a similarity of ``percent`` % possible."""
+    apart = reduce(add, [F.bit_count(F.col(f"xb{w}").bitwiseXOR(F.col(f"yb{w}"))) for w in range(SKETCH)])
+    return apart * (100 + percent) <= (F.col("xn") + F.col("yn")) * (100 - percent)
 
-def _chains(tested: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """node, component of lines, by the links among ``tested`` pairs and those between lines that a leader's followers may still have.
 
-    The Jaccard distance is a metric: a line y that is not linked to a leader can be linked to its follower x only where
-    y's similarity to the leader is at least x's less what ``percent`` leaves to 1. All such pairs of two components are tested, by salted blocks of
-    followers, eight times as many each round; pairs that one component joins by then need no test.
-    """
-    j = (F.col("shared") / (F.col("total") - F.col("shared"))).alias("j")
-    stars = tested.where(_linked(percent)).select("leader", F.col("line_id").alias("x"), j).distinct()
-    missed = tested.where(~_linked(percent)).select(F.col("line_id").alias("y"), "leader", j).where(F.col("j") >= 2 * percent / 100 - 1 - 1e-9).distinct()
-    sizes = stars.groupBy("leader").agg(F.ceil(F.count("*") / 8).alias("blocks"))
-    stars = stored(stars.join(sizes, "leader").select("leader", "x", F.col("j").alias("jx"), F.pmod(F.xxhash64("x", "leader"), "blocks").alias("block")), "stars")
-    missed = stored(missed.join(sizes, "leader"), "missed")
-    comps = stored(components(stars.select(F.col("x").alias("u"), F.col("leader").alias("v"))), "components")
-    start, end = 0, 1
-    while True:
-        own = lambda node: comps.select(F.col("node").alias(node), F.col("component").alias(f"{node}_comp"))
-        apart = missed.join(own("y"), "y", "left").join(own("leader"), "leader").where("y_comp is null or y_comp <> leader_comp").where(F.col("blocks") > start)
-        apart = stored(apart.select("y", "leader", "j", "blocks"), "missed")
-        forget(missed)
-        missed = apart
-        if not missed.limit(1).count():
-            return comps
-        asked = missed.withColumn("block", F.explode(F.expr(f"sequence({start}L, least({end}L, blocks) - 1)")))
-        pairs = asked.join(stars, ["leader", "block"]).where(F.col("jx") - F.col("j") <= 1 - percent / 100 + 1e-9).where("x <> y")
-        pairs = pairs.select(F.least("x", "y").alias("line_id"), F.greatest("x", "y").alias("leader")).distinct()
-        found = stored(_overlaps(pairs, texts, k, percent), "tested").where(_linked(percent))
-        links = comps.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(found.select(F.col("line_id").alias("u"), F.col("leader").alias("v")))
-        comps = stored(components(links), "components")
-        start, end = end, end * 8
+def _side(rows: DataFrame, x: str, *more: str) -> DataFrame:
+    return rows.select(*more, F.col("line_id").alias(x), F.col("comp").alias(f"{x}c"), F.col("n").alias(f"{x}n"), *[F.col(f"b{w}").alias(f"{x}b{w}") for w in range(SKETCH)])
+
+
+def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """x, y, linked of the distinct ``pairs``, by the exact similarity of the sets of both lines."""
+    pairs = stored(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "pairs")
+    wanted = _among(sets, "line_id", pairs.select(F.explode(F.array("x", "y")).alias("line_id"))).repartition("line_id")
+    both = pairs.join(wanted.select(F.col("line_id").alias("x"), F.col("shingles").alias("one")), "x").join(wanted.select(F.col("line_id").alias("y"), F.col("shingles").alias("two")), "y")
+    shared = both.select("x", "y", F.size(F.array_intersect("one", "two")).alias("shared"), (F.size("one") + F.size("two")).alias("total"))
+    tested = stored(shared.select("x", "y", (F.col("shared") * 100 >= (F.col("total") - F.col("shared")) * percent).alias("linked")), "tested")
+    forget(pairs)
+    return tested
 
 
 def line_components(lines: DataFrame, k: int, percent: int, bands: int, band_rows: int) -> DataFrame:
     """node, component: components of the verified links between distinct lines (line_id, line) that share a bucket."""
     distinct = lines.groupBy("line_id").agg(F.first("line").alias("line"))
     signed = signatures(distinct, k, bands * band_rows)
-    keys = [F.xxhash64(F.lit(n), *[f"s{n * band_rows + r}" for r in range(band_rows)]) for n in range(bands)]
-    bucketed = signed.select("line_id", F.explode(F.array(*keys)).alias("bucket"))
-    met = bucketed.withColumn("n", F.count("*").over(W.partitionBy("bucket"))).where("n > 1").drop("n")
-    left = stored(met, "buckets")
-    texts = _among(lines.select("line_id", "line"), "line_id", left).groupBy("line_id").agg(F.first("line").alias("line"))
-    texts = texts.select("line_id", F.encode("line", "UTF-16BE").alias("b"))
-    texts = stored(texts.withColumn("n", F.size(shingle_hashes("b", k))), "candidates")
-    each, leaders_each = [], 1
-    while True:
-        # Leaders have the least hashes with their bucket, so the buckets of one cluster get different ones. They double every round.
-        order = W.partitionBy("bucket").orderBy(F.xxhash64("line_id", "bucket"), "line_id")
-        ranked = stored(left.withColumn("r", F.row_number().over(order)), "ranked")
-        leaders = ranked.where(F.col("r") <= leaders_each).select("bucket", F.col("line_id").alias("leader"), F.col("r").alias("leader_r"))
-        against = ranked.join(leaders, "bucket").where("leader_r < r").select("bucket", "line_id", "leader", "r")
-        pairs = against.select("line_id", "leader").distinct()
-        tested = stored(_overlaps(pairs, texts, k, max(0, 2 * percent - 100)), "tested")
-        each.append(tested)
-        same = tested.where(_linked(percent))
-        done = against.join(same, ["line_id", "leader"], "left_semi").select("bucket", "line_id").distinct()
-        rest = ranked.where(F.col("r") > leaders_each).join(done, ["bucket", "line_id"], "left_anti").select("line_id", "bucket")
-        after = stored(rest, "buckets")
-        forget(left, ranked)
-        left, leaders_each = after, leaders_each * 2
-        if not left.limit(1).count():
-            return _chains(reduce(DataFrame.unionByName, each), texts, k, percent)
+    keys = [F.xxhash64(F.lit(n), "long", *[f"s{n * band_rows + r}" for r in range(band_rows)]) for n in range(bands)]
+    signed = stored(signed.select("line_id", F.array(*keys).alias("keys")), "bands")
+    bucketed = signed.select("line_id", F.explode("keys").alias("bucket"))
+    hot = bucketed.groupBy("bucket").agg(F.count("*").alias("size"), F.min("line_id").alias("lo"), F.max("line_id").alias("hi")).where("lo < hi")
+    hot = stored(hot, "hot")
+    members = stored(_among(bucketed, "bucket", hot.select("bucket")).join(hot, "bucket"), "members")
+    forget(signed, hot)
+    ids = members.select("line_id")
+    texts = _among(lines.select("line_id", "line"), "line_id", ids).join(ids, "line_id", "left_semi").groupBy("line_id").agg(F.first("line").alias("line"))
+    sets = stored(texts.select("line_id", F.encode("line", "UTF-16BE").alias("b")).select("line_id", shingle_set("b", k).alias("shingles")), "sets")
+    known = stored(sketches(sets), "sketches")
+
+    # Every member of a bucket against its first and last, which settles buckets of up to three.
+    own = known.withColumn("comp", F.col("line_id"))
+    ends = members.select(F.col("line_id").alias("x"), F.explode(F.array("lo", "hi")).alias("y")).where("x <> y").distinct()
+    pairs = ends.join(_side(own, "x"), "x").join(_side(own, "y"), "y").where(_near(percent)).select("x", "y")
+    tested = [_links(pairs, sets, percent)]
+
+    # Then against about eight, and at last all those against each other that no component has both of.
+    for all_ in (False, True):
+        links = reduce(DataFrame.unionByName, tested)
+        comps = components(links.where("linked").select(F.col("x").alias("u"), F.col("y").alias("v")))
+        comps = known.join(comps.select(F.col("node").alias("line_id"), "component"), "line_id", "left").withColumn("comp", F.coalesce("component", "line_id")).drop("component")
+        comps = stored(comps, "comps")
+        placed = members.where("size > 16" if all_ else "size > 3")
+        placed = placed.select("bucket", "line_id", "size").join(comps.select("line_id", "comp"), "line_id")
+        # A bucket's largest component needs no look at its own pairs.
+        counts = placed.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
+        mixed = counts.groupBy("bucket").agg(F.max("n").alias("most"), F.count("*").alias("comps")).where("comps > 1")
+        main = counts.join(mixed, "bucket").where("n = most").groupBy("bucket").agg(F.min("comp").alias("main"))
+        rows = stored(placed.drop("comp").join(main, "bucket").join(comps, "line_id"), "mixed")
+        turn = F.pmod(F.xxhash64("line_id", "bucket"), F.ceil(F.col("size") / 8)) == 0
+        x = _side(rows.where("comp <> main"), "x", "bucket") if all_ else _side(rows, "x", "bucket")
+        y = _side(rows if all_ else rows.where(turn | (F.col("size") <= 16)), "y", "bucket", "main")
+        once = (F.col("yc") == F.col("main")) | (F.col("x") < F.col("y")) if all_ else F.col("x") != F.col("y")
+        pairs = x.join(y, "bucket").where("xc <> yc").where(once).where(_near(percent))
+        pairs = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct().join(links.select("x", "y"), ["x", "y"], "left_anti")
+        tested.append(_links(pairs, sets, percent))
+        forget(rows, comps)
+    links = reduce(DataFrame.unionByName, tested).where("linked")
+    found = components(links.select(F.col("x").alias("u"), F.col("y").alias("v")))
+    forget(members, sets, known, *tested)
+    return found
 
 
 def dedup_lines(docs: DataFrame, k: int = 8, percent: int = 80, bands: int = 10, band_rows: int = 3) -> DataFrame:
     """Every row of ``docs`` with ``text`` less its repeated lines, and n_lines, n_kept (lines that aren't blank).
 
     Two lines link at a Jaccard similarity of ``percent`` % or more of their shingles of ``k`` characters. Of each component
-    the occurrence with the least (doc_id, position) stays, all else goes with its line break. Blank lines stay. Null texts stay null,
+    the occurrence with the least (doc_id, position) stays, null ids first, all else goes with its line break. Blank lines stay. Null texts stay null,
     with no lines. Very long lines are lines like others. Rows with one doc_id and text are one document and get one
-    result. An empty table gives an empty result. Columns named n_lines or n_kept are replaced, others stay.
+    result. An empty table gives an empty result. Columns named n_lines or n_kept are replaced, others stay, whatever their names.
     """
     docs = docs.drop("n_lines", "n_kept")
     lines = split_lines(docs)
@@ -144,16 +169,23 @@ def dedup_lines(docs: DataFrame, k: int = 8, percent: int = 80, bands: int = 10,
     where = where.join(comps, where["line_id"] == comps["node"], "left").select("row_key", "doc_id", "pos", F.coalesce("component", "line_id").alias("cluster"))
     where = stored(where, "occurrences")
     # Only clusters that occur twice lose lines; the least occurrence is an aggregate, so a hot line is never one task's.
-    first = where.groupBy("cluster").agg(F.min(F.struct("doc_id", "pos", "row_key")).alias("first"), F.count("*").alias("n"))
-    first = first.where("n > 1").select("cluster", "first")
+    twice = where.groupBy("cluster").agg(F.count("*").alias("n")).where("n > 1").select("cluster")
+    where = where.join(twice, "cluster", "left_semi")
+    first = where.groupBy("cluster").agg(F.min(F.struct("doc_id", "pos", "row_key")).alias("first"))
     gone = where.join(first, "cluster").where(~F.struct("doc_id", "pos", "row_key").eqNullSafe(F.col("first"))).select("row_key", "pos").distinct()
-    gone = gone.groupBy("row_key").agg(F.collect_list("pos").alias("_gone"))  # at most the lines of one document
-    rows = docs.withColumn("row_key", F.xxhash64("doc_id", "text"))
-    rows = rows.join(gone, "row_key", "left")
-    all_ = F.split("text", "\n")
-    marked = F.filter(F.transform(all_, lambda x, i: F.when(~F.array_contains("_gone", i), x)), lambda x: x.isNotNull())
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(marked, "\n"))
-    n = F.coalesce(F.size(F.filter(all_, lambda x: x.rlike("[^\\s]"))), F.lit(0))
-    n = F.when(F.col("text").isNull(), 0).otherwise(n).cast("long")
-    rows = rows.withColumn("n_lines", n).withColumn("n_kept", n - F.coalesce(F.size("_gone"), F.lit(0))).withColumn("text", text)
-    return rows.select(*docs.columns, "n_lines", "n_kept")
+    gone = stored(gone.groupBy("row_key").agg(F.collect_list("pos").alias("gone")), "gone")  # at most the lines of one document
+
+    # Rows travel as one struct, so that no name of theirs can clash. Those that the map of changed rows leaves out stay where they are.
+    word, bit = _bit("row_key")
+    rows = docs.select(F.struct("*").alias("row"), F.xxhash64("doc_id", "text").alias("row_key"))
+    rows = rows.withColumn("_word", word).join(_marks(gone.select("row_key"), "row_key"), "_word", "left").withColumn("_hit", F.coalesce(F.col("_bits").bitwiseAND(bit) != 0, F.lit(False)))
+    same = rows.where("not _hit").select("row", F.lit(None).cast("array<int>").alias("gone"))
+    changed = rows.where("_hit").select("row", "row_key").join(gone, "row_key", "left").select("row", "gone")
+    rows = same.unionByName(changed)
+    text = F.col("row.text")
+    all_ = F.split(text, "\n")
+    marked = F.filter(F.transform(all_, lambda x, i: F.when(~F.array_contains("gone", i), x)), lambda x: x.isNotNull())
+    n = F.when(text.isNull(), 0).otherwise(F.size(F.filter(all_, lambda x: x.rlike("[^\\s]")))).cast("long")
+    kept = n - F.coalesce(F.size("gone"), F.lit(0))
+    columns = [F.when(F.col("gone").isNull(), text).otherwise(F.array_join(marked, "\n")).alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns]
+    return rows.select(*columns, n.alias("n_lines"), kept.alias("n_kept"))
