@@ -316,8 +316,8 @@ def test_ngram_join(spark, docs, texts):
     sets = _word_sets(more)
     links = [(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
     want = _groups(links, list(sets))
-    for block, family, rounds in ((512, 8192, 3), (8, 8192, 0), (8, 1, 2)):
-        got = ngram_join.ngram_components(docs.unionByName(extra), block_rows=block, family_rows=family, rounds=rounds).where("doc_id is not null").collect()
+    for block, family, rounds in ((200_000, 8192, 3), (300, 8192, 0), (300, 1, 2)):
+        got = ngram_join.ngram_components(docs.unionByName(extra), block_elements=block, family_rows=family, rounds=rounds).where("doc_id is not null").collect()
         assert {r.doc_id: r.component_id for r in got} == want and {r.doc_id: r.n_shingles for r in got} == {k: len(s) for k, s in sets.items()}
     assert want[503] == want[504] == 503 and want[500] == 500
     assert ngram_join.ngram_components(docs.where("doc_id < 0")).count() == 0
