@@ -32,7 +32,7 @@ def _starts(b: str, k: int) -> str:
 
 def shingle_set(b: str, k: int) -> Column:
     """The distinct hashes, of 32 bits, of a line's shingles of ``k`` UTF-16 characters, from its UTF-16 bytes."""
-    return F.expr(f"array_distinct(transform({_starts(b, k)}, i -> cast(shiftright(xxhash64(substring({b}, i, {2 * k})), 32) as int)))")
+    return F.expr(f"array_distinct(transform({_starts(b, k)}, i -> hash(substring({b}, i, {2 * k}))))")
 
 
 def signatures(lines: DataFrame, k: int, hashes: int) -> DataFrame:
@@ -105,6 +105,12 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return tested
 
 
+def _joined(joined: DataFrame, tested: DataFrame) -> DataFrame:
+    """node, component with the links that were found since; the same if there are none."""
+    links = tested.where("linked").select(F.col("x").alias("u"), F.col("y").alias("v"))
+    return components(joined.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(links)) if links.limit(1).count() else joined
+
+
 def line_components(lines: DataFrame, k: int, percent: int, bands: int, band_rows: int) -> DataFrame:
     """node, component: components of the verified links between distinct lines (line_id, line) that share a bucket."""
     distinct = lines.groupBy("line_id").agg(F.first("line").alias("line"))
@@ -126,12 +132,12 @@ def line_components(lines: DataFrame, k: int, percent: int, bands: int, band_row
     ends = members.select(F.col("line_id").alias("x"), F.explode(F.array("lo", "hi")).alias("y")).where("x <> y").distinct()
     pairs = ends.join(_side(own, "x"), "x").join(_side(own, "y"), "y").where(_near(percent)).select("x", "y")
     tested = [_links(pairs, sets, percent)]
+    joined = known.select(F.col("line_id").alias("node"), F.col("line_id").alias("component"))
 
     # Then against about eight, and at last all those against each other that no component has both of.
     for all_ in (False, True):
-        links = reduce(DataFrame.unionByName, tested)
-        comps = components(links.where("linked").select(F.col("x").alias("u"), F.col("y").alias("v")))
-        comps = known.join(comps.select(F.col("node").alias("line_id"), "component"), "line_id", "left").withColumn("comp", F.coalesce("component", "line_id")).drop("component")
+        joined = _joined(joined, tested[-1])
+        comps = known.join(joined.select(F.col("node").alias("line_id"), "component"), "line_id", "left").withColumn("comp", F.coalesce("component", "line_id")).drop("component")
         comps = stored(comps, "comps")
         placed = members.where("size > 16" if all_ else "size > 3")
         placed = placed.select("bucket", "line_id", "size").join(comps.select("line_id", "comp"), "line_id")
@@ -145,11 +151,10 @@ def line_components(lines: DataFrame, k: int, percent: int, bands: int, band_row
         y = _side(rows if all_ else rows.where(turn | (F.col("size") <= 16)), "y", "bucket", "main")
         once = (F.col("yc") == F.col("main")) | (F.col("x") < F.col("y")) if all_ else F.col("x") != F.col("y")
         pairs = x.join(y, "bucket").where("xc <> yc").where(once).where(_near(percent))
-        pairs = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct().join(links.select("x", "y"), ["x", "y"], "left_anti")
+        pairs = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct().join(reduce(DataFrame.unionByName, tested).select("x", "y"), ["x", "y"], "left_anti")
         tested.append(_links(pairs, sets, percent))
         forget(rows, comps)
-    links = reduce(DataFrame.unionByName, tested).where("linked")
-    found = components(links.select(F.col("x").alias("u"), F.col("y").alias("v")))
+    found = _joined(joined, tested[-1])
     forget(members, sets, known, *tested)
     return found
 
