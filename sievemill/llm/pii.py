@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import forget, stored
 
 KINDS = ("email", "ip", "card", "phone")
 # Fixed patterns. The look-behind and possessive forms match what the plain ones do, in linear time.
@@ -94,6 +94,7 @@ def distinct_words(text: str) -> set[str]:
 
 FOUND = "doc_id long, text_key long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, found array<struct<kind:string,value:string>>"
 _FOUND = pa.list_(pa.struct([("kind", pa.string()), ("value", pa.string())]))
+SLOTS, NO_TERM = 1 << 20, 1000  # of the map of terms that may disclose something: 2 MB, whatever their number
 MARKS = 1 << 24  # bits of the map of disclosing terms: 2 MB, whatever their number
 
 
@@ -134,22 +135,35 @@ def term_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
 
 
-def _terms_of(texts: DataFrame) -> DataFrame:
-    """text_key, term: the distinct words of each row of ``texts``."""
+def _levels(known: DataFrame) -> np.ndarray:
+    """For each of SLOTS hashes, the least floor(log2(n_term)) of the terms of ``known`` with it; NO_TERM where there is none."""
+    slot = F.crc32(F.encode("term", "UTF-8")).bitwiseAND(F.lit(SLOTS - 1))
+    rows = known.select(slot.cast("int").alias("at"), F.floor(F.log2("n_term")).cast("int").alias("level")).groupBy("at").agg(F.min("level").alias("level")).toPandas()  # SLOTS rows at most
+    levels = np.full(SLOTS, NO_TERM, dtype=np.int16)
+    levels[rows["at"].to_numpy(np.int64)] = rows["level"].to_numpy(np.int16)
+    return levels
+
+
+def _terms_of(texts: DataFrame, known: DataFrame) -> DataFrame:
+    """text_key, term: the distinct words of each row of ``texts`` (text_key, text, most) that may be of ``known`` and have ``most`` rows or fewer."""
+    shared = texts.sparkSession.sparkContext.broadcast(_levels(known))  # SLOTS * 2 bytes, always
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels = shared.value
         for batch in batches:
-            for key, x in zip(batch["text_key"].to_pylist(), batch["text"], strict=True):
-                terms = distinct_words(x.as_py() or "")
-                yield pa.RecordBatch.from_arrays([pa.array([key] * len(terms), pa.int64()), pa.array(terms, pa.string())], names=["text_key", "term"])
+            for key, x, most in zip(batch["text_key"].to_pylist(), batch["text"], batch["most"].to_pylist(), strict=True):
+                terms = [w for w in distinct_words(x.as_py() or "") if 2.0 ** levels[zlib.crc32(w.encode()) & (SLOTS - 1)] <= most]
+                if terms:
+                    yield pa.RecordBatch.from_arrays([pa.array([key] * len(terms), pa.int64()), pa.array(terms, pa.string())], names=["text_key", "term"])
 
-    return texts.select("text_key", "text").mapInArrow(run, "text_key long, term string")
+    return texts.select("text_key", "text", "most").mapInArrow(run, "text_key long, term string")
 
 
-def disclosures(found: DataFrame, docs: DataFrame, support: int) -> DataFrame:
-    """term, disclosure: each term's highest, over entities that ``support`` different texts or more share with it.
+def disclosures(found: DataFrame, docs: DataFrame, support: int, least: float = 0.0) -> DataFrame:
+    """term, disclosure: each term's highest, if ``least`` or more, over entities that ``support`` different texts or more share with it.
 
-    Counts are of whole texts and over all rows. Entities with the same texts have the same disclosures and are one class.
+    Counts are of whole texts and over all rows. Entities with the same texts have the same disclosures and are one class. A term with n_term
+    rows discloses an entity with n_entity of N rows by at most log(N / n_term) / log(N / n_entity): terms too common for ``least`` are not paired.
     """
     total = docs.count()
     texts = found.groupBy("text_key").agg(F.first("found").alias("found"), F.count("*").alias("n")).select("text_key", "n", F.explode("found").alias("f"))
@@ -158,17 +172,22 @@ def disclosures(found: DataFrame, docs: DataFrame, support: int) -> DataFrame:
     entities = texts.groupBy("kind", "value").agg(F.count("*").alias("texts"), F.sum("n").alias("n_entity"), *mark).where(F.col("texts") >= support)
     classed = texts.join(entities.select("kind", "value", "texts", "n_entity", F.xxhash64("texts", "h0", "h1").alias("class")), ["kind", "value"])
     classed = stored(classed.select("class", "n_entity", "text_key", "n").distinct(), "classes")
-    with_one = _keyed(docs).join(classed.select("text_key").distinct(), "text_key", "left_semi").dropDuplicates(["text_key"])
-    pairs = _terms_of(with_one).join(classed, "text_key").groupBy("class", "term")
+    forget(texts)
+    bound = lambda n: F.pow(F.lit(float(max(total, 1))), 1 - least) * F.pow(n, least) * (1 + 1e-9)
+    most = classed.agg(bound(F.max("n_entity"))).first()[0]
+    if most is None:
+        return classed.select(F.lit("").alias("term"), F.lit(0.0).alias("disclosure"))
+    known = stored(term_counts(docs).where((F.col("n_term") >= support) & (F.col("n_term") <= most)), "terms")
+    wanted = classed.groupBy("text_key").agg(bound(F.max("n_entity")).alias("most"))
+    with_one = _keyed(docs).join(wanted, "text_key").dropDuplicates(["text_key"])
+    pairs = _terms_of(with_one, known).join(classed, "text_key").groupBy("class", "term")
     pairs = pairs.agg(F.sum("n").alias("n_pair"), F.count("*").alias("texts"), F.first("n_entity").alias("n_entity")).where(F.col("texts") >= support)
     # A term's best class for equal n_entity is that with the most rows in common.
-    pairs = stored(pairs.groupBy("term", "n_entity").agg(F.max("n_pair").alias("n_pair")), "pairs")
-    if not pairs.limit(1).count():
-        return pairs.select("term", F.lit(0.0).alias("disclosure"))
-    known = term_counts(docs).join(pairs.select("term").distinct(), "term", "left_semi")
+    pairs = pairs.groupBy("term", "n_entity").agg(F.max("n_pair").alias("n_pair"))
     own = F.log(total / F.col("n_entity"))
     mutual = F.log(F.col("n_pair") * float(total) / (F.col("n_term") * F.col("n_entity")))
-    return pairs.join(known, "term").groupBy("term").agg(F.max(F.when(own > 0, mutual / own).otherwise(0.0)).alias("disclosure"))
+    said = pairs.join(known, "term").groupBy("term").agg(F.max(F.when(own > 0, mutual / own).otherwise(0.0)).alias("disclosure"))
+    return said.where(F.col("disclosure") >= least)
 
 
 def occurrences(docs: DataFrame, risky: DataFrame) -> DataFrame:
@@ -211,7 +230,7 @@ def find_pii(docs: DataFrame, generalise: float = 0.5, remove: float = 0.8, supp
     """
     base = stored(_base(docs), "found")
     some = base.where("n_email + n_ip + n_card + n_phone > 0")
-    risky = stored(disclosures(some, docs, support).where(F.col("disclosure") >= generalise), "risky")
+    risky = stored(disclosures(some, docs, support, generalise), "risky")
     if not risky.limit(1).count():
         return base.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", F.col("base").alias("spans"))
     terms = occurrences(docs, risky).withColumn("kind", F.when(F.col("disclosure") >= remove, "gone").otherwise("term"))

@@ -399,3 +399,34 @@ def test_pipeline_stages(spark, tmp_path):
     assert sorted(good.columns) == sorted(docs.columns) and {r.doc_id for r in good.collect()} == set(range(40)) | {100}
     out = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
     assert set(out.doc_id) <= set(range(40)) and out.groupby("sequence_id").length.sum().max() <= 2048
+
+
+def test_disclosure_values(spark):
+    """Every term's disclosure against plain counts; common terms are left out by the bound only."""
+    draw = random.Random(16)
+    vocabulary = [f"w{a}{b}" for a in "abcdefgh" for b in "klmnop"]
+    rows = []
+    for i in range(160):
+        words = [draw.choice(vocabulary) for _ in range(12)]
+        person = draw.randrange(12)
+        if person < 5:
+            words += [f"p{'abcde'[person]}{draw.choice('xy')}", f"{'abcde'[person]}@mail.example"]
+        rows.append((i, " ".join(words)))
+    rows += [(900, rows[0][1]), (901, None), (902, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = [(pii.distinct_words(t or ""), {t[s:e] for of in pii.spans(t or "") for s, e in of}, t) for _, t in rows]
+    best: dict = {}
+    for e in {e for _, found, _ in sets for e in found}:
+        with_e = [x for x in sets if e in x[1]]
+        if len({x[2] for x in with_e}) < 3:
+            continue
+        for w in {w for x in with_e for w in x[0]}:
+            both = [x for x in with_e if w in x[0]]
+            if len({x[2] for x in both}) >= 3:
+                d = np.log(len(both) * len(rows) / (sum(w in x[0] for x in sets) * len(with_e))) / np.log(len(rows) / len(with_e))
+                best[w] = max(best.get(w, -9), d)
+    some = pii._base(docs).where("n_email > 0")
+    for least in (0.0, 0.5, 0.8):
+        got = {r.term: r.disclosure for r in pii.disclosures(some, docs, 3, least).collect()}
+        want = {w: d for w, d in best.items() if d >= least}
+        assert got == pytest.approx(want) and (want or least > 0.5)
