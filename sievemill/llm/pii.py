@@ -144,19 +144,33 @@ def _levels(known: DataFrame) -> np.ndarray:
     return levels
 
 
-def _terms_of(texts: DataFrame, known: DataFrame) -> DataFrame:
-    """text_key, term: the distinct words of each row of ``texts`` (text_key, text, most) that may be of ``known`` and have ``most`` rows or fewer."""
+def _pairs(texts: DataFrame, known: DataFrame, rows: int = 512) -> DataFrame:
+    """class, term, n_pair, texts: for each distinct text (text, n, classes) its classes with those of its words that may be of ``known`` and
+    have as many rows as the class allows (``most``), added up over few texts at a time."""
     shared = texts.sparkSession.sparkContext.broadcast(_levels(known))  # SLOTS * 2 bytes, always
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = shared.value
-        for batch in batches:
-            for key, x, most in zip(batch["text_key"].to_pylist(), batch["text"], batch["most"].to_pylist(), strict=True):
-                terms = [w for w in distinct_words(x.as_py() or "") if 2.0 ** levels[zlib.crc32(w.encode()) & (SLOTS - 1)] <= most]
-                if terms:
-                    yield pa.RecordBatch.from_arrays([pa.array([key] * len(terms), pa.int64()), pa.array(terms, pa.string())], names=["text_key", "term"])
-
-    return texts.select("text_key", "text", "most").mapInArrow(run, "text_key long, term string")
+        for whole in batches:
+            for i in range(0, whole.num_rows, rows):
+                batch = whole.slice(i, rows)
+                found: dict = {}
+                for x, n, classes in zip(batch["text"], batch["n"].to_pylist(), batch["classes"].to_pylist(), strict=True):
+                    top = max(c["most"] for c in classes)
+                    terms = [(w, 2.0 ** levels[zlib.crc32(w.encode()) & (SLOTS - 1)]) for w in distinct_words(x.as_py() or "")]
+                    terms = [t for t in terms if t[1] <= top]
+                    for c in classes:
+                        for w, fewest in terms:
+                            if fewest <= c["most"]:
+                                was = found.get((c["class"], w), (0, 0))
+                                found[c["class"], w] = was[0] + n, was[1] + 1
+                if found:
+                    keys, sums = zip(*found.items(), strict=True)
+                    cols = [pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.string()), pa.array([x[0] for x in sums], pa.int64()), pa.array([x[1] for x in sums], pa.int64())]
+                    yield pa.RecordBatch.from_arrays(cols, names=["class", "term", "n_pair", "texts"])
+
+    found = texts.select("text", "n", "classes").mapInArrow(run, "class long, term string, n_pair long, texts long")
+    return found.groupBy("class", "term").agg(F.sum("n_pair").alias("n_pair"), F.sum("texts").alias("texts"))
 
 
 def disclosures(found: DataFrame, docs: DataFrame, support: int, least: float = 0.0) -> DataFrame:
@@ -178,10 +192,11 @@ def disclosures(found: DataFrame, docs: DataFrame, support: int, least: float =
     if most is None:
         return classed.select(F.lit("").alias("term"), F.lit(0.0).alias("disclosure"))
     known = stored(term_counts(docs).where((F.col("n_term") >= support) & (F.col("n_term") <= most)), "terms")
-    wanted = classed.groupBy("text_key").agg(bound(F.max("n_entity")).alias("most"))
-    with_one = _keyed(docs).join(wanted, "text_key").dropDuplicates(["text_key"])
-    pairs = _terms_of(with_one, known).join(classed, "text_key").groupBy("class", "term")
-    pairs = pairs.agg(F.sum("n").alias("n_pair"), F.count("*").alias("texts"), F.first("n_entity").alias("n_entity")).where(F.col("texts") >= support)
+    # A text's classes are as many as its entities at most.
+    of_text = F.collect_list(F.struct("class", bound(F.col("n_entity")).alias("most"))).alias("classes")
+    with_one = _keyed(docs).join(classed.groupBy("text_key").agg(F.first("n").alias("n"), of_text), "text_key").dropDuplicates(["text_key"])
+    sizes = classed.select("class", "n_entity").distinct()
+    pairs = _pairs(with_one, known).where(F.col("texts") >= support).join(sizes, "class")
     # A term's best class for equal n_entity is that with the most rows in common.
     pairs = pairs.groupBy("term", "n_entity").agg(F.max("n_pair").alias("n_pair"))
     own = F.log(total / F.col("n_entity"))
