@@ -132,7 +132,7 @@ def line_components(lines: DataFrame, k: int, percent: int, bands: int, band_row
     ends = members.select(F.col("line_id").alias("x"), F.explode(F.array("lo", "hi")).alias("y")).where("x <> y").distinct()
     pairs = ends.join(_side(own, "x"), "x").join(_side(own, "y"), "y").where(_near(percent)).select("x", "y")
     tested = [_links(pairs, sets, percent)]
-    joined = known.select(F.col("line_id").alias("node"), F.col("line_id").alias("component"))
+    joined = known.sparkSession.createDataFrame([], "node long, component long")
 
     # Then against about eight, and at last all those against each other that no component has both of.
     for all_ in (False, True):
