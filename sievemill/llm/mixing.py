@@ -91,14 +91,16 @@ def tilts(sizes: DataFrame, sources: DataFrame, rounds: int = 60, tolerance: flo
 def mix_documents(docs: DataFrame, weights: list[int] | None = None, percent: int = 150, bins: int = 1024) -> DataFrame:
     """Every row of ``docs`` (doc_id, text, source) with size, source_size, target, rate and taken (words, repeats counted).
 
-    The columns of ``docs`` stay; those with one of the new names are replaced. Whole copies are taken, but for at most one
+    The columns of ``docs`` stay, whatever their names; those with one of the new names are replaced. Whole copies are taken, but for at most one
     document per source, which is taken in part so that a source meets its target. Null, empty and blank texts have size 0
     and take 0. Sources null, rare or holding most rows are treated alike: a source's rows are settled in ``bins`` parts by
     a hash order, so none is one task's. Repeated rows are mixed one by one. An empty table gives an empty result.
     """
     made = ["size", "source_size", "target", "rate", "taken"]
     docs = docs.drop(*made)
-    rows = docs.withColumn("size", word_count(F.col("text")))
+    # The columns of ``docs`` travel under numbers, so that none can clash with a working name.
+    own = [F.col(f"`{c}`").alias(f"in_{i}") for i, c in enumerate(docs.columns)]
+    rows = docs.select(*own, "doc_id", "source", word_count(F.col("text")).alias("size"))
     sizes = stored(rows.select("source", "size"), "sizes")
     state = tilts(sizes, source_targets(sizes, weights or [3, 1, 2], percent)).withColumnRenamed("source", "_of")
     forget(sizes)
@@ -125,7 +127,7 @@ def mix_documents(docs: DataFrame, weights: list[int] | None = None, percent: in
     rows = rows.withColumnRenamed("_whole", "_w").withColumnRenamed("_room", "_r")
     more = F.least(F.greatest(F.col("_lack") - ahead["_r"], F.lit(0)), F.col("_r"))
     less = F.least(F.greatest(-F.col("_lack") - ahead["_w"], F.lit(0)), F.col("_w"))
-    return rows.withColumn("taken", (F.col("_w") + more - less).cast("long")).select(*docs.columns, *made)
+    return rows.withColumn("taken", (F.col("_w") + more - less).cast("long")).select(*[F.col(f"in_{i}").alias(c) for i, c in enumerate(docs.columns)], *made)
 
 
 def copies_of(mixed: DataFrame, columns: list[str]) -> DataFrame:

@@ -37,8 +37,10 @@ def top_k(
     ``vectors`` and ``queries`` have vec_id long and q array<long> (not null, of one width; other widths never meet).
     Tiles are (query block, shard) pairs dealt over the cluster; their sizes bound a task's memory. A tile returns at
     most ``k`` rows per query, and levels of ``fan_in`` lists each are merged until one is left. Rows with a null
-    id take no part; of repeated rows with one id each is a candidate. Returns query_id, rank, vec_id, score.
+    id take no part; of rows that repeat an id each is a candidate, and the one with the least vector is the query. Other
+    columns are ignored. Returns query_id, rank, vec_id, score.
     """
+    queries = queries.groupBy("vec_id").agg(F.min("q").alias("q"))
     vectors, queries = (d.where("vec_id is not null").withColumn("width", F.size("q")) for d in (vectors, queries))
     n_shards = max(1, -(-vectors.count() // shard_rows))
     n_blocks = max(1, -(-queries.count() // query_block))

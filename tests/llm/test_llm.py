@@ -430,3 +430,20 @@ def test_disclosure_values(spark):
         got = {r.term: r.disclosure for r in pii.disclosures(some, docs, 3, least).collect()}
         want = {w: d for w, d in best.items() if d >= least}
         assert got == pytest.approx(want) and (want or least > 0.5)
+
+
+def test_clashing_names(spark):
+    rows = [(i, f"word{i} and more words here\nline {i} of the text that is long enough", "ab"[i % 2]) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    odd = ["_of", "_h", "_bin", "_w", "_r", "_whole", "_room", "tilt", "mean", "of", "row_key", "row", "gone", "_gone", "_hit", "_word", "_bits", "line", "pos", "c0", "in_0"]
+    wide = docs.select("*", *[F.lit(f"{c}!").alias(c) for c in odd])
+    for out in (mixing.mix_documents(wide, bins=4), line_dedup.dedup_lines(wide)):
+        got = out.collect()
+        assert len(got) == 6 and all(r[c] == f"{c}!" for r in got for c in odd) and set(wide.columns) <= set(out.columns)
+
+
+def test_topk_repeated_rows(spark):
+    rows = [(0, [1, 0]), (0, [1, 0]), (1, [3, 0]), (2, [2, 1]), (3, [1, 1])]
+    q = spark.createDataFrame(rows, "vec_id long, q array<long>")
+    got = topk.top_k(q, q.where("vec_id = 0"), k=3).orderBy("rank").collect()
+    assert [(r.query_id, r.rank, r.vec_id, r.score) for r in got] == [(0, 1, 1, 3), (0, 2, 2, 2), (0, 3, 3, 1)]
