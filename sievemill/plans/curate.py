@@ -60,7 +60,7 @@ def curate(
     examples = examples.withColumn("created_at", F.current_timestamp())
     rows = judge(examples)
     good = scoring.accepted(scoring.passed(rows)).withColumn("text", shingles.dedup_text())
-    good = good.withColumn("vector", embed.embed(F.col("text"), embedder))
+    good = dedup._written(good.withColumn("vector", embed.embed(F.col("text"), embedder)), "embedded")  # each text is embedded once
     told = dedup._written(dedup.deduplicate(good, "text", "vector", "ord", stored_vectors, metric, settings), "deduplicated")
     counters = scoring.funnel(rows.join(told.select("ord", "reason"), "ord", "left"))
     kept = hydrate(told.where("reason is null").drop("reason"), nodes)

@@ -34,7 +34,7 @@ def test_slug_and_generic(spark):
     rows = spark.createDataFrame([("  Pet Food & Toys!! ",), ("",), ("Ünï-x",)], "s string").select(taxonomy.slug("s")).collect()
     assert [r[0] for r in rows] == ["pet_food_toys", "custom", "ünï_x"]
     sizes = {r.dimension: r["count"] for r in taxonomy.generic_taxonomy(spark, "d").groupBy("dimension").count().collect()}
-    assert sizes == {"angle": 4, "complexity": 3, "tone": 3}
+    assert sizes == {"reader": 5, "answer_length": 3, "answer_form": 4, "knowledge_needed": 3}
 
 
 def _taxonomy(spark):
