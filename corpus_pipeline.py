@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir), where docs are the rows that the stage before wrote, and all but the last return the
 columns of ``documents``. A stage works on all that its predecessor kept.
+
+In every stage: other columns of ``docs``, whatever their names, are left out; an empty table gives an empty result; very long texts are texts
+like others; rows repeated whole are judged alike (of repeated rows the near-duplicate stage keeps one); null ids, languages and sources are
+values like others. What a stage does with null and empty texts is said in its docstring.
 """
 
 from __future__ import annotations
@@ -16,14 +20,14 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts. Copies of a row are judged alike."""
+    """Documents that the classifier accepts. Copies of a row are judged alike; null, empty and blank texts go."""
     said = quality.classify(docs, table(spark, sf_dir, "labels")).where("kept").select(F.col("doc_id").alias("_id"), "text_key").distinct()
     same = docs["doc_id"].eqNullSafe(said["_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == said["text_key"])
     return docs.join(said, same, "left_semi").select(COLUMNS)
 
 
 def keep_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents less their repeated lines; those of which nothing is left go."""
+    """Documents less their repeated lines; those of which nothing is left go, null, empty and blank texts among them."""
     kept = line_dedup.dedup_lines(docs.select(COLUMNS)).where("n_kept > 0")
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
@@ -42,12 +46,12 @@ def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, the last copy in part where it takes one in part."""
+    """Documents as often as the mix takes them, the last copy in part where it takes one in part; texts without a word aren't taken."""
     return mixing.copies_of(mixing.mix_documents(docs.select(COLUMNS)), COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of 2048 tokens."""
+    """Pieces of all documents in sequences of 2048 tokens; null and empty texts have their end token only."""
     import public_tokenizers
 
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=2048)
