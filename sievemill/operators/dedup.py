@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +23,8 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster shares (``spark.checkpoint.dir``); a local one only where none is named, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that the cluster shares")
         folder = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -35,15 +38,15 @@ def _written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def first_wins(rows: DataFrame, buckets: DataFrame, kept_before: DataFrame | None = None, max_rounds: int = 1000) -> DataFrame:
+def first_wins(rows: DataFrame, buckets: DataFrame, kept_before: DataFrame | None = None) -> DataFrame:
     """``ord`` of the rows that stay. ``rows`` has ord (unique); ``buckets`` has ord, bucket; rows in one bucket collide.
 
-    ``kept_before``: ords in ``buckets`` that are kept from the start. Rows without a bucket stay.
+    ``kept_before``: ords in ``buckets`` that are kept from the start. Rows without a bucket stay. Each round decides at least the least row still open, so the rounds end.
     """
     b = _written(buckets.select("ord", "bucket").distinct(), "buckets")
     kept = [rows.select("ord").join(b.select("ord").distinct(), "ord", "left_anti")]
     new = None if kept_before is None else kept_before.select("ord").join(b.select("ord").distinct(), "ord", "left_semi")
-    for _ in range(max_rounds):
+    for _ in count():
         if new is None:
             least = b.groupBy("bucket").agg(F.min("ord").alias("least"))
             new = b.join(least, "bucket").groupBy("ord").agg(F.min(F.col("ord") == F.col("least")).alias("wins")).where("wins").select("ord")
@@ -55,14 +58,18 @@ def first_wins(rows: DataFrame, buckets: DataFrame, kept_before: DataFrame | Non
         new = None
         if not b.limit(1).count():
             break
-    else:
-        raise RuntimeError("first_wins: rows are left undecided; raise max_rounds")
     out = kept[0]
     for k in kept[1:]:
         out = out.unionByName(k)
     return out
 
 
+def _one_width(vectors: DataFrame) -> None:
+    widths = [r[0] for r in vectors.select(F.size("vector").alias("n")).distinct().orderBy("n").limit(2).collect()]
+    if len(widths) > 1:
+        raise ValueError(f"vectors of different dimensions: {widths[0]} and {widths[1]}")
+
+
 def deduplicate(
     examples: DataFrame,
     text: str = "text",
@@ -76,7 +83,8 @@ def deduplicate(
 
     Layer 1: a row goes if it shares a band of its MinHash signature with an earlier row that stays. Layer 2: if its vector is as
     similar as ``settings.similarity_reject`` to such a row's, or to a stored one. Layer 1 has precedence in the reason. Copies of a text share
-    one signature; null texts are empty; rows with equal ``order`` are one row. Vectors of another width are compared with none.
+    one signature; null texts are empty; rows with equal ``order`` are one row. Vectors of different widths, stored ones included, raise ``ValueError``; rows without one
+    are in layer 1 only. Equal vectors are compared once.
     """
     rows = examples.dropDuplicates([order]).withColumn("ord", F.col(order).cast("long"))
     texts = rows.select("ord", F.coalesce(text, F.lit("")).alias("t"), F.md5(F.coalesce(text, F.lit(""))).alias("h"))
@@ -87,18 +95,26 @@ def deduplicate(
     rejected = None
     if vector is not None:
         vectors = rows.where(F.col(vector).isNotNull()).select(F.col("ord").alias("id"), F.col(vector).alias("vector"))
+        _one_width(vectors if stored_vectors is None else vectors.select(F.col("vector").cast("array<double>")).unionByName(stored_vectors.select(F.col("vector").cast("array<double>"))))
         if stored_vectors is not None:
             near = similarity.nearest_similarity(vectors.withColumn("id", F.concat(F.lit("new:"), F.col("id").cast("string"))), stored_vectors.select(F.concat(F.lit("old:"), F.col("id").cast("string")).alias("id"), "vector"), metric)
             rejected = _written(near.where(F.col("similarity") >= settings.similarity_reject).select(F.substring("id", 5, 40).cast("long").alias("ord")), "rejected")
-        edges = similarity.similar_vectors(vectors, vectors, metric, settings.similarity_reject).where("left_id < right_id")
-        edges = _written(edges.select(F.col("left_id").alias("a"), F.col("right_id").alias("b")), "layer2")
+        # Copies of a vector stand by their first row; with a link between two vectors, all copies of both collide.
+        same = vectors.groupBy(F.col("vector").cast("array<double>").alias("vector")).agg(F.min("id").alias("first"), F.count("*").alias("copies"))
+        same = _written(same, "vectors")
+        firsts = same.select(F.col("first").alias("id"), "vector")
+        near = similarity.similar_vectors(firsts, firsts, metric, settings.similarity_reject, half=True)
+        edges = _written(near.select(F.col("left_id").alias("a"), F.col("right_id").alias("b")), "layer2")
+        alike = same.where("copies > 1") if metric != "cosine" else same.where("copies > 1").where(F.exists("vector", lambda x: x != 0))
+        copies = _written(vectors.withColumn("vector", F.col("vector").cast("array<double>")).join(same, "vector").select(F.col("id").alias("ord"), "first"), "copies")
+        edges = edges.select(F.explode(F.array("a", "b")).alias("first"), F.concat_ws("-", F.lit("e"), F.col("a").cast("string"), F.col("b").cast("string")).alias("bucket"))
+        edges = edges.unionByName(alike.select("first", F.concat_ws("-", F.lit("v"), F.col("first").cast("string")).alias("bucket")))
+        edges = copies.join(edges, "first").select("ord", "bucket")
     open_, buckets = rows.select("ord"), minhash
     if rejected is not None:
         open_, buckets = open_.join(rejected, "ord", "left_anti"), buckets.join(rejected, "ord", "left_anti")
     if edges is not None:
-        pair = edges if rejected is None else edges.join(rejected.withColumnRenamed("ord", "a"), "a", "left_anti").join(rejected.withColumnRenamed("ord", "b"), "b", "left_anti")
-        name = F.concat_ws("-", F.lit("e"), F.col("a").cast("string"), F.col("b").cast("string"))
-        buckets = buckets.unionByName(pair.select(F.explode(F.array("a", "b")).alias("ord"), name.alias("bucket")))
+        buckets = buckets.unionByName(edges if rejected is None else edges.join(rejected, "ord", "left_anti"))
     stays = _written(first_wins(open_, buckets).select("ord", F.lit(True).alias("stays")), "stays")
     # Why a row goes: an earlier row that stays in one of its layer-1 buckets, or else layer 2.
     first = minhash.join(stays, "ord").groupBy("bucket").agg(F.min("ord").alias("first"))

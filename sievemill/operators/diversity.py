@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 PARTS = "domain string, dim int, n long, gram array<double>"
@@ -38,11 +39,8 @@ def gram_matrix(rows: DataFrame) -> DataFrame:
     return cells.select("domain", "dim", "n", F.expr("at div dim").alias("i"), F.expr("at % dim").alias("j"), "g")
 
 
-def vendi(rows: DataFrame) -> DataFrame:
-    """domain, n, score for each domain of ``rows`` (domain, vector); 0.0 for fewer than two rows.
-
-    A domain's d by d matrix, whatever its number of rows, goes to one task for its eigenvalues.
-    """
+def _scores(cells: DataFrame) -> DataFrame:
+    """domain, n, score from the cells of ``gram_matrix``: a domain's d by d matrix, whatever its number of rows, goes to one task."""
 
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
         n, d = int(pdf["n"].iloc[0]), int(pdf["dim"].iloc[0])
@@ -55,7 +53,20 @@ def vendi(rows: DataFrame) -> DataFrame:
             value = float(np.exp(-(w * np.log(w)).sum())) if len(w) else 0.0
         return pd.DataFrame({"domain": [pdf["domain"].iloc[0]], "n": [n], "score": [value]})
 
-    return gram_matrix(rows).groupBy("domain", "dim").applyInPandas(score, "domain string, n long, score double")
+    return cells.groupBy("domain", "dim").applyInPandas(score, "domain string, n long, score double")
+
+
+def vendi(rows: DataFrame) -> DataFrame:
+    """domain, n, score for each domain of ``rows`` (domain, vector); 0.0 for fewer than two rows."""
+    return _scores(gram_matrix(rows))
+
+
+def vendi_so_far(rows: DataFrame) -> DataFrame:
+    """step, n, score of all ``rows`` (step, vector) up to each step: every vector is read once, then the steps' matrices add up in order."""
+    cells = gram_matrix(rows.select(F.col("step").cast("string").alias("domain"), "vector"))
+    upto = W.partitionBy("dim", "i", "j").orderBy(F.col("domain").cast("long")).rowsBetween(W.unboundedPreceding, 0)
+    cells = cells.select("domain", "dim", "i", "j", F.sum("g").over(upto).alias("g"), F.sum("n").over(upto).alias("n"))
+    return _scores(cells).select(F.col("domain").cast("long").alias("step"), "n", "score")
 
 
 def vendi_history(manifest: DataFrame) -> DataFrame:

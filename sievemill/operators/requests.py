@@ -39,13 +39,18 @@ def screening_batches(examples: DataFrame, partition: str, order: list[str], bat
     return examples.withColumn("_n", n).withColumn("batch", F.expr(f"_n div {batch}")).withColumn("pos", F.pmod("_n", F.lit(batch)).cast("int")).drop("_n")
 
 
+def screening_id(partition: str) -> Column:
+    """The request id of a batch of a ``partition``."""
+    return F.concat_ws("-", F.lit("screen"), F.col(partition).cast("string"), F.col("batch").cast("string"))
+
+
 def screening_requests(batched: DataFrame, partition: str) -> DataFrame:
     """One request per batch: a JSON line per example with its place in the batch, in order."""
     line = F.concat(F.lit('{"id": '), F.col("pos").cast("string"), F.lit(', "instruction": '), json_text("prompt"), F.lit(', "response": '), json_text("completion"), F.lit("}"))
     lines = batched.groupBy(partition, "batch").agg(F.array_sort(F.collect_list(F.struct("pos", line.alias("line")))).alias("lines"))
     text = F.array_join(F.transform("lines", lambda x: x["line"]), "\n")
     prompt = F.concat(F.lit("Decide for each line whether the example is usable.\n"), text, F.lit('\nAnswer with a JSON array of {"id": int, "pass": bool}.'))
-    return _request(lines, F.concat_ws("-", F.lit("screen"), F.col(partition).cast("string"), F.col("batch").cast("string")), "prefilter", prompt)
+    return _request(lines, screening_id(partition), "prefilter", prompt)
 
 
 def scoring_requests(examples: DataFrame) -> DataFrame:

@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..config import DEFAULTS, RUBRIC_WEIGHTS
+from ..config import DEFAULTS, GENERIC_TAXONOMY, RUBRIC_WEIGHTS, Settings
 from ..functions import replies, shingles
 from ..operators import coverage, dedup, diversity, requests, sampling, scoring, similarity
 from ..sources import tables, taxonomy
 from ..streaming import continuous
 from . import curate as run
+from . import domain_run
 
 # Fixed factors by which fixtures derive five rubric scores from a number.
 FACTORS = dict(zip(RUBRIC_WEIGHTS, ((7, 3), (3, 4), (11, 2), (13, 4), (17, 1)), strict=True))
@@ -98,12 +99,11 @@ def coverage_gaps(spark: SparkSession, d: str) -> DataFrame:
 
 
 def coverage_gaps_unseen(spark: SparkSession, d: str) -> DataFrame:
-    """Gaps of order priorities and statuses among orders of the first year, with values unseen there."""
-    orders = _read(spark, d, "orders")
-    year = orders.where(F.col("o_orderdate") < "1993-01-01")
-    dims = year.select(F.create_map(F.lit("o_orderpriority"), "o_orderpriority", F.lit("o_orderstatus"), "o_orderstatus").alias("dimensions"))
-    known = taxonomy.from_columns(orders, "orders", ["o_orderpriority", "o_orderstatus"])
-    return coverage.gaps(coverage.coverage(dims), 100_000, known)
+    """Gaps of nations among suppliers, twice the mean expected; nations without a supplier count in full."""
+    suppliers, nations = _read(spark, d, "supplier"), _read(spark, d, "nation")
+    dims = suppliers.select(F.create_map(F.lit("nation"), F.col("s_nationkey").cast("string")).alias("dimensions"))
+    known = taxonomy.from_columns(nations.select(F.col("n_nationkey").alias("nation")), "suppliers", ["nation"])
+    return coverage.gaps(coverage.coverage(dims), 2 * suppliers.count() // 25 + 1, known)
 
 
 def deficit_total(spark: SparkSession, d: str) -> DataFrame:
@@ -130,7 +130,7 @@ def infeasible_dimensions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def request_generation(spark: SparkSession, d: str) -> DataFrame:
-    return requests.generation_requests(_nodes(spark, d)).select("request_id", "role", "temperature", "max_tokens", F.length("prompt").alias("prompt_chars"))
+    return requests.generation_requests(_nodes(spark, d)).select("request_id", "role", "temperature", "max_tokens", F.length("prompt").alias("prompt_chars"), F.md5("prompt").alias("prompt_md5"))
 
 
 def _batched(spark: SparkSession, d: str) -> DataFrame:
@@ -140,7 +140,7 @@ def _batched(spark: SparkSession, d: str) -> DataFrame:
 
 def request_screening(spark: SparkSession, d: str) -> DataFrame:
     rows = requests.screening_requests(_batched(spark, d), "part")
-    return rows.select("request_id", (F.length("prompt") - F.length(F.replace("prompt", F.lit("\n")))).alias("line_breaks"), F.length("prompt").alias("prompt_chars"))
+    return rows.select("request_id", (F.length("prompt") - F.length(F.replace("prompt", F.lit("\n")))).alias("line_breaks"), F.length("prompt").alias("prompt_chars"), F.md5("prompt").alias("prompt_md5"))
 
 
 def request_scoring(spark: SparkSession, d: str) -> DataFrame:
@@ -352,6 +352,91 @@ def curated(spark: SparkSession, d: str) -> DataFrame:
     return kept.select("example_id", "node_id", "composite_score", F.col("taxonomy_node")["domain"].alias("domain"))
 
 
+def taxonomy_files(spark: SparkSession, d: str) -> DataFrame:
+    """A taxonomy file made from the documents' languages and sources, read back and checked."""
+    values = taxonomy_values(spark, d).groupBy("dimension").agg(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "value"))), lambda x: x["value"]).alias("values"))
+    text = values.agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("dimension", "values"))))).alias("value"))
+    path = _scratch(spark, "taxonomy")
+    tables.write_text(text, f"{path}/documents.json")
+    return taxonomy.load_taxonomy(spark, path, "documents")
+
+
+def taxonomy_domains(spark: SparkSession, d: str) -> DataFrame:
+    """One taxonomy file for each language."""
+    path = _scratch(spark, "taxonomy")
+    for r in _read(spark, d, "documents").where("lang is not null").select("lang").distinct().collect():  # a handful of languages
+        tables.write_text(spark.createDataFrame([(f'{{"lang": ["{r.lang}"]}}',)], "value string"), f"{path}/{r.lang}.json")
+    return taxonomy.list_domains(spark, path)
+
+
+def taxonomy_violations(spark: SparkSession, d: str) -> DataFrame:
+    """A taxonomy text for each document, of a kind by its number: right, a value twice, no object, an empty list, an empty value, a number, no dimension."""
+    lang = requests.json_text("lang")
+    kinds = [("[", lang, "]"), ("[", lang, ", ", lang, "]"), None, ("[]",), ('["", "a"]',), ('["a", 3]',)]
+    text, kind = F.lit("{}"), F.pmod("doc_id", F.lit(7))
+    for n, parts in enumerate(kinds):
+        whole = F.lit("[1]") if parts is None else F.concat(F.lit('{"lang": '), *[x if not isinstance(x, str) else F.lit(x) for x in parts], F.lit("}"))
+        text = F.when(kind == n, whole).otherwise(text)
+    return taxonomy.violations(_read(spark, d, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("domain"), text.alias("doc")))
+
+
+def generic_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """As many node sets of the built-in taxonomy as there are documents: each value at least three times."""
+    nodes = sampling.sample_node_sets(taxonomy.generic_taxonomy(spark, "brief"), "brief", _read(spark, d, "documents").count(), 3, 11, use_case="a brief")
+    return coverage.coverage(nodes).select("dimension", "value", (F.col("n") >= 3).alias("covered"))
+
+
+def vector_table(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors written by domain; those of one domain read back."""
+    path = _scratch(spark, "vectors")
+    tables.write_vectors(_vectors(spark, d).withColumn("composite_score", F.lit(4.0)), path, 64)
+    first = _vectors(spark, d).agg(F.min("domain")).first()[0]
+    rows = tables.stored_vectors(spark, path, first)
+    return rows.select("id", F.lit(first).alias("domain"), F.size("vector").alias("width"), F.round(F.col("vector")[0].cast("double"), 5).alias("first"))
+
+
+def screen_passed(spark: SparkSession, d: str) -> DataFrame:
+    return scoring.passed(screen_verdicts(spark, d)).select("doc_id")
+
+
+def example_count(spark: SparkSession, d: str) -> DataFrame:
+    """Accepted examples in all and in a domain."""
+    rows = _accepted(spark, d).withColumn("domain", F.col("taxonomy_node")["domain"])
+    count = lambda name, of: coverage.count(rows, of).select(F.lit(name).alias("which"), "n")
+    return count("all", None).unionByName(count("orders", "orders"))
+
+
+def stream_screened(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of a stream screened in batches; the replies pass every number that three doesn't divide."""
+    out, at = _scratch(spark, "screened"), _scratch(spark, "screened-checkpoint")
+    docs = continuous.file_stream(spark, _glob(d, "documents"), _read(spark, d, "documents").schema)
+    docs = docs.select("doc_id", F.expr("doc_id div 100").alias("part"), F.col("doc_id").cast("string").alias("prompt"), F.coalesce("text", F.lit("")).alias("completion"))
+
+    def answer(asked: DataFrame) -> DataFrame:
+        found = F.arrays_zip(*[F.regexp_extract_all("prompt", F.lit(r'\{"id": (\d+), "instruction": "(\d+)", "response"'), F.lit(g)).alias(f"g{g}") for g in (1, 2)])
+        item = F.transform(found, lambda x: F.concat(F.lit('{"id": '), x["g1"], F.lit(', "pass": '), F.when(x["g2"].cast("long") % 3 == 0, "false").otherwise("true"), F.lit("}")))
+        return asked.select("request_id", F.concat(F.lit("["), F.array_join(item, ", "), F.lit("]")).alias("reply"))
+
+    continuous.screen_stream(docs, answer, "part", ["doc_id"], out, at).awaitTermination()
+    return spark.read.parquet(out).select("doc_id", "batch", "pos", "prefilter_score")
+
+
+def run_manifest(spark: SparkSession, d: str) -> DataFrame:
+    """A run from sampling to manifest: a request is answered by the conversation of its number, scores come from lengths; a checkpoint at every ten accepted."""
+    told = _reply(pairs(spark, d).withColumn("node_id", F.concat(F.lit("orders-"), F.lpad(F.col("conv_id").cast("string"), 6, "0"))))
+
+    def generate(asked: DataFrame) -> DataFrame:
+        return told.join(asked.select("node_id"), "node_id", "left_semi").select("node_id", "reply", (F.col("conv_id") * 1000 + F.col("turn")).alias("ord"))
+
+    def judge(examples: DataFrame) -> DataFrame:
+        examples = examples.withColumn("prefilter_score", F.lit(1.0)).withColumn("n", F.length("prompt") + F.length("completion"))
+        return scoring.judged(examples.withColumn("rubric", _rubric("n"))).drop("n")
+
+    tax = taxonomy.from_columns(_read(spark, d, "orders"), "orders", ["o_orderpriority", "o_orderstatus"])
+    rows = domain_run.run_domain(tax, "orders", pairs(spark, d).count(), generate, judge, _scratch(spark, "run"), seed=7, settings=Settings(checkpoint_every=10))
+    return rows.select("domain", "target", "accepted_count", "rejected_count", F.round("vendi_score", 6).alias("vendi_score"), F.to_json("taxonomy_coverage").alias("coverage"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -360,6 +445,7 @@ QUERIES = {
         screen_verdicts, rubric_parse, stage_funnel, ngram_counts, minhash_signatures, lsh_collisions, jaccard_pairs, dedup_text, dedup_two_layers,
         nearest, similar_pairs, domain_counts, gram, vendi_by_label, hydrated, jsonl_round_trip, example_table, manifest_latest, run_ids,
         target_limit, resume_rest, stream_counts, stream_coverage, stream_first_seen, curated,
+        taxonomy_files, taxonomy_domains, taxonomy_violations, generic_nodes, vector_table, screen_passed, example_count, stream_screened, run_manifest,
     )
 } | {"instruction_pairs": lambda spark, d: pairs(spark, d).select("example_id", "prompt", "completion")}
 
@@ -391,6 +477,22 @@ _A, _B = shingles.coefficients(DEFAULTS.permutations)
 _SIGNED = f"""{_GRAMS}, h AS (SELECT doc_id, [CAST('0x' || substr(md5(x), 1, 7) AS BIGINT) FOR x IN g] AS h FROM g WHERE len(g) > 0),
 perm AS (SELECT unnest({_A}) AS a, unnest({_B}) AS b, unnest(range({DEFAULTS.permutations})) AS p),
 s AS (SELECT doc_id, list(m ORDER BY p) AS s FROM (SELECT doc_id, p, list_min([(a * x + b) % {shingles.PRIME} FOR x IN h]) AS m FROM h CROSS JOIN perm) GROUP BY doc_id)"""
+# Going through the rows that an earlier one collides with: a row goes if one that stays collides with it.
+_BUCKETS = f"{_SIGNED}, b AS MATERIALIZED (SELECT doc_id, i || '_' || array_to_string(s[i * 9 + 1 : i * 9 + 9], '_') AS bucket FROM s CROSS JOIN (SELECT unnest(range(14)) AS i))"
+_HASHED = "SELECT y.doc_id AS y, x.doc_id AS x, true AS lsh FROM b x JOIN b y ON x.bucket = y.bucket AND x.doc_id < y.doc_id"
+_COSINE = """SELECT q.vec_id, p.vec_id, false FROM v p JOIN v q ON p.vec_id < q.vec_id AND list_cosine_similarity(p.v, q.v) >= 0.92"""
+
+
+def _first_wins_sql(more: str = "", links: str = "") -> str:
+    return f"""WITH RECURSIVE {_BUCKETS}{more}, l AS MATERIALIZED ({_HASHED}{links}),
+        n AS MATERIALIZED (SELECT y, list(DISTINCT x) AS xs, row_number() OVER (ORDER BY y) AS step FROM l GROUP BY y),
+        w AS (SELECT 0::BIGINT AS step, []::BIGINT[] AS gone UNION ALL
+          SELECT n.step, CASE WHEN len(list_filter(xs, lambda x: NOT list_contains(gone, x))) > 0 THEN list_append(gone, y) ELSE gone END FROM w JOIN n ON n.step = w.step + 1),
+        z AS MATERIALIZED (SELECT DISTINCT unnest(gone) AS y FROM (SELECT gone FROM w ORDER BY step DESC LIMIT 1)),
+        r AS (SELECT z.y, bool_or(lsh) AS lsh FROM z JOIN l USING (y) WHERE x NOT IN (SELECT y FROM z) GROUP BY 1)
+        SELECT doc_id AS ord, CASE WHEN r.y IS NULL THEN NULL WHEN lsh THEN 'minhash' ELSE 'cosine' END AS reason FROM documents LEFT JOIN r ON r.y = doc_id"""
+
+
 _JUDGED = f"j AS (SELECT *, {_VERDICT} AS verdict FROM (SELECT *, {_HUNDREDTHS.format(n='doc_id')} AS h FROM documents))"
 _GOOD = f"ok AS (SELECT * FROM (SELECT *, {_VERDICT} AS verdict FROM (SELECT *, {_HUNDREDTHS.format(n='(length(prompt) + length(completion))')} AS h FROM pairs)) WHERE verdict = 'accept')"
 _SCREEN = "q AS (SELECT doc_id, CASE WHEN max(quality) = 1 THEN 1.0 ELSE 0.0 END AS s FROM labels GROUP BY doc_id)"
@@ -406,21 +508,20 @@ ORACLES = {
     "coverage_all": f"WITH {_COVERAGE} SELECT * FROM c",
     "coverage_json": "SELECT trim(json_extract_string(props, '$.k'), '\"') AS value, count(*) AS n FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL GROUP BY 1",
     "coverage_gaps": f"WITH {_COVERAGE} SELECT dimension, value, (SELECT count(*) // 4 FROM documents) - n AS deficit FROM c WHERE (SELECT count(*) // 4 FROM documents) > n",
-    "coverage_gaps_unseen": f"""WITH {_TAX}, y AS (SELECT * FROM orders WHERE o_orderdate < DATE '1993-01-01'),
-        c AS (SELECT 'o_orderpriority' AS dimension, o_orderpriority AS value, count(*) AS n FROM y GROUP BY 2 UNION ALL SELECT 'o_orderstatus', o_orderstatus, count(*) FROM y GROUP BY 2)
-        SELECT dimension, value, 100000 - coalesce(n, 0) AS deficit FROM tax LEFT JOIN c USING (dimension, value) WHERE coalesce(n, 0) < 100000""",
+    "coverage_gaps_unseen": """WITH c AS (SELECT s_nationkey AS k, count(*) AS n FROM supplier GROUP BY 1), e AS (SELECT 2 * count(*) // 25 + 1 AS e FROM supplier)
+        SELECT 'nation' AS dimension, CAST(n_nationkey AS VARCHAR) AS value, e - coalesce(n, 0) AS deficit FROM nation LEFT JOIN c ON k = n_nationkey, e WHERE e > coalesce(n, 0)""",
     "deficit_total": f"WITH {_COVERAGE} SELECT CAST(coalesce(sum(t - n), 0) AS BIGINT) AS deficit FROM (SELECT n, (SELECT count(*) // 4 FROM documents) AS t FROM c) WHERE t > n",
     "node_sets": f"WITH {_SAMPLE} SELECT idx, node_id, priority, status FROM nodes",
     "node_set_coverage": f"WITH {_TAX} SELECT dimension, value, true AS covered FROM tax",
     "infeasible_dimensions": """SELECT dimension, count(*) * 3 AS needed FROM (SELECT 'lang' AS dimension, lang AS value FROM documents UNION SELECT 'source', source FROM documents)
         WHERE value IS NOT NULL GROUP BY 1 HAVING count(*) * 3 > 40""",
-    "request_generation": f"""WITH {_SAMPLE} SELECT node_id AS request_id, 'generator' AS role, 0.9::DOUBLE AS temperature, 4096 AS max_tokens, CAST(length(
-        'Write 10 different training examples for the domain "orders".' || chr(10) || 'Scenario: {{"o_orderpriority": "' || priority || '", "o_orderstatus": "' || status || '"}}' || chr(10)
-        || 'Answer with a JSON array of objects with the keys instruction and response.') AS INTEGER) AS prompt_chars FROM nodes""",
+    "request_generation": f"""WITH {_SAMPLE} SELECT request_id, role, temperature, max_tokens, CAST(length(p) AS INTEGER) AS prompt_chars, md5(p) AS prompt_md5 FROM (
+        SELECT node_id AS request_id, 'generator' AS role, 0.9::DOUBLE AS temperature, 4096 AS max_tokens, 'Write 10 different training examples for the domain "orders".' || chr(10) || 'Scenario: {{"o_orderpriority": "' || priority || '", "o_orderstatus": "' || status || '"}}' || chr(10)
+        || 'Answer with a JSON array of objects with the keys instruction and response.' AS p FROM nodes)""",
     "request_screening": f"""WITH {PAIRS}, n AS (SELECT *, conv_id // 100 AS part, row_number() OVER (PARTITION BY conv_id // 100 ORDER BY conv_id, turn) - 1 AS r FROM pairs),
         l AS (SELECT part, r // 3 AS batch, string_agg('{{"id": ' || (r % 3) || ', "instruction": ' || CAST(to_json(prompt) AS VARCHAR) || ', "response": ' || CAST(to_json(completion) AS VARCHAR) || '}}', chr(10) ORDER BY r) AS t FROM n GROUP BY 1, 2),
         p AS (SELECT 'screen-' || part || '-' || batch AS request_id, 'Decide for each line whether the example is usable.' || chr(10) || t || chr(10) || 'Answer with a JSON array of {{"id": int, "pass": bool}}.' AS p FROM l)
-        SELECT request_id, CAST(length(p) - length(replace(p, chr(10), '')) AS INTEGER) AS line_breaks, CAST(length(p) AS INTEGER) AS prompt_chars FROM p""",
+        SELECT request_id, CAST(length(p) - length(replace(p, chr(10), '')) AS INTEGER) AS line_breaks, CAST(length(p) AS INTEGER) AS prompt_chars, md5(p) AS prompt_md5 FROM p""",
     "request_scoring": f"WITH {PAIRS} SELECT example_id AS request_id, 2048 AS max_tokens, prompt || chr(10) || chr(10) || 'Response:' || chr(10) || completion AS tail FROM pairs",
     "reply_examples": f"WITH {PAIRS} SELECT example_id AS node_id, prompt, completion FROM pairs WHERE prompt <> '' AND completion <> ''",
     "screen_verdicts": f"WITH {_SCREEN} SELECT doc_id, coalesce(s, 0.0)::DOUBLE AS prefilter_score FROM documents LEFT JOIN q USING (doc_id)",
@@ -452,6 +553,23 @@ ORACLES = {
         substr(trim(regexp_replace(lower(trim(s_name)), '[^a-z0-9]+', '_', 'g'), '_'), 1, 48) AS slug FROM supplier""",
     "target_limit": f"WITH {_JUDGED} SELECT doc_id, round(h / 100.0, 2)::DOUBLE AS composite_score FROM j WHERE verdict = 'accept' ORDER BY doc_id LIMIT 100",
     "resume_rest": f"WITH {PAIRS}, {_GOOD}, {_SAMPLE} SELECT node_id FROM nodes WHERE node_id NOT IN (SELECT 'orders-' || lpad(CAST(conv_id AS VARCHAR), 6, '0') FROM ok)",
+    "taxonomy_files": """SELECT 'documents' AS domain, dimension, value, CAST(row_number() OVER (PARTITION BY dimension ORDER BY value) - 1 AS INTEGER) AS ordinal FROM (
+        SELECT 'lang' AS dimension, lang AS value FROM documents UNION SELECT 'source', source FROM documents) WHERE value IS NOT NULL""",
+    "taxonomy_domains": "SELECT DISTINCT lang AS domain FROM documents WHERE lang IS NOT NULL",
+    "taxonomy_violations": """SELECT 'd' || doc_id AS domain, CASE WHEN doc_id % 7 IN (2, 6) THEN NULL ELSE 'lang' END AS dimension,
+        CASE doc_id % 7 WHEN 1 THEN CASE WHEN coalesce(lang, '') = '' THEN 'empty value' ELSE 'duplicate value ' || lang END WHEN 2 THEN 'not a JSON object' WHEN 3 THEN 'not a list of values'
+          WHEN 4 THEN 'empty value' WHEN 5 THEN 'value that isn''t a string' WHEN 6 THEN 'no dimensions' END AS problem
+        FROM documents WHERE doc_id % 7 > 0""",
+    "generic_nodes": "SELECT dimension, value, true AS covered FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, vs in GENERIC_TAXONOMY.items() for v in vs) + ") t(dimension, value) WHERE (SELECT count(*) FROM documents) > 0",
+    "vector_table": """SELECT vec_id AS id, CAST(label AS VARCHAR) AS domain, CAST(len(embedding) AS INTEGER) AS width, round(CAST(CAST(embedding[1] AS FLOAT) AS DOUBLE), 5) AS first
+        FROM embeddings WHERE CAST(label AS VARCHAR) = (SELECT min(CAST(label AS VARCHAR)) FROM embeddings)""",
+    "screen_passed": f"WITH {_SCREEN} SELECT doc_id FROM documents JOIN q USING (doc_id) WHERE s = 1",
+    "example_count": f"""WITH {PAIRS}, {_GOOD}, {_SAMPLE} SELECT 'all' AS which, count(*) AS n FROM ok
+        UNION ALL SELECT 'orders', count(*) FROM ok JOIN nodes n ON n.node_id = 'orders-' || lpad(CAST(conv_id AS VARCHAR), 6, '0')""",
+    "stream_screened": """SELECT doc_id, (r // 3) AS batch, CAST(r % 3 AS INTEGER) AS pos, CASE WHEN doc_id % 3 = 0 THEN 0.0 ELSE 1.0 END::DOUBLE AS prefilter_score
+        FROM (SELECT doc_id, row_number() OVER (PARTITION BY doc_id // 100 ORDER BY doc_id) - 1 AS r FROM documents)""",
+    "dedup_text": _first_wins_sql(),
+    "dedup_two_layers": _first_wins_sql(", v AS MATERIALIZED (SELECT vec_id, [CAST(x AS DOUBLE) FOR x IN embedding] AS v FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents))", f" UNION ALL {_COSINE}"),
     "stream_counts": "SELECT event_type, count(*) AS n FROM events GROUP BY 1",
     "stream_coverage": "SELECT dimension, value, count(*) AS n FROM (SELECT 'lang' AS dimension, lang AS value FROM documents UNION ALL SELECT 'source', source FROM documents) GROUP BY 1, 2",
     "stream_first_seen": "SELECT DISTINCT user_id FROM events",

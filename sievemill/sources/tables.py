@@ -23,6 +23,14 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
+def write_text(rows: DataFrame, path: str) -> None:
+    """One row's text (column ``value``) as one file at ``path``, through the file system that the path names."""
+    where = rows.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(rows.sparkSession.sparkContext._jsc.hadoopConfiguration()).create(where, True)
+    out.write(bytearray(rows.first()["value"].encode()))
+    out.close()
+
+
 def output_records(examples: DataFrame) -> DataFrame:
     """The nested output record of accepted examples (example_id, prompt, completion, taxonomy_node, rubric, ...)."""
     of = lambda c, kind: F.col(c) if c in examples.columns else F.lit(None).cast(kind)
@@ -110,7 +118,7 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """All checkpoint rows that parse; corrupt lines are left out."""
     if not _exists(spark, path):
         return spark.createDataFrame([], MANIFEST)
-    rows = spark.read.schema(MANIFEST + ", _corrupt_record string").json(path).cache()
+    rows = spark.read.schema(MANIFEST + ", _corrupt_record string").json(path)
     return rows.where("_corrupt_record is null and run_id is not null").drop("_corrupt_record")
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Settings
+from ..functions import replies
+from ..operators import requests, scoring
 from ..plans.curate import curate
 from ..sources import tables
 
@@ -49,6 +51,25 @@ def curate_stream(
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def screen_stream(stream: DataFrame, answer: Callable[[DataFrame], DataFrame], partition: str, order: list[str], out: str, checkpoint: str):
+    """Screen the examples of each micro-batch in batches and write them, with prefilter_score, to ``out``.
+
+    ``answer`` turns the requests of a micro-batch into replies (request_id, reply); what has no verdict in a reply fails. A micro-batch that is run again
+    replaces its own rows.
+    """
+
+    def step(rows: DataFrame, number: int) -> None:
+        keys = [partition, "batch"]
+        batched = requests.screening_batches(rows, partition, order)
+        told = batched.groupBy(*keys).agg(F.count("*").cast("int").alias("size"))
+        told = told.withColumn("request_id", requests.screening_id(partition))
+        told = told.join(answer(requests.screening_requests(batched, partition)).select("request_id", "reply"), "request_id", "left")
+        verdicts = replies.parse_verdicts(told, "reply", keys, "size")
+        scoring.screened(batched, verdicts, keys).write.mode("overwrite").parquet(f"{out}/micro={number}")
+
+    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def running_counts(stream: DataFrame, keys: list[str], name: str):
     """Live counters by ``keys`` in an in-memory table, until the stream has no more files."""
     counts = stream.groupBy(*keys).agg(F.count("*").alias("n"))

@@ -109,7 +109,7 @@ def test_rubric(text, rubric):
 
 
 def test_blocks_and_envelope(spark):
-    assert replies.balanced_objects('prefix {"a": 1} mid } {"b": {"c": 2}} tail') == ['{"a": 1}', '{"b": {"c": 2}}']
+    assert replies.balanced_objects('so: {"k": [4]} and }} or {"m": {"n": {}}}.') == ['{"k": [4]}', '{"m": {"n": {}}}']
     rows = spark.createDataFrame([('{"choices":[{"message":{"content":"x"}}]}',), ("{}",), ('{"choices":[]}',), (None,)], "r string")
     assert [r[0] for r in rows.select(replies.envelope_content("r")).collect()] == ["x", "", "", ""]
 
@@ -161,6 +161,39 @@ def test_two_layers(spark):
     assert dedup.deduplicate(df.where("ord < 0")).count() == 0
 
 
+def test_equal_vectors_and_widths(spark):
+    """Copies of a vector collide with each other and with all that their vector is linked to; zero vectors have no cosine."""
+    draw = np.random.default_rng(3)
+    base = draw.normal(size=(12, 6))
+    base[1] = base[0] + 0.01
+    base[2] = 0
+    which = [int(x) for x in draw.integers(0, 12, 80)]
+    rows = [(i, f"{i} " + "".join(chr(int(c)) for c in draw.integers(97, 123, 40)), base[w].tolist()) for i, w in enumerate(which)]
+    for metric in ("cosine", "proxy_l2sq"):
+        kept: list = []
+        for i, w in enumerate(which):
+            x, ys = base[w], base[[which[k] for k in kept]].reshape(-1, 6)
+            near = ys @ x / np.maximum(np.linalg.norm(ys, axis=1) * np.linalg.norm(x), 1e-300) if metric == "cosine" else 1 / (1 + ((ys - x) ** 2).sum(1))
+            if not (near >= 0.92).any():
+                kept.append(i)
+        got = dedup.deduplicate(spark.createDataFrame(rows, "ord long, text string, vector array<double>"), metric=metric)
+        assert [r.ord for r in got.where("reason is null").orderBy("ord").collect()] == kept and len(kept) < 80
+    odd = spark.createDataFrame([(0, "a", [1.0]), (1, "b", [1.0, 2.0])], "ord long, text string, vector array<double>")
+    with pytest.raises(ValueError, match="different dimensions: 1 and 2"):
+        dedup.deduplicate(odd)
+    with pytest.raises(ValueError, match="different dimensions"):
+        dedup.deduplicate(odd.where("ord = 0"), stored_vectors=odd.where("ord = 1").select(F.lit("s").alias("id"), "vector"))
+
+
+def test_pairs_of_blocks(spark):
+    x = np.random.default_rng(1).normal(size=(90, 3))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {(i, j) for i in range(90) for j in range(i + 1, 90) if unit[i] @ unit[j] >= 0.8}
+    got = similarity.similar_vectors(rows, rows, "cosine", 0.8, block=20, half=True).collect()
+    assert len(got) == len(want) and {(r.left_id, r.right_id) for r in got} == want
+
+
 def test_jaccard_links_against_all_pairs(spark):
     draw = random.Random(5)
     base = ["".join(draw.choice("abcd ") for _ in range(60)) for _ in range(6)]
@@ -182,12 +215,12 @@ def test_nearest(spark):
 
 
 def test_coverage_and_gaps(spark):
-    rows = spark.createDataFrame([("d", {"t": "billing"})] * 2 + [("d", {"t": "shipping"}), ("other", {"t": "billing"})], "domain string, dimensions map<string,string>")
-    assert {(r.value, r.n) for r in coverage.coverage(rows, "d").collect()} == {("billing", 2), ("shipping", 1)}
-    seen = spark.createDataFrame([("x", "a", 5), ("x", "b", 10), ("x", "c", 2)], "dimension string, value string, n long")
-    gaps = coverage.gaps(seen, 8)
-    assert [(r.value, r.deficit) for r in gaps.collect()] == [("c", 6), ("a", 3)]
-    assert coverage.total_deficit(gaps).first()[0] == 9
+    rows = spark.createDataFrame([("d", {"t": "rivers"})] * 2 + [("d", {"t": "lakes"}), ("other", {"t": "rivers"})], "domain string, dimensions map<string,string>")
+    assert {(r.value, r.n) for r in coverage.coverage(rows, "d").collect()} == {("rivers", 2), ("lakes", 1)}
+    seen = spark.createDataFrame([("x", "a", 7), ("x", "b", 31), ("x", "c", 1)], "dimension string, value string, n long")
+    gaps = coverage.gaps(seen, 12)
+    assert [(r.value, r.deficit) for r in gaps.collect()] == [("c", 11), ("a", 5)]
+    assert coverage.total_deficit(gaps).first()[0] == 16
     assert coverage.gaps(seen, 0).count() == 0 and coverage.gaps(seen, None).count() == 0
     tax = spark.createDataFrame([("x", "z")], "dimension string, value string")
     assert [(r.value, r.deficit) for r in coverage.gaps(seen, 8, tax).collect()] == [("z", 8)]

@@ -6,9 +6,11 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from sievemill.functions import replies
+from sievemill.config import Settings
+from sievemill.functions import embed, replies
 from sievemill.operators import scoring
 from sievemill.plans import curate as run
+from sievemill.plans import domain_run
 from sievemill.sources import tables
 from sievemill.streaming import continuous
 
@@ -16,7 +18,7 @@ RUBRIC = {"factuality": 5, "instruction_clarity": 4, "response_quality": 4, "dom
 
 
 def _examples(spark):
-    rows = [("e1", "n1", "नमस्ते", "ok", RUBRIC, 4.3, {"domain": "d", "topic": "a"}, dt.datetime(2026, 6, 7, 14, 22, 11)), ("e2", "n2", "q", "r", RUBRIC, 4.3, {}, dt.datetime(2026, 6, 7, 14, 22, 11))]
+    rows = [("e1", "n1", "नमस्ते", "ok", RUBRIC, 4.3, {"domain": "d", "topic": "a"}, dt.datetime(2025, 3, 9, 8, 15, 42)), ("e2", "n2", "q", "r", RUBRIC, 4.3, {}, dt.datetime(2025, 3, 9, 8, 15, 42))]
     return spark.createDataFrame(rows, "example_id string, node_id string, prompt string, completion string, rubric map<string,int>, composite_score double, taxonomy_node map<string,string>, created_at timestamp")
 
 
@@ -26,7 +28,7 @@ def test_jsonl(spark, tmp_path):
     tables.write_jsonl(_examples(spark), path)
     lines = [x for f in sorted((tmp_path / "out").glob("part-*")) for x in f.read_text().splitlines()]
     one = next(json.loads(x) for x in lines if '"e1"' in x)
-    assert one["reasoning_trace"] is None and one["metadata"]["timestamp"] == "2026-06-07T14:22:11Z" and "नमस्ते" in "".join(lines)
+    assert one["reasoning_trace"] is None and one["metadata"]["timestamp"] == "2025-03-09T08:15:42Z" and "नमस्ते" in "".join(lines)
     assert tables.read_jsonl(spark, path).count() == 4 and tables.read_jsonl(spark, path, preview=2).count() == 2
 
 
@@ -76,6 +78,50 @@ def test_curate(spark):
     assert run.curate(_generated(spark), _nodes(spark), _judge, target=2)[0].count() == 2
 
 
+def test_domain_run_resumes(spark, tmp_path):
+    """A run to a first target and another to a higher one, which leaves out what came already; checkpoints count all of a domain."""
+    tax = spark.createDataFrame([("t", v, i) for i, v in enumerate("abcde")], "dimension string, value string, ordinal int")
+    asked = []
+
+    def generate(requests):
+        ids = sorted(r.node_id for r in requests.collect())
+        asked.append(ids)
+        words = lambda n: " ".join(f"{chr(97 + (n * 7 + k * 5) % 26)}{n * 31 + k * k}" for k in range(12))
+        rows = [(x, int(x[-6:]), json.dumps([{"instruction": words(int(x[-6:]) * 2), "response": words(int(x[-6:]) * 2 + 1)}])) for x in ids]
+        return spark.createDataFrame(rows, "node_id string, ord long, reply string")
+
+    out, few = str(tmp_path / "run"), Settings(checkpoint_every=4, embedding_dim=16)
+    first = domain_run.run_domain(tax, "d", 10, generate, _judge, out, seed=3, embedder=embed.hashing_embedder(16), settings=few).orderBy("accepted_count").collect()
+    assert [(r.accepted_count, r.target) for r in first] == [(4, 10), (8, 10), (10, 10)] and len(asked[0]) == 15
+    assert [r.rejected_count is None for r in first] == [True, True, False]
+    assert sum(first[-1].taxonomy_coverage.values()) == 10
+    assert 1 < first[0].vendi_score < first[-1].vendi_score <= 10
+    second = domain_run.run_domain(tax, "d", 12, generate, _judge, out, seed=3, embedder=embed.hashing_embedder(16), settings=few).collect()
+    assert [(r.accepted_count, sum(r.taxonomy_coverage.values())) for r in second] == [(12, 12)]
+    done = {r.node_id for r in spark.read.parquet(f"{out}/examples").collect()}
+    assert len(done) == 12 and not set(asked[1]) & {f"d-{n:06d}" for n in range(10)}
+    records = tables.read_jsonl(spark, f"{out}/jsonl")
+    assert records.count() == 12 and records.where("metadata.nearest_neighbor_similarity > 0").count() == 12
+    met = domain_run.run_domain(tax, "d", 12, generate, _judge, out, seed=3, embedder=embed.hashing_embedder(16), settings=few).collect()
+    assert [(r.accepted_count, r.rejected_count) for r in met] == [(12, 0)] and len(asked) == 2
+    assert tables.status(spark, f"{out}/manifest", "d").first()["accepted_count"] == 12
+
+
+def test_domain_run_without_an_accepted_example(spark, tmp_path):
+    tax = spark.createDataFrame([("t", "a", 0)], "dimension string, value string, ordinal int")
+    nothing = lambda requests: requests.select("node_id", F.lit("no list").alias("reply"), F.lit(1).cast("long").alias("ord"))
+    rows = domain_run.run_domain(tax, "d", 3, nothing, _judge, str(tmp_path / "run")).collect()
+    assert [(r.accepted_count, r.vendi_score) for r in rows] == [(0, None)]
+
+
+def test_judge_by_tables(spark):
+    examples = spark.createDataFrame([("a",), ("b",), ("c",)], "example_id string")
+    screening = spark.createDataFrame([("a", True), ("b", False)], "example_id string, passed boolean")
+    scores = spark.createDataFrame([("a", json.dumps(RUBRIC)), ("b", "none")], "example_id string, reply string")
+    got = {r.example_id: (r.prefilter_score, r.verdict) for r in run.judge_by_tables(examples, screening, scores).collect()}
+    assert got == {"a": (1.0, "accept"), "b": (0.0, "reject"), "c": (0.0, "reject")}
+
+
 def test_stream(spark, tmp_path):
     src, out, at = (str(tmp_path / x) for x in ("in", "out", "at"))
     for i in range(2):
