@@ -30,9 +30,11 @@ def _starts(b: str, k: int) -> str:
     return f"sequence(1, greatest(octet_length({b}) - {2 * k - 1}, 1), 2)"
 
 
-def shingle_set(b: str, k: int) -> Column:
-    """The distinct hashes, of 32 bits, of a line's shingles of ``k`` UTF-16 characters, from its UTF-16 bytes."""
-    return F.expr(f"array_distinct(transform({_starts(b, k)}, i -> hash(substring({b}, i, {2 * k}))))")
+def shingle_sets(lines: DataFrame, k: int) -> DataFrame:
+    """line_id, shingles: the distinct hashes, of 32 bits, of each line's shingles of ``k`` UTF-16 characters. ``lines`` is grouped by line_id already."""
+    b = lines.select("line_id", F.encode("line", "UTF-16BE").alias("b"))
+    at = b.select("line_id", "b", F.explode(F.expr(_starts("b", k))).alias("i"))
+    return at.select("line_id", F.expr(f"hash(substring(b, i, {2 * k}))").alias("h")).groupBy("line_id").agg(F.collect_set("h").alias("shingles"))
 
 
 def signatures(lines: DataFrame, k: int, hashes: int) -> DataFrame:
@@ -45,7 +47,8 @@ def signatures(lines: DataFrame, k: int, hashes: int) -> DataFrame:
     both = F.when(n < LONG, F.array(F.lit(False))).when(n < LONG * 5 // 4, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(True)))
     b = lines.select("line_id", F.encode("line", "UTF-16BE").alias("b")).select("line_id", "b", F.explode(both).alias("long"))
     at = b.select("line_id", "long", "b", F.explode(F.expr(_starts("b", k))).alias("i"))  # one generated loop
-    h = at.select("line_id", "long", F.expr(f"xxhash64(substring(b, i, {2 * k}))").alias("h")).where("not long or (h & 3) = 0")
+    # The zero that is added isn't deterministic for Catalyst, so the filter stays above the hash and doesn't compute it again.
+    h = at.select("line_id", "long", F.expr(f"xxhash64(substring(b, i, {2 * k})) + (spark_partition_id() & 0)").alias("h")).where("not long or (h & 3) = 0")
     return h.groupBy("line_id", "long").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(c))).alias(f"s{n}") for n, c in enumerate(_constants[:hashes])])
 
 
@@ -123,8 +126,8 @@ def line_components(lines: DataFrame, k: int, percent: int, bands: int, band_row
     members = stored(_among(bucketed, "bucket", hot.select("bucket")).join(hot, "bucket"), "members")
     forget(signed, hot)
     ids = members.select("line_id")
-    texts = _among(lines.select("line_id", "line"), "line_id", ids).join(ids, "line_id", "left_semi").groupBy("line_id").agg(F.first("line").alias("line"))
-    sets = stored(texts.select("line_id", F.encode("line", "UTF-16BE").alias("b")).select("line_id", shingle_set("b", k).alias("shingles")), "sets")
+    texts = _among(lines.select("line_id", "line"), "line_id", ids).groupBy("line_id").agg(F.first("line").alias("line")).join(ids, "line_id", "left_semi")
+    sets = stored(shingle_sets(texts, k), "sets")
     known = stored(sketches(sets), "sketches")
 
     # Every member of a bucket against its first and last, which settles buckets of up to three.
