@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, line_dedup, mixing, neardup, ngram_join, packing, pii, quality, sharding, topk
+from . import filter_audit, langid, line_dedup, mixing, neardup, ngram_join, packing, phrases, pii, quality, sharding, topk
 from .common import table
 
 
@@ -64,6 +64,14 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents").select("text", "lang"), least=100, top=2000)
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_packing": op2_packing,
@@ -75,9 +83,55 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_ngram_join": op9_ngram_join,
     "op10_pii": op10_pii,
+    "op11_filter_audit": op11_filter_audit,
+    "op13_phrases": op13_phrases,
 }
 
 ORACLES = {
+    "op11_filter_audit": r"""
+        WITH RECURSIVE d AS (
+          SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), l AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY 1),
+        m AS (
+          SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+            CAST(len(w) < 100 AS INT) + 2 * CAST(100 * len(list_distinct(w)) < 80 * len(w) AS INT)
+            + 4 * CAST(100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) AS INT) + 8 * CAST(regexp_matches(t, '[#$%&*|]') AS INT)
+            + 16 * CAST(coalesce(min(doc_id) OVER (PARTITION BY t) < doc_id, false) AS INT) AS mask
+          FROM d LEFT JOIN l USING (doc_id)
+        ), c AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY 1, 2),
+        o(o) AS (SELECT '' UNION ALL SELECT o || f FROM o, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f) WHERE NOT contains(o, f)),
+        b AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f, unnest([1, 2, 4, 8, 16]) AS bit),
+        s AS (
+          SELECT o AS filter_order, CAST(step AS INTEGER) AS step, o[step] AS f, (SELECT bit FROM b WHERE b.f = o[step]) AS own,
+            coalesce((SELECT sum(bit) FROM b WHERE contains(o[1:step - 1], b.f)), 0)::INT AS before
+          FROM o, (SELECT unnest([1, 2, 3, 4, 5]) AS step) WHERE length(o) = 5
+        ), r AS (
+          SELECT part, filter_order, step, f,
+            sum(CASE WHEN mask & (before | own) = 0 THEN n ELSE 0 END)::BIGINT AS kept, sum(CASE WHEN mask & before = 0 AND mask & own > 0 THEN n ELSE 0 END)::BIGINT AS removed,
+            sum(CASE WHEN mask & before > 0 AND mask & own > 0 THEN n ELSE 0 END)::BIGINT AS redundant, sum(CASE WHEN mask = own THEN n ELSE 0 END)::BIGINT AS unique_fails,
+            sum(CASE WHEN mask & before = 0 AND mask & own > 0 THEN good ELSE 0 END)::BIGINT AS good_lost, sum(CASE WHEN mask & before = 0 AND mask & own > 0 THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+          FROM c, s GROUP BY 1, 2, 3, 4
+        )
+        SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley FROM r""",
+    "op13_phrases": r"""
+        WITH p AS (
+          SELECT doc_id, coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+        ), w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+        total AS (SELECT lang, sum(len(w))::HUGEINT AS n FROM w GROUP BY 1),
+        g AS (SELECT lang, k, unnest([array_to_string(w[i:i + k - 1], ' ') FOR i IN range(1, len(w) - k + 2)]) AS phrase FROM w, (SELECT unnest([1, 2, 3, 4, 5]) AS k) WHERE len(w) >= k),
+        f AS MATERIALIZED (SELECT lang, k, phrase, count(*)::HUGEINT AS f FROM g GROUP BY 1, 2, 3 HAVING count(*) >= 100),
+        kept AS (
+          SELECT * FROM f WHERE k > 1 AND NOT EXISTS (
+            SELECT 1 FROM f y WHERE y.lang = f.lang AND y.k > f.k AND 100 * y.f >= 100 * f.f AND contains(' ' || y.phrase || ' ', ' ' || f.phrase || ' '))
+        ), cut AS (
+          SELECT kept.lang, kept.phrase, kept.f AS a, c, array_to_string(string_split(kept.phrase, ' ')[1:c], ' ') AS x, array_to_string(string_split(kept.phrase, ' ')[c + 1:], ' ') AS y
+          FROM kept, (SELECT unnest([1, 2, 3, 4]) AS c) WHERE c < k
+        ), s AS (
+          SELECT cut.lang, cut.phrase, a, c, l.f AS l, r.f AS r, n, (1000 * a * n) // (l.f * r.f) AS score
+          FROM cut JOIN f l ON l.lang = cut.lang AND l.phrase = x JOIN f r ON r.lang = cut.lang AND r.phrase = y JOIN total ON total.lang = cut.lang
+        ), best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+        FROM best QUALIFY rank <= 2000""",
     "op4_neardup": """
         WITH RECURSIVE v AS (
           SELECT vec_id, label, [CAST(x AS DOUBLE) FOR x IN embedding] AS v FROM embeddings
