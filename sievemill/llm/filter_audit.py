@@ -2,14 +2,15 @@
 
 Duplicates are found by radix tries. Texts are dealt by ranges of their bytes, cut at adaptive prefixes: a prefix that holds more than its
 share of bytes is opened at its next byte, past what all its texts have in common. A task inserts its whole texts into one compressed
-trie, whose terminals hold the smallest id and counts by part; the traverse tells duplicates and reduces all to counts of masks. Copies of
-a text are added up before the exchange, so a text comes once from each task that read it.
+trie, whose terminals hold the smallest id; the traverse gives each different text its smallest id and what else it fails. Copies of
+a text meet before the exchange, so a text comes once from each task that read it, and no text travels a second time: documents
+meet labels and terminals as ids and digests.
 """
 
 from __future__ import annotations
 
+import hashlib
 from bisect import bisect_right
-from collections import defaultdict
 from collections.abc import Iterator
 from itertools import permutations
 
@@ -26,8 +27,7 @@ SIGNS = b"#$%&*|"
 _UPPER = bytes(range(ord("A"), ord("Z") + 1))
 _CONTINUED = bytes(range(0x80, 0xC0))  # bytes that continue a code point
 COMBINE_BYTES = 16 << 20  # of distinct texts that a task holds before it sends them on
-_COUNTS = ("first", "n_first", "good_first", "toxic_first", "n", "good", "toxic")
-_SENT = "part string, text binary, bucket int, " + ", ".join(f"{c} long" for c in _COUNTS)
+ROW_BYTES = 256  # what a row weighs besides its text
 
 
 def text_mask(text: bytes) -> int:
@@ -87,17 +87,6 @@ class RadixTrie:
                 yield node[2]
 
 
-def _add(to: list, more) -> None:
-    """Adds counts (of ``_COUNTS``) to others of the same text and part."""
-    first, n, good, toxic, *all_ = more
-    if to[0] is None or first < to[0]:
-        to[:4] = first, n, good, toxic
-    elif first == to[0]:
-        to[1:4] = to[1] + n, to[2] + good, to[3] + toxic
-    for i, x in enumerate(all_, 4):
-        to[i] += x
-
-
 def splitters(texts: DataFrame, parts: int, rounds: int = 8) -> list[bytes]:
     """Prefixes that cut ``texts`` (text binary) into about ``parts`` ranges of even bytes.
 
@@ -119,7 +108,7 @@ def splitters(texts: DataFrame, parts: int, rounds: int = 8) -> list[bytes]:
                         continue
                     k = len(nodes[i])
                     child = seen.setdefault((i, t[k] if k < len(t) else -1), [0, t[: k + 4096]])
-                    child[0] += len(t) + 8
+                    child[0] += len(t) + ROW_BYTES
                     if not t.startswith(child[1]):
                         child[1] = child[1][: _common(child[1], t)]
             rows = [(nodes[i], b, w, p) for (i, b), (w, p) in seen.items()]
@@ -148,39 +137,25 @@ def splitters(texts: DataFrame, parts: int, rounds: int = 8) -> list[bytes]:
     return bounds
 
 
-def text_masks(docs: DataFrame, labels: DataFrame, part_bytes: int = 32 << 20) -> DataFrame:
-    """part, mask, n, good, toxic: documents by part (``lang``) and by the filters they fail, bit 0 for A to bit 4 for E.
-
-    ``docs`` has doc_id, text, lang; ``labels`` doc_id, quality, toxic. Null texts are empty ones, a null ``lang`` is the empty part. A
-    document fails E if a smaller ``doc_id`` has the same text; rows that repeat an id have no smaller one in each other, and rows
-    without an id are no copies and make none. Of several labels of an id, any that says 1 counts. Other columns, whatever their names, stay out.
-    """
-    spark = docs.sparkSession
-    told = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("quality") == 1).alias("good"), F.max(F.col("toxic") == 1).alias("toxic"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit("")).alias("part"), text_or_empty("text").cast("binary").alias("text"))
-    total = rows.agg(F.sum(F.length("text") + 8)).first()[0] or 0
-    parts = max(shuffle_partitions(spark), -(-total // part_bytes))
-    bounds = splitters(rows.select("text"), parts)
+def first_ids(docs: DataFrame, part_bytes: int = 32 << 20) -> DataFrame:
+    """digest (SHA-256), mask (filters A to D), first (smallest doc_id; null if no row has one) of each different text of ``docs`` (doc_id long, text binary)."""
+    total = docs.agg(F.sum(F.length("text") + ROW_BYTES)).first()[0] or 0
+    bounds = splitters(docs.select("text"), max(shuffle_partitions(docs.sparkSession), -(-total // part_bytes)))
+    smaller = lambda a, b: b if a is None else a if b is None else min(a, b)
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = {}
         size = 0
 
         def send():
-            columns = [*zip(*((part, text, bisect_right(bounds, text) - 1, *c) for (part, text), c in held.items()), strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, kinds, strict=True)], names=names)
+            buckets = [bisect_right(bounds, t) - 1 for t in held]
+            return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()), pa.array(buckets, pa.int32()), pa.array(held.values(), pa.int64())], names=["text", "bucket", "first"])
 
-        names = ["part", "text", "bucket", *_COUNTS]
-        kinds = [pa.string(), pa.binary(), pa.int32(), *[pa.int64()] * len(_COUNTS)]
         for batch in batches:
-            columns = [batch[c].to_pylist() for c in ("doc_id", "part", "text", "good", "toxic")]
-            for doc_id, part, text, good, toxic in zip(*columns, strict=True):
-                one = held.get((part, text))
-                if one is None:
-                    one = held[part, text] = [None, 0, 0, 0, 0, 0, 0]
-                    size += len(text) + 200
-                good, toxic = int(bool(good)), int(bool(toxic))
-                _add(one, (doc_id, 1, good, toxic, 1, good, toxic))
+            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
+                if text not in held:
+                    size += len(text) + ROW_BYTES
+                held[text] = smaller(held.get(text), doc_id)
                 if size > COMBINE_BYTES:
                     yield send()
                     held, size = {}, 0
@@ -188,35 +163,36 @@ def text_masks(docs: DataFrame, labels: DataFrame, part_bytes: int = 32 << 20) -
             yield send()
 
     def tries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = RadixTrie(lambda text: (text_mask(text), {}))
+        trie = RadixTrie(lambda text: [hashlib.sha256(text).digest(), text_mask(text), None])
         for batch in batches:
-            for part, text, *counts in zip(*(batch[c].to_pylist() for c in ("part", "text", *_COUNTS)), strict=True):
-                _add(trie.at(text)[1].setdefault(part, [None, 0, 0, 0, 0, 0, 0]), counts)
-        found: dict = defaultdict(lambda: [0, 0, 0])
-        for mask, by_part in trie.terminals():
-            first = min(c[0] for c in by_part.values())
-            for part, (own, *counts) in by_part.items():
-                once = counts[:3] if own == first else (0, 0, 0)
-                for m, c in ((mask, once), (mask | 16, [a - b for a, b in zip(counts[3:], once, strict=True)])):
-                    for i in range(3):
-                        found[part, m][i] += c[i]
-        rows_ = [(p, m, *c) for (p, m), c in found.items() if any(c)]
-        columns = [*zip(*rows_, strict=True)] or [[]] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, [pa.string(), pa.int32(), *[pa.int64()] * 3], strict=True)], names=["part", "mask", "n", "good", "toxic"])
-
-    # Rows without an id are in no terminal: they fail what their text fails.
-    marked = rows.where("doc_id is not null").join(told, "doc_id", "left").select("doc_id", "part", "text", "good", "toxic")
-    sent = marked.mapInArrow(combine, _SENT).repartitionById(len(bounds), "bucket")
-    out = sent.mapInArrow(tries, "part string, mask int, n long, good long, toxic long")
-
-    def loose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            masks = pa.array([text_mask(t) for t in batch["text"].to_pylist()], pa.int32())
-            yield pa.RecordBatch.from_arrays([batch["part"], masks], names=["part", "mask"])
+            for text, first in zip(batch["text"].to_pylist(), batch["first"].to_pylist(), strict=True):
+                terminal = trie.at(text)
+                terminal[2] = smaller(terminal[2], first)
+        found = [*zip(*trie.terminals(), strict=True)] or [[]] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(found, (pa.binary(), pa.int32(), pa.int64()), strict=True)], names=["digest", "mask", "first"])
+
+    sent = docs.mapInArrow(combine, "text binary, bucket int, first long").repartitionById(len(bounds), "bucket")
+    return sent.mapInArrow(tries, "digest binary, mask int, first long")
 
-    without = rows.where("doc_id is null").select("part", "text").mapInArrow(loose, "part string, mask int").groupBy("part", "mask").agg(F.count("*").alias("n"))
-    out = out.unionByName(without.select("part", "mask", "n", F.lit(0).cast("long").alias("good"), F.lit(0).cast("long").alias("toxic")))
-    return out.groupBy("part", "mask").agg(*[F.sum(c).alias(c) for c in ("n", "good", "toxic")])
+
+def document_masks(docs: DataFrame, part_bytes: int = 32 << 20) -> DataFrame:
+    """doc_id, part (``lang``), mask of every row of ``docs`` (doc_id, text, lang): the filters it fails, bit 0 for A to bit 4 for E.
+
+    Null texts are empty ones, a null ``lang`` is the empty part. A document fails E if a smaller ``doc_id`` has the same text; rows that
+    repeat an id have no smaller one in each other, and rows without an id don't fail it and make none fail. Other columns, whatever their names, stay out.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit("")).alias("part"), text_or_empty("text").cast("binary").alias("text"))
+    told = first_ids(rows.select("doc_id", "text"), part_bytes)
+    rows = rows.select("doc_id", "part", F.unhex(F.sha2("text", 256)).alias("digest")).join(told, "digest")
+    later = F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False))
+    return rows.select("doc_id", "part", (F.col("mask") + F.when(later, 16).otherwise(0)).alias("mask"))
+
+
+def count_masks(masks: DataFrame, labels: DataFrame) -> DataFrame:
+    """part, mask, n, good, toxic of ``masks`` (doc_id, part, mask). ``labels``: doc_id, quality, toxic; of several of an id, any that says 1 counts."""
+    told = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("quality") == 1).alias("good"), F.max(F.col("toxic") == 1).alias("toxic"))
+    rows = masks.join(told, "doc_id", "left")
+    return rows.groupBy("part", "mask").agg(F.count("*").alias("n"), *[F.count(F.when(F.col(c), 1)).alias(c) for c in ("good", "toxic")])
 
 
 def _bits(letters: Column) -> Column:
@@ -247,5 +223,5 @@ def audit_orders(masks: DataFrame) -> DataFrame:
 
 
 def audit_filters(docs: DataFrame, labels: DataFrame, part_bytes: int = 32 << 20) -> DataFrame:
-    """``audit_orders`` of ``text_masks``; an empty table gives no row."""
-    return audit_orders(stored(text_masks(docs, labels, part_bytes), "masks"))
+    """``audit_orders`` of the documents' masks; an empty table gives no row."""
+    return audit_orders(stored(count_masks(document_masks(docs, part_bytes), labels), "masks"))
