@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import forget, stored, text_or_empty
+from .common import forget, free_shuffles, stored, text_or_empty
 
 DEPTH = 4  # of the sorted contexts: phrases of one more word have their counts, not their intervals
 SHARD_BYTES = 8 << 20  # of text in a shard
@@ -95,20 +95,20 @@ def extend(bwt: np.ndarray, low: np.ndarray, size: np.ndarray) -> tuple[np.ndarr
     return of, sym, count, back[at[first]], first - begin[of]
 
 
-_INDEX = "lang string, shard string, n_words long, words array<binary>, counts array<int>, forward binary, reverse binary"
-_FOUND = "lang string, shard string, phrase binary, c long, low int, low_reverse int"
+_INDEX = "lang string, shard int, n_words long, words array<binary>, counts array<int>, forward binary, reverse binary"
+_FOUND = "lang string, shard int, phrase binary, c int, low int, low_reverse int"
 
 
 def build_indexes(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """One row for each shard: lang, shard, n_words, its words and their counts, both transforms. ``docs`` has text, lang; texts stay in the tasks that read them."""
+    """One row for each shard: lang, shard (its task and a number there), n_words, its words and their counts, both transforms. ``docs`` has text, lang; texts stay in the tasks that read them."""
     names = ["lang", "shard", "n_words", "words", "counts", "forward", "reverse"]
 
-    def index(lang: str, texts: list, shard: str) -> pa.RecordBatch:
+    def index(lang: str, texts: list, shard: int) -> pa.RecordBatch:
         s, words = symbols(np.frombuffer(b"\n".join(texts), dtype=np.uint8))
         two = [np.ascontiguousarray(transform(x)).tobytes() for x in (s, s[::-1])]
         counts = pa.array(np.bincount(s, minlength=len(words) + 1)[1:].astype(np.int32))
         held = [pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), x) for x in (words, counts)]
-        return pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([shard]), pa.array([int((s > 0).sum())], pa.int64()), *held, *[pa.array([x], pa.binary()) for x in two]], names=names)
+        return pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([shard], pa.int32()), pa.array([int((s > 0).sum())], pa.int64()), *held, *[pa.array([x], pa.binary()) for x in two]], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -122,10 +122,10 @@ def build_indexes(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
                     lang = max(sizes, key=sizes.get)
                     number += 1
                     sizes.pop(lang)
-                    yield index(lang, held.pop(lang), f"{part}-{number}")
+                    yield index(lang, held.pop(lang), part << 12 | number)
         for lang, texts in held.items():
             number += 1
-            yield index(lang, texts, f"{part}-{number}")
+            yield index(lang, texts, part << 12 | number)
 
     rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), text_or_empty("text").cast("binary").alias("text"))
     return rows.mapInArrow(run, _INDEX)
@@ -153,10 +153,9 @@ def _mix(ids: np.ndarray) -> np.ndarray:
     return out
 
 
-def _table(lang: str, shard: str, phrases: pa.Array, *numbers: np.ndarray) -> pa.Table:
+def _table(lang: str, shard: int, phrases: pa.Array, *numbers: np.ndarray) -> pa.Table:
     n = len(phrases)
-    kinds = [pa.int64(), pa.int32(), pa.int32()]
-    return pa.table([pa.array([lang] * n, pa.string()), pa.array([shard] * n, pa.string()), phrases, *[pa.array(x.astype(np.int64)).cast(k) for x, k in zip(numbers, kinds, strict=True)]], names=["lang", "shard", "phrase", "c", "low", "low_reverse"])
+    return pa.table([pa.array([lang] * n, pa.string()), pa.array(np.full(n, shard, dtype=np.int32)), phrases, *[pa.array(x.astype(np.int32)) for x in numbers]], names=["lang", "shard", "phrase", "c", "low", "low_reverse"])
 
 
 def _first_level(index: DataFrame) -> DataFrame:
@@ -164,7 +163,7 @@ def _first_level(index: DataFrame) -> DataFrame:
     rows = index.select("lang", "shard", (F.octet_length("forward") / 4).cast("int").alias("all"), "n_words", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "w"))
     before = F.sum("w.counts").over(W.partitionBy("lang", "shard").orderBy("at")) - F.col("w.counts")
     low = (F.col("all") - F.col("n_words") + before).cast("int")
-    return rows.select("lang", "shard", F.col("w.words").alias("phrase"), F.col("w.counts").cast("long").alias("c"), low.alias("low"), low.alias("low_reverse"))
+    return rows.select("lang", "shard", F.col("w.words").alias("phrase"), F.col("w.counts").alias("c"), low.alias("low"), low.alias("low_reverse"))
 
 
 def _next_level(level: int, rightwards: bool):
@@ -172,7 +171,7 @@ def _next_level(level: int, rightwards: bool):
 
     def run(index: pa.Table, frequent: pa.Table) -> pa.Table:
         if not index.num_rows or not frequent.num_rows:
-            return _table("", "", pa.array([], pa.binary()), *[np.zeros(0)] * 3)
+            return _table("", 0, pa.array([], pa.binary()), *[np.zeros(0)] * 3)
         lang, shard = index["lang"][0].as_py(), index["shard"][0].as_py()
         words = index["words"].chunk(0)[0].values
         bwt = np.frombuffer(index["reverse" if rightwards else "forward"][0].as_py(), dtype=np.int32)
@@ -213,6 +212,7 @@ def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = DEPTH + 1
             rightwards = level % 2 == 1
             side = index.select("lang", "shard", "words", "reverse" if rightwards else "forward")
             mine = held[-1].drop("f")
+            free_shuffles(docs.sparkSession)  # of the level before
             found = side.groupBy("lang", "shard").cogroup(mine.groupBy("lang", "shard")).applyInArrow(_next_level(level, rightwards), _FOUND)
     f = None
     for level, rows in enumerate(held, 1):
