@@ -12,7 +12,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -96,7 +95,21 @@ def extend(bwt: np.ndarray, low: np.ndarray, size: np.ndarray) -> tuple[np.ndarr
 
 
 _INDEX = "lang string, shard int, n_words long, words array<binary>, counts array<int>, forward binary, reverse binary"
-_FOUND = "lang string, shard int, phrase binary, c int, low int, low_reverse int"
+_FOUND = "shard int, p long, q long, c int, low int, low_reverse int"
+
+
+def _packed(numbers: np.ndarray) -> bytes:
+    """Compressed byte by byte of the numbers: words that come early are frequent and have small ones."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(numbers.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def _unpacked(blob: bytes) -> np.ndarray:
+    import zstandard
+
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), dtype=np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<i4").ravel().astype(np.int32)
 
 
 def build_indexes(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -105,7 +118,7 @@ def build_indexes(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
 
     def index(lang: str, texts: list, shard: int) -> pa.RecordBatch:
         s, words = symbols(np.frombuffer(b"\n".join(texts), dtype=np.uint8))
-        two = [np.ascontiguousarray(transform(x)).tobytes() for x in (s, s[::-1])]
+        two = [_packed(transform(x)) for x in (s, s[::-1])]
         counts = pa.array(np.bincount(s, minlength=len(words) + 1)[1:].astype(np.int32))
         held = [pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), x) for x in (words, counts)]
         return pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([shard], pa.int32()), pa.array([int((s > 0).sum())], pa.int64()), *held, *[pa.array([x], pa.binary()) for x in two]], names=names)
@@ -131,95 +144,100 @@ def build_indexes(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     return rows.mapInArrow(run, _INDEX)
 
 
-def _phrases(words: pa.Array, ids: np.ndarray) -> pa.Array:
-    """Space-joined words of each row of ``ids`` (numbers from 1)."""
-    columns = [words.take(pa.array(c - 1)) for c in ids.T]
-    return pc.binary_join_element_wise(*columns, pa.scalar(b" ", pa.binary())) if len(columns) > 1 else columns[0]
-
-
-def _numbers(words: pa.Array, phrases: pa.Array, level: int) -> np.ndarray:
-    """The rows that ``_phrases`` made ``phrases`` of."""
-    if level == 1:
-        return (pc.index_in(phrases, value_set=words).to_numpy() + 1).astype(np.int32)[:, None]
-    parts = pc.split_pattern(phrases, b" ").flatten()
-    return (pc.index_in(parts, value_set=words).to_numpy() + 1).astype(np.int32).reshape(-1, level)
-
-
-def _mix(ids: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(ids), dtype=np.uint64)
-    for c in ids.T:
-        out = (out ^ c.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-        out ^= out >> np.uint64(29)
-    return out
-
-
-def _table(lang: str, shard: int, phrases: pa.Array, *numbers: np.ndarray) -> pa.Table:
-    n = len(phrases)
-    return pa.table([pa.array([lang] * n, pa.string()), pa.array(np.full(n, shard, dtype=np.int32)), phrases, *[pa.array(x.astype(np.int32)) for x in numbers]], names=["lang", "shard", "phrase", "c", "low", "low_reverse"])
-
-
 def _first_level(index: DataFrame) -> DataFrame:
-    """Single words: both intervals are the word's block of the sorted symbols, after the ends of pieces and the words before it."""
-    rows = index.select("lang", "shard", (F.octet_length("forward") / 4).cast("int").alias("all"), "n_words", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "w"))
-    before = F.sum("w.counts").over(W.partitionBy("lang", "shard").orderBy("at")) - F.col("w.counts")
-    low = (F.col("all") - F.col("n_words") + before).cast("int")
-    return rows.select("lang", "shard", F.col("w.words").alias("phrase"), F.col("w.counts").alias("c"), low.alias("low"), low.alias("low_reverse"))
+    """lang, word, shard, c, low of single words. Both intervals are the word's block of the sorted symbols, where ``low`` counts the words before it, not the ends of pieces."""
+    rows = index.select("lang", "shard", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "w"))
+    before = F.sum("w.counts").over(W.partitionBy("shard").orderBy("at")) - F.col("w.counts")
+    return rows.select("lang", F.col("w.words").alias("word"), "shard", F.col("w.counts").alias("c"), before.cast("int").alias("low"))
 
 
 def _next_level(level: int, rightwards: bool):
-    """Extends a shard's frequent phrases of ``level`` words by one of its frequent words."""
+    """Extends a shard's frequent phrases of ``level`` words by one of its frequent words, to the right or to the left.
+
+    A phrase stands by the number of what it is less its last word, ``p``, and less its first, ``q``: both have to be frequent. Its first
+    and last word are those in whose block its intervals lie.
+    """
 
     def run(index: pa.Table, frequent: pa.Table) -> pa.Table:
         if not index.num_rows or not frequent.num_rows:
-            return _table("", 0, pa.array([], pa.binary()), *[np.zeros(0)] * 3)
-        lang, shard = index["lang"][0].as_py(), index["shard"][0].as_py()
-        words = index["words"].chunk(0)[0].values
-        bwt = np.frombuffer(index["reverse" if rightwards else "forward"][0].as_py(), dtype=np.int32)
-        mine = frequent.combine_chunks()
-        order = np.argsort(mine["low_reverse" if rightwards else "low"].to_numpy(), kind="stable")
-        ids = _numbers(words, pc.cast(mine["phrase"].combine_chunks(), pa.binary()), level)[order]
-        low, low_reverse, c = (mine[x].to_numpy()[order].astype(np.int64) for x in ("low", "low_reverse", "c"))
-        of, sym, count, new, smaller = extend(bwt, low_reverse if rightwards else low, c)
-        ok = sym > 0
-        # The other part of a frequent phrase is frequent as well; equal hashes can only keep a phrase too many.
-        known = np.sort(_mix(ids))
-        other = lambda of, sym: np.concatenate([ids[of][:, 1:], sym[:, None]] if rightwards else [sym[:, None], ids[of][:, :-1]], axis=1)
-        hashes = _mix(other(of, sym))
-        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-        ok &= known[at] == hashes
+            return pa.table([pa.array([], k) for k in kinds], names=names)
+        bwt = _unpacked(index["side"][0].as_py())
+        begin = np.cumsum(np.bincount(bwt))  # where the block of symbol i + 1 begins
+        block = lambda low: np.searchsorted(begin, low, side="right")
+        number = np.full(len(begin) + 1, -1, dtype=np.int64)  # of a symbol, if it is a frequent word
+        number[block(begin[0] + index["lows"].chunk(0)[0].values.to_numpy())] = index["numbers"].chunk(0)[0].values.to_numpy()
+        own, p, q, c, low, low_reverse = (frequent[x].to_numpy().astype(np.int64) for x in ("number", "p", "q", "c", "low", "low_reverse"))
+        if level == 1:
+            low = low_reverse = low + begin[0]
+        here = low_reverse if rightwards else low
+        order = np.argsort(here, kind="stable")
+        own, p, q, c, low, low_reverse, here = (x[order] for x in (own, p, q, c, low, low_reverse, here))
+        of, sym, count, new, smaller = extend(bwt, here, c)
+        ok = number[sym] >= 0
         of, sym, count, new, smaller = (x[ok] for x in (of, sym, count, new, smaller))
-        longer = np.concatenate([ids[of], sym[:, None]] if rightwards else [sym[:, None], ids[of]], axis=1)
-        if rightwards:
-            return _table(lang, shard, _phrases(words, longer), count, low[of] + smaller, new)
-        return _table(lang, shard, _phrases(words, longer), count, new, low_reverse[of] + smaller)
-
+        if level == 1:
+            other = number[sym]
+        else:  # a phrase of this level that begins (ends) as the pattern goes on (starts) and whose last (first) word is the symbol
+            shared, inner = (p, q) if rightwards else (q, p)
+            dense = np.unique(np.concatenate([p, q]))
+            key = lambda a, symbol: np.searchsorted(dense, a) << 32 | symbol
+            known = key(shared, block(here))
+            by = np.argsort(known)
+            wanted = key(inner[of], sym)
+            at = by[np.minimum(np.searchsorted(known, wanted, sorter=by), len(by) - 1)]
+            ok = known[at] == wanted
+            other = own[at][ok]
+            of, count, new, smaller = (x[ok] for x in (of, count, new, smaller))
+        low, low_reverse = (low[of] + smaller, new) if rightwards else (new, low_reverse[of] + smaller)
+        pair = (own[of], other) if rightwards else (other, own[of])
+        shard = np.full(len(of), index["shard"][0].as_py())
+        return pa.table([pa.array(x).cast(k) for x, k in zip((shard, *pair, count, low, low_reverse), kinds, strict=True)], names=names)
+
+    names = ["shard", "p", "q", "c", "low", "low_reverse"]
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
     return run
 
 
 def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = DEPTH + 1, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame]:
-    """lang, phrase, level, f of all phrases of up to ``longest`` (at most 5) words that come ``least`` times; lang, n of all words.
+    """lang, phrase, level, f, inner of all phrases of up to ``longest`` (at most 5) words that come ``least`` times; lang, n of all words.
 
-    Null texts are empty, a null ``lang`` is `und`. Occurrences overlap, and none crosses a sign that ends a piece or a text's end.
+    ``inner`` has the phrase less its last and less its first word. Null texts are empty, a null ``lang`` is `und`. Occurrences overlap, and
+    none crosses a sign that ends a piece or a text's end.
     """
     if longest > DEPTH + 1:
         raise ValueError(f"phrases of more than {DEPTH + 1} words")
     index = stored(build_indexes(docs, shard_bytes), "indexes")
-    found, held = _first_level(index.select("lang", "shard", "n_words", "words", "counts", "forward")), []
+    found, key, texts, scratch = _first_level(index.select("lang", "shard", "n_words", "words", "counts")), ["lang", "word"], [], [index]
     for level in range(1, longest + 1):
-        whole = found.withColumn("f", F.sum("c").over(W.partitionBy("lang", "phrase"))).where(F.col("f") >= least)
-        held.append(stored(whole, f"phrases{level}"))
-        if level < longest:
-            rightwards = level % 2 == 1
-            side = index.select("lang", "shard", "words", "reverse" if rightwards else "forward")
-            mine = held[-1].drop("f")
-            free_shuffles(docs.sparkSession)  # of the level before
-            found = side.groupBy("lang", "shard").cogroup(mine.groupBy("lang", "shard")).applyInArrow(_next_level(level, rightwards), _FOUND)
+        rows = stored(found.withColumn("f", F.sum("c").over(W.partitionBy(*key))).where(F.col("f") >= least), f"phrases{level}")
+        numbers = stored(rows.groupBy(*key).agg(F.first("f").alias("f")).withColumn("number", F.monotonically_increasing_id()), f"numbers{level}")
+        scratch += [rows, numbers]
+        if level == 1:
+            text = numbers.select("number", "lang", F.col("word").cast("string").alias("phrase"), F.col("word").cast("string").alias("last"), "f", F.lit(1).alias("level"), F.array().cast("array<string>").alias("inner"))
+        else:
+            head = texts[-1].select(F.col("number").alias("p"), "lang", F.col("phrase").alias("head"))
+            tail = texts[-1].select(F.col("number").alias("q"), F.col("phrase").alias("tail"), "last")
+            text = numbers.join(head, "p").join(tail, "q").select("number", "lang", F.concat_ws(" ", "head", "last").alias("phrase"), "last", "f", F.lit(level).alias("level"), F.array("head", "tail").alias("inner"))
+        texts.append(stored(text, f"texts{level}"))
+        if level == longest:
+            break
+        mine = rows.join(numbers.drop("f"), key)
+        if level == 1:
+            words = stored(mine.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("low", "number"))).alias("w")).select("shard", F.col("w.low").alias("lows"), F.col("w.number").alias("numbers")), "vocabularies")  # a shard's words
+            mine = mine.select("shard", "number", F.lit(0).cast("long").alias("p"), F.lit(0).cast("long").alias("q"), "c", "low", F.col("low").alias("low_reverse"))
+            scratch.append(words)
+        key = ["p", "q"]
+        free_shuffles(docs.sparkSession)  # of the level before
+        rightwards = level % 2 == 1
+        side = index.select("shard", F.col("reverse" if rightwards else "forward").alias("side")).join(words, "shard")
+        mine = mine.select("shard", "number", "p", "q", "c", "low", "low_reverse")
+        found = side.groupBy("shard").cogroup(mine.groupBy("shard")).applyInArrow(_next_level(level, rightwards), _FOUND)
     f = None
-    for level, rows in enumerate(held, 1):
-        one = rows.groupBy("lang", "phrase").agg(F.first("f").alias("f")).select("lang", "phrase", F.lit(level).alias("level"), "f")
+    for text in texts:
+        one = text.select("lang", "phrase", "level", "f", "inner")
         f = one if f is None else f.unionByName(one)
     f, n = stored(f, "frequent"), stored(index.groupBy("lang").agg(F.sum("n_words").alias("n")), "words")
-    forget(index, *held)
+    forget(*scratch, *texts)
     return f, n
 
 
@@ -238,12 +256,11 @@ def collocations(docs: DataFrame, least: int = 100, top: int = 2000, longest: in
     Repeated rows count each; an empty table gives an empty one; other columns stay out.
     """
     f, n = frequent_phrases(docs, least, longest, shard_bytes)
-    f = f.withColumn("phrase", F.col("phrase").cast("string"))
     longer = f.where("level > 1").withColumn("w", F.split("phrase", " "))
     part = lambda at, size: F.array_join(F.slice("w", at, size), " ")
-    inner = longer.where("level > 2").select("lang", F.explode(F.array(part(F.lit(1), F.col("level") - 1), part(F.lit(2), F.col("level") - 1))).alias("phrase"), F.col("f").alias("f_longer"))
+    inner = f.where("level > 2").select("lang", F.explode("inner").alias("phrase"), F.col("f").alias("f_longer"))
     most = inner.groupBy("lang", "phrase").agg(F.max("f_longer").alias("f_longer"))
-    kept = longer.join(most, ["lang", "phrase"], "left").where("f_longer is null or f_longer < f").drop("f_longer")
+    kept = longer.join(most, ["lang", "phrase"], "left").where("f_longer is null or f_longer < f")
     cuts = kept.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("level") - 1)))
     cuts = cuts.select("lang", "phrase", F.col("f").alias("a"), "k", part(F.lit(1), F.col("k")).alias("head"), part(F.col("k") + 1, F.col("level") - F.col("k")).alias("tail"))
     cuts = cuts.join(f.select("lang", F.col("phrase").alias("head"), F.col("f").alias("l")), ["lang", "head"]).join(f.select("lang", F.col("phrase").alias("tail"), F.col("f").alias("r")), ["lang", "tail"])
