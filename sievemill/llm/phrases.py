@@ -95,7 +95,7 @@ def extend(bwt: np.ndarray, low: np.ndarray, size: np.ndarray) -> tuple[np.ndarr
 
 
 _INDEX = "lang string, shard int, n_words long, words array<binary>, counts array<int>, forward binary, reverse binary"
-_FOUND = "shard int, p long, q long, c int, low int, low_reverse int"
+_FOUND = "times long, p long, q long, place long"  # count and shard in one number, both intervals in another
 
 
 def _packed(numbers: np.ndarray) -> bytes:
@@ -145,10 +145,22 @@ def build_indexes(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
 
 
 def _first_level(index: DataFrame) -> DataFrame:
-    """lang, word, shard, c, low of single words. Both intervals are the word's block of the sorted symbols, where ``low`` counts the words before it, not the ends of pieces."""
+    """lang, word, times, place of single words. Both intervals are the word's block of the sorted symbols, where ``low`` counts the words before it, not the ends of pieces."""
     rows = index.select("lang", "shard", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "w"))
     before = F.sum("w.counts").over(W.partitionBy("shard").orderBy("at")) - F.col("w.counts")
-    return rows.select("lang", F.col("w.words").alias("word"), "shard", F.col("w.counts").alias("c"), before.cast("int").alias("low"))
+    return rows.select("lang", F.col("w.words").alias("word"), _pair(F.col("w.counts"), F.col("shard")).alias("times"), _pair(before, before).alias("place"))
+
+
+def _pair(high: Column, low: Column) -> Column:
+    return F.shiftleft(high.cast("long"), 32).bitwiseOR(low.cast("long"))
+
+
+def _high(of: str) -> Column:
+    return F.shiftright(of, 32)
+
+
+def _low(of: str) -> Column:
+    return F.col(of).bitwiseAND(F.lit(0xFFFFFFFF))
 
 
 def _next_level(level: int, rightwards: bool):
@@ -160,13 +172,14 @@ def _next_level(level: int, rightwards: bool):
 
     def run(index: pa.Table, frequent: pa.Table) -> pa.Table:
         if not index.num_rows or not frequent.num_rows:
-            return pa.table([pa.array([], k) for k in kinds], names=names)
+            return pa.table([pa.array([], pa.int64())] * 4, names=names)
         bwt = _unpacked(index["side"][0].as_py())
         begin = np.cumsum(np.bincount(bwt))  # where the block of symbol i + 1 begins
         block = lambda low: np.searchsorted(begin, low, side="right")
         number = np.full(len(begin) + 1, -1, dtype=np.int64)  # of a symbol, if it is a frequent word
         number[block(begin[0] + index["lows"].chunk(0)[0].values.to_numpy())] = index["numbers"].chunk(0)[0].values.to_numpy()
-        own, p, q, c, low, low_reverse = (frequent[x].to_numpy().astype(np.int64) for x in ("number", "p", "q", "c", "low", "low_reverse"))
+        own, p, q, times, place = (frequent[x].to_numpy() for x in ("number", "p", "q", "times", "place"))
+        c, low, low_reverse = times >> 32, place >> 32, place & 0xFFFFFFFF
         if level == 1:
             low = low_reverse = low + begin[0]
         here = low_reverse if rightwards else low
@@ -190,11 +203,9 @@ def _next_level(level: int, rightwards: bool):
             of, count, new, smaller = (x[ok] for x in (of, count, new, smaller))
         low, low_reverse = (low[of] + smaller, new) if rightwards else (new, low_reverse[of] + smaller)
         pair = (own[of], other) if rightwards else (other, own[of])
-        shard = np.full(len(of), index["shard"][0].as_py())
-        return pa.table([pa.array(x).cast(k) for x, k in zip((shard, *pair, count, low, low_reverse), kinds, strict=True)], names=names)
+        return pa.table([pa.array(x) for x in (count << 32 | index["shard"][0].as_py(), *pair, low << 32 | low_reverse)], names=names)
 
-    names = ["shard", "p", "q", "c", "low", "low_reverse"]
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+    names = ["times", "p", "q", "place"]
     return run
 
 
@@ -209,9 +220,12 @@ def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = DEPTH + 1
     index = stored(build_indexes(docs, shard_bytes), "indexes")
     found, key, texts, scratch = _first_level(index.select("lang", "shard", "n_words", "words", "counts")), ["lang", "word"], [], [index]
     for level in range(1, longest + 1):
-        rows = stored(found.withColumn("f", F.sum("c").over(W.partitionBy(*key))).where(F.col("f") >= least), f"phrases{level}")
-        numbers = stored(rows.groupBy(*key).agg(F.first("f").alias("f")).withColumn("number", F.monotonically_increasing_id()), f"numbers{level}")
-        scratch += [rows, numbers]
+        # In a shard no two phrases of a level have one place: a phrase's number is the first of its places.
+        same = W.partitionBy(*key)
+        rows = found.withColumn("f", F.sum(_high("times")).over(same)).withColumn("number", F.min(_pair(_low("times"), _high("place"))).over(same))
+        rows = stored(rows.where(F.col("f") >= least), f"phrases{level}")
+        numbers = rows.groupBy("number").agg(*[F.first(c).alias(c) for c in (*key, "f")])
+        scratch.append(rows)
         if level == 1:
             text = numbers.select("number", "lang", F.col("word").cast("string").alias("phrase"), F.col("word").cast("string").alias("last"), "f", F.lit(1).alias("level"), F.array().cast("array<string>").alias("inner"))
         else:
@@ -221,16 +235,17 @@ def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = DEPTH + 1
         texts.append(stored(text, f"texts{level}"))
         if level == longest:
             break
-        mine = rows.join(numbers.drop("f"), key)
+        mine = rows.withColumn("shard", _low("times").cast("int"))
         if level == 1:
-            words = stored(mine.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("low", "number"))).alias("w")).select("shard", F.col("w.low").alias("lows"), F.col("w.number").alias("numbers")), "vocabularies")  # a shard's words
-            mine = mine.select("shard", "number", F.lit(0).cast("long").alias("p"), F.lit(0).cast("long").alias("q"), "c", "low", F.col("low").alias("low_reverse"))
+            words = mine.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct(_high("place").cast("int").alias("low"), "number"))).alias("w"))  # a shard's words
+            words = stored(words.select("shard", F.col("w.low").alias("lows"), F.col("w.number").alias("numbers")), "vocabularies")
+            mine = mine.withColumn("p", F.lit(0).cast("long")).withColumn("q", F.lit(0).cast("long"))
             scratch.append(words)
         key = ["p", "q"]
         free_shuffles(docs.sparkSession)  # of the level before
         rightwards = level % 2 == 1
         side = index.select("shard", F.col("reverse" if rightwards else "forward").alias("side")).join(words, "shard")
-        mine = mine.select("shard", "number", "p", "q", "c", "low", "low_reverse")
+        mine = mine.select("shard", "number", "p", "q", "times", "place")
         found = side.groupBy("shard").cogroup(mine.groupBy("shard")).applyInArrow(_next_level(level, rightwards), _FOUND)
     f = None
     for text in texts:
