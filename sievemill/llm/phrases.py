@@ -148,7 +148,7 @@ def _first_level(index: DataFrame) -> DataFrame:
     """lang, word, times, place of single words. Both intervals are the word's block of the sorted symbols, where ``low`` counts the words before it, not the ends of pieces."""
     rows = index.select("lang", "shard", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "w"))
     before = F.sum("w.counts").over(W.partitionBy("shard").orderBy("at")) - F.col("w.counts")
-    return rows.select("lang", F.col("w.words").alias("word"), _pair(F.col("w.counts"), F.col("shard")).alias("times"), _pair(before, before).alias("place"))
+    return rows.select("lang", F.col("w.words").alias("word"), _pair(F.col("w.counts"), F.col("shard")).alias("times"), _pair(before, F.lit(0)).alias("place"))
 
 
 def _pair(high: Column, low: Column) -> Column:
@@ -181,7 +181,7 @@ def _next_level(level: int, rightwards: bool):
         own, p, q, times, place = (frequent[x].to_numpy() for x in ("number", "p", "q", "times", "place"))
         c, low, low_reverse = times >> 32, place >> 32, place & 0xFFFFFFFF
         if level == 1:
-            low = low_reverse = low + begin[0]
+            low = low_reverse = low + begin[0]  # they are one block
         here = low_reverse if rightwards else low
         order = np.argsort(here, kind="stable")
         own, p, q, c, low, low_reverse, here = (x[order] for x in (own, p, q, c, low, low_reverse, here))
@@ -202,6 +202,8 @@ def _next_level(level: int, rightwards: bool):
             other = own[at][ok]
             of, count, new, smaller = (x[ok] for x in (of, count, new, smaller))
         low, low_reverse = (low[of] + smaller, new) if rightwards else (new, low_reverse[of] + smaller)
+        if level + 1 >= DEPTH:  # the last step is to the left and needs the other interval no more
+            low_reverse = np.zeros_like(low)
         pair = (own[of], other) if rightwards else (other, own[of])
         return pa.table([pa.array(x) for x in (count << 32 | index["shard"][0].as_py(), *pair, low << 32 | low_reverse)], names=names)
 
