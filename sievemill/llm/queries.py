@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import filter_audit, langid, line_dedup, mixing, neardup, ngram_join, packing, phrases, pii, quality, sharding, topk
+from . import filter_audit, langid, line_dedup, mixing, neardup, ngram_join, packing, phrases, pii, quality, sharding, topk, toxicity
 from .common import table
 
 
@@ -68,6 +68,12 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
 def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents").select("text", "lang"), least=100, top=2000)
 
@@ -84,6 +90,7 @@ QUERIES = {
     "op9_ngram_join": op9_ngram_join,
     "op10_pii": op10_pii,
     "op11_filter_audit": op11_filter_audit,
+    "op12_toxicity": op12_toxicity,
     "op13_phrases": op13_phrases,
 }
 
