@@ -7,60 +7,44 @@ bucket with a kept one go. Buckets stand for cliques, so a hot bucket costs its
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from itertools import count
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Settings
 from ..functions import shingles
+from ..sources.storage import delete, written
 from . import similarity
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster shares (``spark.checkpoint.dir``); a local one only where none is named, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir names no folder that the cluster shares")
-        folder = tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
-def _written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage through a table in the folder that all executors share."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def first_wins(rows: DataFrame, buckets: DataFrame, kept_before: DataFrame | None = None) -> DataFrame:
     """``ord`` of the rows that stay. ``rows`` has ord (unique); ``buckets`` has ord, bucket; rows in one bucket collide.
 
     ``kept_before``: ords in ``buckets`` that are kept from the start. Rows without a bucket stay. Each round decides at least the least row still open, so the rounds end.
     """
-    b = _written(buckets.select("ord", "bucket").distinct(), "buckets")
-    kept = [rows.select("ord").join(b.select("ord").distinct(), "ord", "left_anti")]
-    new = None if kept_before is None else kept_before.select("ord").join(b.select("ord").distinct(), "ord", "left_semi")
+    b = written(buckets.select("ord", "bucket").distinct(), "buckets")
+    kept = [written(rows.select("ord").join(b.select("ord").distinct(), "ord", "left_anti"), "kept")]
+    new = None if kept_before is None else written(kept_before.select("ord").join(b.select("ord").distinct(), "ord", "left_semi"), "kept")
     for _ in count():
         if new is None:
             least = b.groupBy("bucket").agg(F.min("ord").alias("least"))
             new = b.join(least, "bucket").groupBy("ord").agg(F.min(F.col("ord") == F.col("least")).alias("wins")).where("wins").select("ord")
-            new = _written(new, "kept")
+            new = written(new, "kept")
             kept.append(new)
         hit = b.join(new, "ord", "left_semi").select("bucket").distinct()
         gone = b.join(hit, "bucket", "left_semi").select("ord").distinct()
-        b = _written(b.join(gone, "ord", "left_anti"), "buckets")
-        new = None
+        rest = written(b.join(gone, "ord", "left_anti"), "buckets")
+        delete(b)
+        b, new = rest, None
         if not b.limit(1).count():
+            delete(b)
             break
     out = kept[0]
     for k in kept[1:]:
         out = out.unionByName(k)
+    out = written(out, "stays")
+    delete(*kept)
     return out
 
 
@@ -88,9 +72,9 @@ def deduplicate(
     """
     rows = examples.dropDuplicates([order]).withColumn("ord", F.col(order).cast("long"))
     texts = rows.select("ord", F.coalesce(text, F.lit("")).alias("t"), F.md5(F.coalesce(text, F.lit(""))).alias("h"))
-    signed = _written(texts.groupBy("h").agg(F.min("t").alias("t")).select("h", shingles.signature(shingles.gram_hashes(shingles.ngrams("t", settings.ngram)), settings.permutations).alias("minhash")), "signatures")
+    signed = written(texts.groupBy("h").agg(F.min("t").alias("t")).select("h", shingles.signature(shingles.gram_hashes(shingles.ngrams("t", settings.ngram)), settings.permutations).alias("minhash")), "signatures")
     minhash = texts.select("ord", "h").join(similarity.lsh_buckets(signed, "h", settings.bands, settings.band_rows), "h").select("ord", F.col("bucket"))
-    minhash = _written(minhash, "layer1")
+    minhash = written(minhash, "layer1")
     edges = None
     rejected = None
     if vector is not None:
@@ -98,15 +82,15 @@ def deduplicate(
         _one_width(vectors if stored_vectors is None else vectors.select(F.col("vector").cast("array<double>")).unionByName(stored_vectors.select(F.col("vector").cast("array<double>"))))
         if stored_vectors is not None:
             near = similarity.nearest_similarity(vectors.withColumn("id", F.concat(F.lit("new:"), F.col("id").cast("string"))), stored_vectors.select(F.concat(F.lit("old:"), F.col("id").cast("string")).alias("id"), "vector"), metric)
-            rejected = _written(near.where(F.col("similarity") >= settings.similarity_reject).select(F.substring("id", 5, 40).cast("long").alias("ord")), "rejected")
+            rejected = written(near.where(F.col("similarity") >= settings.similarity_reject).select(F.substring("id", 5, 40).cast("long").alias("ord")), "rejected")
         # Copies of a vector stand by their first row; with a link between two vectors, all copies of both collide.
         same = vectors.groupBy(F.col("vector").cast("array<double>").alias("vector")).agg(F.min("id").alias("first"), F.count("*").alias("copies"))
-        same = _written(same, "vectors")
+        same = written(same, "vectors")
         firsts = same.select(F.col("first").alias("id"), "vector")
         near = similarity.similar_vectors(firsts, firsts, metric, settings.similarity_reject, half=True)
-        edges = _written(near.select(F.col("left_id").alias("a"), F.col("right_id").alias("b")), "layer2")
+        edges = written(near.select(F.col("left_id").alias("a"), F.col("right_id").alias("b")), "layer2")
         alike = same.where("copies > 1") if metric != "cosine" else same.where("copies > 1").where(F.exists("vector", lambda x: x != 0))
-        copies = _written(vectors.withColumn("vector", F.col("vector").cast("array<double>")).join(same, "vector").select(F.col("id").alias("ord"), "first"), "copies")
+        copies = written(vectors.withColumn("vector", F.col("vector").cast("array<double>")).join(same, "vector").select(F.col("id").alias("ord"), "first"), "copies")
         edges = edges.select(F.explode(F.array("a", "b")).alias("first"), F.concat_ws("-", F.lit("e"), F.col("a").cast("string"), F.col("b").cast("string")).alias("bucket"))
         edges = edges.unionByName(alike.select("first", F.concat_ws("-", F.lit("v"), F.col("first").cast("string")).alias("bucket")))
         edges = copies.join(edges, "first").select("ord", "bucket")
@@ -115,7 +99,7 @@ def deduplicate(
         open_, buckets = open_.join(rejected, "ord", "left_anti"), buckets.join(rejected, "ord", "left_anti")
     if edges is not None:
         buckets = buckets.unionByName(edges if rejected is None else edges.join(rejected, "ord", "left_anti"))
-    stays = _written(first_wins(open_, buckets).select("ord", F.lit(True).alias("stays")), "stays")
+    stays = written(first_wins(open_, buckets).select("ord", F.lit(True).alias("stays")), "stays")
     # Why a row goes: an earlier row that stays in one of its layer-1 buckets, or else layer 2.
     first = minhash.join(stays, "ord").groupBy("bucket").agg(F.min("ord").alias("first"))
     lsh = minhash.join(first, "bucket").where("first < ord").select("ord", F.lit(True).alias("lsh")).distinct()

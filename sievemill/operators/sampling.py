@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from math import gcd
-
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -30,40 +27,48 @@ def infeasible(taxonomy: DataFrame, n: int, min_coverage: int) -> DataFrame:
     return sizes.where(F.col("needed") > n).orderBy("dimension")
 
 
-def _permutation(n: int, seed: int) -> tuple[int, int]:
-    step = (abs(seed) * 2_654_435_761 + 40_503 * n + 1) % n or 1
-    while gcd(step, n) != 1:
-        step += 1
-    return step, (abs(seed) * 97 + n // 3) % n
+def _feistel(x: Column, a: Column, b: Column, *key: Column) -> Column:
+    """Where a keyed permutation of an ``a`` by ``b`` grid, four Feistel rounds, puts cell ``x``."""
+
+    def turn(state: Column, j: Column) -> Column:
+        left, right = state["l"], state["r"]
+        even = j % 2 == 0
+        left = F.when(even, left).otherwise((left + F.pmod(keyed(*key, j, right), a)) % a)
+        right = F.when(even, (right + F.pmod(keyed(*key, j, state["l"]), b)) % b).otherwise(right)
+        return F.struct(left.alias("l"), right.alias("r"))
+
+    begin = F.struct(F.floor(x / b).alias("l"), (x % b).alias("r"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(4)), begin, turn, lambda s: s["l"] * b + s["r"])
+
+
+def permuted(x: Column, k: Column, a: Column, b: Column, *key: Column) -> Column:
+    """The place of ``x`` under a keyed permutation of 0 .. k-1: the grid holds ``k`` or a few more cells, and a walk that leaves the ``k`` goes on until it is back."""
+    step = lambda at, _: F.when((at >= 0) & (at < k), at).otherwise(_feistel(F.when(at < 0, -1 - at).otherwise(at), a, b, *key))
+    return F.aggregate(F.sequence(F.lit(1).cast("long"), a * b - k + 1), -1 - x, step)
 
 
-def sample_node_sets(taxonomy: DataFrame, domain: str, n: int, min_coverage: int = 3, seed: int = 0, strict: bool = True, use_case: str | None = None) -> DataFrame:
-    """Exactly ``n`` rows node_id, domain, dimensions (map), use_case; every value of every dimension ``min_coverage`` times.
+def sample_node_sets(
+    taxonomy: DataFrame, domain: str, n: int, min_coverage: int = 3, seed: int = 0, strict: bool = True, use_case: str | None = None, start: int = 0
+) -> DataFrame:
+    """Rows ``start`` to ``n`` - 1 of a domain's scenarios: idx, node_id, domain, dimensions (map), use_case.
 
-    Each dimension has a pool of all its values, ``min_coverage`` times, in a keyed order; rows beyond the pool draw by a
-    keyed hash. Rows are dealt by an arithmetic permutation of 0..n-1, so no shuffle of n rows is needed and the result doesn't
-    depend on partitions. With ``strict``, too small an ``n`` raises ``CoverageError``; without, the pool is cut.
+    A scenario depends on the seed and its number alone, so a larger ``n`` only adds some. A dimension of k values goes through all of them in every
+    k scenarios, each time in another keyed order: the first ``n`` have every value ``min_coverage`` times as soon as ``n`` allows it, and
+    afterwards all values evenly. With ``strict``, too small an ``n`` raises ``CoverageError``. No row is shuffled.
     """
     if n < 1 or min_coverage < 1:
         raise CoverageError("n and min_coverage must be 1 or more")
     if strict and (bad := infeasible(taxonomy, n, min_coverage).first()):
         raise CoverageError(f"dimension {bad['dimension']!r} needs {bad['needed']} rows, there are {n}")
-    spark = taxonomy.sparkSession
-    s = F.lit(seed)
-    copies = taxonomy.select("dimension", "value", "ordinal", F.explode(F.sequence(F.lit(1), F.lit(min_coverage))).alias("copy"))
-    order = W.partitionBy("dimension").orderBy(keyed(s, F.col("dimension"), F.col("value"), F.col("copy")), "value", "copy")
-    # A taxonomy is small by nature: one row per dimension, with its values and its pool.
-    pool = copies.withColumn("at", F.row_number().over(order) - 1).where(F.col("at") < n)
-    pool = pool.groupBy("dimension").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "value"))), lambda x: x["value"]).alias("pool"))
+    # A taxonomy is small by nature: one row per dimension, with its values and the grid they are permuted on.
     values = taxonomy.groupBy("dimension").agg(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "value"))), lambda x: x["value"]).alias("values"))
-    dims = pool.join(values, "dimension").agg(F.sort_array(F.collect_list(F.struct("dimension", "pool", "values"))).alias("dims"))
-    step, start = _permutation(n, seed)
-    rows = spark.range(n).select(F.col("id").alias("i"), F.pmod(F.col("id") * step + start, F.lit(n)).alias("idx"))
-    rows = rows.crossJoin(F.broadcast(dims))  # one row
+    values = values.withColumn("k", F.size("values").cast("long")).withColumn("a", F.ceil(F.sqrt("k")).cast("long")).withColumn("b", F.ceil(F.col("k") / F.col("a")).cast("long"))
+    dims = values.agg(F.sort_array(F.collect_list(F.struct("dimension", "values", "k", "a", "b"))).alias("dims"))
+    rows = taxonomy.sparkSession.range(start, max(start, n)).withColumnRenamed("id", "idx").crossJoin(F.broadcast(dims))  # one row
 
     def pick(d: Column) -> Column:
-        draw = F.pmod(keyed(s, d["dimension"], F.col("i")), F.size(d["values"]).cast("long")).cast("int")
-        return F.when(F.col("i") < F.size(d["pool"]), F.get(d["pool"], F.col("i").cast("int"))).otherwise(F.get(d["values"], draw))
+        at = permuted(F.col("idx") % d["k"], d["k"], d["a"], d["b"], F.lit(seed), d["dimension"], F.floor(F.col("idx") / d["k"]))
+        return F.get(d["values"], at.cast("int"))
 
     entries = F.map_from_arrays(F.transform("dims", lambda d: d["dimension"]), F.transform("dims", pick))
     node = F.concat(F.lit(f"{domain}-"), F.lpad(F.col("idx").cast("string"), 6, "0"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULTS, Settings
 from ..functions import embed, replies, shingles
 from ..operators import dedup, scoring
+from ..sources.storage import delete, numbered, written
 
 
 def hydrate(examples: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -23,8 +24,8 @@ def hydrate(examples: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def first_accepted(rows: DataFrame, target: int, order: str = "ord") -> DataFrame:
-    """The first ``target`` rows in arrival order."""
-    return rows.orderBy(order).limit(target)
+    """The first ``target`` rows in arrival order, by their places: no task holds them all."""
+    return numbered(rows, order).where(F.col("place") <= target).drop("place")
 
 
 def unprocessed(nodes: DataFrame, done: DataFrame) -> DataFrame:
@@ -54,14 +55,17 @@ def curate(
     """Curated examples and the funnel's counters, from generator replies (node_id, reply, ord).
 
     Parses replies, has ``judge`` add prefilter_score, composite_score, rubric and verdict, drops near-duplicates first-wins in the
-    order of ``ord`` and place, joins the node sets, and stops at ``target``.
+    order of ``ord``, node and place, joins the node sets, and stops at ``target``. Parsed and judged rows are written once, so that ``generated``
+    and ``judge`` run once. With ``settings.bands`` 0 there is no near-duplicate removal. Returned ``ord`` are places, from 1.
     """
-    examples = replies.parse_examples(generated, "reply", ("node_id", "ord")).withColumn("ord", F.col("ord") * (1 << 20) + F.col("pos")).drop("pos")
-    examples = examples.withColumn("created_at", F.current_timestamp())
-    rows = judge(examples)
+    parsed = replies.parse_examples(generated, "reply", ("node_id", "ord")).withColumn("created_at", F.current_timestamp())
+    examples = numbered(parsed, "ord", "node_id", "pos").drop("ord", "pos").withColumnRenamed("place", "ord").withColumn("ord", F.col("ord").cast("long"))
+    rows = written(judge(examples), "judged")
     good = scoring.accepted(scoring.passed(rows)).withColumn("text", shingles.dedup_text())
-    good = dedup._written(good.withColumn("vector", embed.embed(F.col("text"), embedder)), "embedded")  # each text is embedded once
-    told = dedup._written(dedup.deduplicate(good, "text", "vector", "ord", stored_vectors, metric, settings), "deduplicated")
+    good = written(good.withColumn("vector", embed.embed(F.col("text"), embedder)), "embedded")  # each text is embedded once
+    told = dedup.deduplicate(good, "text", "vector", "ord", stored_vectors, metric, settings) if settings.bands else good.withColumn("reason", F.lit(None).cast("string"))
+    told = written(told, "deduplicated")
+    delete(good)
     counters = scoring.funnel(rows.join(told.select("ord", "reason"), "ord", "left"))
     kept = hydrate(told.where("reason is null").drop("reason"), nodes)
     if progress is not None:

@@ -12,6 +12,7 @@ from ..config import DEFAULTS, GENERIC_TAXONOMY, RUBRIC_WEIGHTS, Settings
 from ..functions import replies, shingles
 from ..operators import coverage, dedup, diversity, requests, sampling, scoring, similarity
 from ..sources import tables, taxonomy
+from ..sources.storage import shared_folder
 from ..streaming import continuous
 from . import curate as run
 from . import domain_run
@@ -30,7 +31,7 @@ def _glob(d: str, name: str) -> str:
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
-    return f"{dedup.shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -421,8 +422,8 @@ def stream_screened(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(out).select("doc_id", "batch", "pos", "prefilter_score")
 
 
-def run_manifest(spark: SparkSession, d: str) -> DataFrame:
-    """A run from sampling to manifest: a request is answered by the conversation of its number, scores come from lengths; a checkpoint at every ten accepted."""
+def _conversation_run(spark: SparkSession, d: str, target: int, settings: Settings) -> DataFrame:
+    """A run from sampling to manifest: a request is answered by the conversation of its number, scores come from lengths."""
     told = _reply(pairs(spark, d).withColumn("node_id", F.concat(F.lit("orders-"), F.lpad(F.col("conv_id").cast("string"), 6, "0"))))
 
     def generate(asked: DataFrame) -> DataFrame:
@@ -433,10 +434,23 @@ def run_manifest(spark: SparkSession, d: str) -> DataFrame:
         return scoring.judged(examples.withColumn("rubric", _rubric("n"))).drop("n")
 
     tax = taxonomy.from_columns(_read(spark, d, "orders"), "orders", ["o_orderpriority", "o_orderstatus"])
-    rows = domain_run.run_domain(tax, "orders", pairs(spark, d).count(), generate, judge, _scratch(spark, "run"), seed=7, settings=Settings(checkpoint_every=10))
+    return domain_run.run_domain(tax, "orders", target, generate, judge, _scratch(spark, "run"), seed=7, settings=settings)
+
+
+def run_manifest(spark: SparkSession, d: str) -> DataFrame:
+    """A checkpoint at every ten accepted."""
+    rows = _conversation_run(spark, d, pairs(spark, d).count(), Settings(checkpoint_every=10))
     return rows.select("domain", "target", "accepted_count", "rejected_count", F.round("vendi_score", 6).alias("vendi_score"), F.to_json("taxonomy_coverage").alias("coverage"))
 
 
+def run_waves(spark: SparkSession, d: str) -> DataFrame:
+    """The waves of a run to half as many examples as there are conversations, without near-duplicate removal: each as large as the acceptance before it demands."""
+    target = _read(spark, d, "conversations").select("conv_id").distinct().count() // 2
+    rows = _conversation_run(spark, d, target, Settings(checkpoint_every=1 << 40, bands=0))
+    extra = lambda k: F.col("extra")[k].cast("long").alias(k)
+    return rows.select(extra("wave"), extra("asked"), extra("asked_to"), "accepted_count", "rejected_count", F.aggregate(F.map_values("taxonomy_coverage"), F.lit(0).cast("long"), lambda a, x: a + x).alias("covered"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -445,7 +459,7 @@ QUERIES = {
         screen_verdicts, rubric_parse, stage_funnel, ngram_counts, minhash_signatures, lsh_collisions, jaccard_pairs, dedup_text, dedup_two_layers,
         nearest, similar_pairs, domain_counts, gram, vendi_by_label, hydrated, jsonl_round_trip, example_table, manifest_latest, run_ids,
         target_limit, resume_rest, stream_counts, stream_coverage, stream_first_seen, curated,
-        taxonomy_files, taxonomy_domains, taxonomy_violations, generic_nodes, vector_table, screen_passed, example_count, stream_screened, run_manifest,
+        taxonomy_files, taxonomy_domains, taxonomy_violations, generic_nodes, vector_table, screen_passed, example_count, stream_screened, run_manifest, run_waves,
     )
 } | {"instruction_pairs": lambda spark, d: pairs(spark, d).select("example_id", "prompt", "completion")}
 
@@ -457,19 +471,16 @@ def _md5(*parts: str) -> str:
 
 _TAX = """tax AS (SELECT dimension, value, CAST(row_number() OVER (PARTITION BY dimension ORDER BY value) - 1 AS INTEGER) AS ordinal FROM (
   SELECT DISTINCT 'o_orderpriority' AS dimension, o_orderpriority AS value FROM orders UNION SELECT DISTINCT 'o_orderstatus', o_orderstatus FROM orders) WHERE value IS NOT NULL)"""
-_STEP = "(abs(7) * 2654435761 + 40503 * n + 1) % n"
+_ROUND = lambda j, v: _md5("'7'", "dimension", "i // k", f"'{j}'", v)
 _SAMPLE = f"""{_TAX},
-cnt AS (SELECT count(*) AS n FROM documents),
-steps AS (SELECT n, (SELECT min(s) FROM range({_STEP}, {_STEP} + n + 2) r(s) WHERE gcd(s, n) = 1 AND s > 0) AS step, (7 * 97 + n // 3) % n AS start FROM cnt),
-pool AS (SELECT dimension, value, row_number() OVER (PARTITION BY dimension ORDER BY {_md5('7', 'dimension', 'value', 'copy')}, value, copy) - 1 AS at
-  FROM tax, (SELECT unnest([1, 2, 3]) AS copy)),
-sizes AS (SELECT dimension, count(*) AS k FROM tax GROUP BY 1),
-picks AS (SELECT i, s.dimension, coalesce(p.value, v.value) AS value FROM (SELECT range AS i FROM range((SELECT n FROM cnt))) r CROSS JOIN sizes s
-  LEFT JOIN pool p ON p.dimension = s.dimension AND p.at = i
-  JOIN tax v ON v.dimension = s.dimension AND v.ordinal = {_md5('7', 's.dimension', 'i')} % k),
-nodes AS (SELECT (i * step + start) % n AS idx, 'orders-' || lpad(CAST((i * step + start) % n AS VARCHAR), 6, '0') AS node_id,
-    max(value) FILTER (dimension = 'o_orderpriority') AS priority, max(value) FILTER (dimension = 'o_orderstatus') AS status
-  FROM picks, steps GROUP BY i, step, start, n)"""
+grid AS (SELECT dimension, count(*) AS k, CAST(ceil(sqrt(count(*))) AS BIGINT) AS a, CAST(ceil(count(*) / ceil(sqrt(count(*)))) AS BIGINT) AS b FROM tax GROUP BY 1),
+walk(dimension, k, a, b, i, x, step) AS (
+  SELECT dimension, k, a, b, i, i % k, 0 FROM grid, (SELECT range AS i FROM range((SELECT count(*) FROM documents))) UNION ALL
+  SELECT dimension, k, a, b, i, l2 * b + (r1 + {_ROUND(4, "l2")}) % b, step + 1 FROM (SELECT *, (l1 + {_ROUND(3, "r1")}) % a AS l2 FROM (
+    SELECT *, (r0 + {_ROUND(2, "l1")}) % b AS r1 FROM (SELECT *, (l0 + {_ROUND(1, "r0")}) % a AS l1 FROM (SELECT *, x // b AS l0, x % b AS r0 FROM walk WHERE step = 0 OR x >= k))))),
+picks AS (SELECT i, dimension, value FROM walk JOIN tax USING (dimension) WHERE step > 0 AND x < k AND ordinal = x),
+nodes AS (SELECT i AS idx, 'orders-' || lpad(CAST(i AS VARCHAR), 6, '0') AS node_id,
+    max(value) FILTER (dimension = 'o_orderpriority') AS priority, max(value) FILTER (dimension = 'o_orderstatus') AS status FROM picks GROUP BY i)"""
 _GRAMS = """g AS (SELECT doc_id, CASE WHEN len(c) = 0 THEN [] WHEN len(c) <= 5 THEN [array_to_string(c, '')]
     ELSE list_distinct([c[i] || c[i+1] || c[i+2] || c[i+3] || c[i+4] FOR i IN range(1, len(c) - 3)]) END AS g
   FROM (SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN [] ELSE string_split(lower(text), '') END AS c FROM documents))"""
@@ -570,7 +581,18 @@ ORACLES = {
         FROM (SELECT doc_id, row_number() OVER (PARTITION BY doc_id // 100 ORDER BY doc_id) - 1 AS r FROM documents)""",
     "dedup_text": _first_wins_sql(),
     "dedup_two_layers": _first_wins_sql(", v AS MATERIALIZED (SELECT vec_id, [CAST(x AS DOUBLE) FOR x IN embedding] AS v FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents))", f" UNION ALL {_COSINE}"),
+    "run_waves": f"""WITH {PAIRS}, t AS (SELECT count(DISTINCT conv_id) // 2 AS target FROM conversations), u AS (SELECT target, greatest(3 * target // 2, target + 1) AS n FROM t),
+        j AS (SELECT conv_id, {_VERDICT} = 'accept' AS ok FROM (SELECT *, {_HUNDREDTHS.format(n='(length(prompt) + length(completion))')} AS h FROM pairs WHERE prompt <> '' AND completion <> '')),
+        s AS (SELECT conv_id, count(*) FILTER (ok) AS ok, count(*) FILTER (NOT ok) AS no FROM j GROUP BY 1),
+        l AS (SELECT list(coalesce(ok, 0) ORDER BY i) AS ok, list(coalesce(no, 0) ORDER BY i) AS no FROM (SELECT range AS i FROM range((SELECT n FROM u))) LEFT JOIN s ON conv_id = i),
+        w(wave, asked, asked_to, accepted_count, rejected_count) AS (
+          SELECT 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT UNION ALL
+          SELECT wave + 1, size, asked_to + size, CAST(least(target, accepted_count + list_sum(l.ok[asked_to + 1:asked_to + size])) AS BIGINT), CAST(rejected_count + list_sum(l.no[asked_to + 1:asked_to + size]) AS BIGINT)
+          FROM (SELECT *, greatest(1, least(n - asked_to, CASE WHEN asked_to = 0 THEN (3 * (target - accepted_count) + 19) // 20 WHEN accepted_count = 0 THEN 2 * asked_to
+            ELSE (11 * (target - accepted_count) * asked_to + 10 * accepted_count - 1) // (10 * accepted_count) END)) AS size FROM w, u WHERE accepted_count < target AND asked_to < n), l)
+        SELECT *, 2 * accepted_count AS covered FROM w WHERE wave > 0""",
     "stream_counts": "SELECT event_type, count(*) AS n FROM events GROUP BY 1",
     "stream_coverage": "SELECT dimension, value, count(*) AS n FROM (SELECT 'lang' AS dimension, lang AS value FROM documents UNION ALL SELECT 'source', source FROM documents) GROUP BY 1, 2",
     "stream_first_seen": "SELECT DISTINCT user_id FROM events",
 }
+ORACLES = {k: v.replace("WITH ", "WITH RECURSIVE ", 1) if ("walk(" in v or "w(wave" in v) and "RECURSIVE" not in v else v for k, v in ORACLES.items()}

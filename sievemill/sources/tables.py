@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import RUBRIC_WEIGHTS
+from .storage import exists
 
 RECORD = (
     "id string, instruction string, response string, reasoning_trace string, metadata struct<taxonomy_node:map<string,string>,"
@@ -18,11 +18,6 @@ MANIFEST = (
 )
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
-
-
 def write_text(rows: DataFrame, path: str) -> None:
     """One row's text (column ``value``) as one file at ``path``, through the file system that the path names."""
     where = rows.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -52,13 +47,34 @@ def output_records(examples: DataFrame) -> DataFrame:
     )
 
 
-def write_jsonl(examples: DataFrame, path: str) -> None:
-    """Append output records as JSON lines; nulls are written, text isn't escaped beyond JSON."""
-    output_records(examples).write.mode("append").option("ignoreNullFields", "false").json(path)
+def _step(path: str, step: str | None) -> tuple[str, str]:
+    """Where and how a sink writes: a step has a folder of its own, which a repetition of the step replaces."""
+    return (path, "append") if step is None else (f"{path}/step={step}", "overwrite")
+
+
+def of_steps(rows: DataFrame, steps: DataFrame | None) -> DataFrame:
+    """Rows of the given ``steps`` (step) of a table written step by step, without that column; other steps' folders aren't read."""
+    if steps is None:
+        return rows
+    return rows.withColumn("step", F.col("step").cast("string")).join(F.broadcast(steps.select("step").distinct()), "step", "left_semi").drop("step")  # a row for each wave of a run
+
 
+def committed_steps(spark: SparkSession, path: str, domain: str | None = None) -> DataFrame:
+    """The steps that the manifest at ``path`` vouches for: what a step wrote counts once its manifest rows are there."""
+    rows = read_manifest(spark, path)
+    rows = rows if domain is None else rows.where(F.col("domain") == domain)
+    return rows.select(F.col("extra")["step"].alias("step")).where("step is not null").distinct()
 
-def read_jsonl(spark: SparkSession, path: str, preview: int | None = None) -> DataFrame:
-    rows = spark.read.schema(RECORD).json(path)
+
+def write_jsonl(examples: DataFrame, path: str, step: str | None = None) -> None:
+    """Append output records as JSON lines, or replace those of a ``step``; nulls are written, text isn't escaped beyond JSON."""
+    place, mode = _step(path, step)
+    output_records(examples).write.mode(mode).option("ignoreNullFields", "false").json(place)
+
+
+def read_jsonl(spark: SparkSession, path: str, preview: int | None = None, steps: DataFrame | None = None) -> DataFrame:
+    rows = spark.read.schema(RECORD + (", step string" if steps is not None else "")).json(path)
+    rows = of_steps(rows, steps)
     return rows.limit(preview) if preview is not None else rows
 
 
@@ -68,13 +84,14 @@ def example_rows(examples: DataFrame) -> DataFrame:
     return examples.select(*kept, F.current_timestamp().alias("stored_at"), F.coalesce(F.col("taxonomy_node")["domain"], F.lit("")).alias("domain"))
 
 
-def write_examples(examples: DataFrame, path: str) -> None:
-    """Append examples whose id isn't stored yet, partitioned by domain."""
+def write_examples(examples: DataFrame, path: str, step: str | None = None) -> None:
+    """Append examples whose id isn't stored yet, partitioned by domain; or replace those of a ``step``."""
     spark = examples.sparkSession
     rows = example_rows(examples.dropDuplicates(["example_id"]))
-    if _exists(spark, path):
+    if step is None and exists(spark, path):
         rows = rows.join(spark.read.parquet(path).select("example_id"), "example_id", "left_anti")
-    rows.write.mode("append").partitionBy("domain").parquet(path)
+    place, mode = _step(path, step)
+    rows.write.mode(mode).partitionBy("domain").parquet(place)
 
 
 def checked_vectors(vectors: DataFrame, dim: int, column: str = "vector") -> DataFrame:
@@ -84,14 +101,15 @@ def checked_vectors(vectors: DataFrame, dim: int, column: str = "vector") -> Dat
     return vectors.withColumn(column, checked)
 
 
-def write_vectors(vectors: DataFrame, path: str, dim: int) -> None:
-    """Append id, domain, vector, composite_score, partitioned by domain."""
-    checked_vectors(vectors.select("id", "vector", "composite_score", F.coalesce("domain", F.lit("")).alias("domain")), dim).write.mode("append").partitionBy("domain").parquet(path)
+def write_vectors(vectors: DataFrame, path: str, dim: int, step: str | None = None) -> None:
+    """Append id, domain, vector, composite_score, partitioned by domain; or replace those of a ``step``."""
+    place, mode = _step(path, step)
+    checked_vectors(vectors.select("id", "vector", "composite_score", F.coalesce("domain", F.lit("")).alias("domain")), dim).write.mode(mode).partitionBy("domain").parquet(place)
 
 
-def stored_vectors(spark: SparkSession, path: str, domain: str | None = None) -> DataFrame:
-    """Stored vectors, of one domain if given: a partition filter, so that other domains aren't read."""
-    rows = spark.read.parquet(path)
+def stored_vectors(spark: SparkSession, path: str, domain: str | None = None, steps: DataFrame | None = None) -> DataFrame:
+    """Stored vectors, of one domain and of given steps if told so: partition filters, so that others aren't read."""
+    rows = of_steps(spark.read.parquet(path), steps)
     return rows if domain is None else rows.where(F.col("domain") == domain)
 
 
@@ -116,7 +134,7 @@ def latest_manifest(manifest: DataFrame) -> DataFrame:
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """All checkpoint rows that parse; corrupt lines are left out."""
-    if not _exists(spark, path):
+    if not exists(spark, path):
         return spark.createDataFrame([], MANIFEST)
     rows = spark.read.schema(MANIFEST + ", _corrupt_record string").json(path)
     return rows.where("_corrupt_record is null and run_id is not null").drop("_corrupt_record")
@@ -128,5 +146,3 @@ def status(spark: SparkSession, path: str, domain: str) -> DataFrame:
     rows = one.join(latest_manifest(read_manifest(spark, path)), "domain", "left")
     return rows.withColumn("status", F.when(F.col("run_id").isNull(), "no_checkpoint").otherwise("ok"))
 
-
-RUBRIC_COLUMNS = list(RUBRIC_WEIGHTS)

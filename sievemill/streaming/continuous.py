@@ -11,7 +11,7 @@ from ..config import DEFAULTS, Settings
 from ..functions import replies
 from ..operators import requests, scoring
 from ..plans.curate import curate
-from ..sources import tables
+from ..sources.storage import exists
 
 
 def curate_stream(
@@ -34,7 +34,7 @@ def curate_stream(
     kept_path = f"{out}/kept"
 
     def step(batch: DataFrame, number: int) -> None:
-        before = spark.read.parquet(kept_path) if tables._exists(spark, kept_path) else None
+        before = spark.read.parquet(kept_path) if exists(spark, kept_path) else None
         room = target
         if before is not None:
             if before.where(F.col("batch") == number).limit(1).count():

@@ -1,6 +1,7 @@
 """Expectations of the curation operators, table by table."""
 
 import json
+import math
 import random
 
 import numpy as np
@@ -51,6 +52,8 @@ def test_sampling(spark):
     again = sampling.sample_node_sets(tax.repartition(7), "d", 20, 3, seed=1).orderBy("idx").collect()
     assert rows == again
     assert rows != sampling.sample_node_sets(tax, "d", 20, 3, seed=2).orderBy("idx").collect()
+    for n in (16, 18, 23):  # a larger sample only adds scenarios
+        assert sampling.sample_node_sets(tax, "d", n, 3, seed=1).orderBy("idx").collect() == (rows + sampling.sample_node_sets(tax, "d", 23, 3, seed=1, start=20).orderBy("idx").collect())[:n]
     with pytest.raises(sampling.CoverageError, match="topic"):
         sampling.sample_node_sets(tax, "d", 14, 3)
     assert sampling.sample_node_sets(tax, "d", 7, 3, strict=False).count() == 7
@@ -59,6 +62,19 @@ def test_sampling(spark):
     assert sampling.plan_size(100, 3, 5) == (150, 3) and sampling.plan_size(1, 3, 4, ad_hoc=True) == (2, 1)
 
 
+def test_permuted(spark):
+    """Every size of a dimension is permuted, each cycle in its own way."""
+    rows = spark.range(0, 60).select(F.col("id").alias("x"), F.explode(F.array(*[F.lit(c) for c in (1, 2)])).alias("cycle"))
+    orders = set()
+    for k in (1, 2, 3, 5, 12, 37):
+        a = math.ceil(math.sqrt(k))
+        at = sampling.permuted(F.col("x"), F.lit(k).cast("long"), F.lit(a).cast("long"), F.lit(math.ceil(k / a)).cast("long"), F.lit(7), F.col("cycle"))
+        got = rows.where(F.col("x") < k).select("cycle", at.alias("at")).groupBy("cycle").agg(F.collect_list("at").alias("at")).collect()
+        assert all(sorted(r["at"]) == list(range(k)) for r in got)
+        orders |= {tuple(r["at"]) for r in got if k == 37}
+    assert len(orders) == 2
+
+
 def test_requests(spark):
     rows = spark.createDataFrame([("e1", 0, 0, 'say "hi"\n', "ok"), ("e2", 0, 1, "b", None)], "example_id string, part int, o int, prompt string, completion string")
     batched = requests.screening_batches(rows, "part", ["o"], 3)

@@ -78,35 +78,97 @@ def test_curate(spark):
     assert run.curate(_generated(spark), _nodes(spark), _judge, target=2)[0].count() == 2
 
 
-def test_domain_run_resumes(spark, tmp_path):
-    """A run to a first target and another to a higher one, which leaves out what came already; checkpoints count all of a domain."""
-    tax = spark.createDataFrame([("t", v, i) for i, v in enumerate("abcde")], "dimension string, value string, ordinal int")
-    asked = []
+def _answers(asked):
+    """A generator that answers each node set with one example of its own, and notes what it was asked."""
+
+    def words(n):
+        return " ".join(f"{chr(97 + (n * 7 + k * 5) % 26)}{n * 31 + k * k}" for k in range(12))
 
     def generate(requests):
-        ids = sorted(r.node_id for r in requests.collect())
-        asked.append(ids)
-        words = lambda n: " ".join(f"{chr(97 + (n * 7 + k * 5) % 26)}{n * 31 + k * k}" for k in range(12))
-        rows = [(x, int(x[-6:]), json.dumps([{"instruction": words(int(x[-6:]) * 2), "response": words(int(x[-6:]) * 2 + 1)}])) for x in ids]
-        return spark.createDataFrame(rows, "node_id string, ord long, reply string")
-
-    out, few = str(tmp_path / "run"), Settings(checkpoint_every=4, embedding_dim=16)
-    first = domain_run.run_domain(tax, "d", 10, generate, _judge, out, seed=3, embedder=embed.hashing_embedder(16), settings=few).orderBy("accepted_count").collect()
-    assert [(r.accepted_count, r.target) for r in first] == [(4, 10), (8, 10), (10, 10)] and len(asked[0]) == 15
-    assert [r.rejected_count is None for r in first] == [True, True, False]
-    assert sum(first[-1].taxonomy_coverage.values()) == 10
+        got = sorted((r.node_id, r.prompt) for r in requests.collect())
+        asked.append(got)
+        rows = [(x, int(x[-6:]), json.dumps([{"instruction": words(int(x[-6:]) * 2), "response": words(int(x[-6:]) * 2 + 1)}])) for x, _ in got]
+        return requests.sparkSession.createDataFrame(rows, "node_id string, ord long, reply string")
+
+    return generate
+
+
+def test_next_wave():
+    assert domain_run.next_wave(100, 0, 0, 150) == 15  # ten examples a reply
+    assert domain_run.next_wave(90, 15, 10, 135) == 135 and domain_run.next_wave(90, 15, 60, 135) == 25
+    assert domain_run.next_wave(100, 15, 0, 500) == 30 and domain_run.next_wave(100, 15, 0, 7) == 7
+    assert domain_run.next_wave(0, 15, 20, 10) == 0 and domain_run.next_wave(5, 15, 20, 0) == 0
+
+
+FEW = Settings(checkpoint_every=4, embedding_dim=16, generator_batch=2)
+
+
+def _run(spark, out, target, generate, judge=_judge, **more):
+    tax = spark.createDataFrame([("t", v, i) for i, v in enumerate("abc")], "dimension string, value string, ordinal int")
+    return domain_run.run_domain(tax, "d", target, generate, judge, out, seed=3, embedder=embed.hashing_embedder(16), settings=FEW, **more)
+
+
+def test_domain_run_in_waves_and_resumed(spark, tmp_path):
+    """Waves grow by the acceptance so far and stop at the target; a later run goes on with the next number; checkpoints count all of a domain."""
+    asked, judged, out = [], [], str(tmp_path / "run")
+    generate = _answers(asked)
+
+    def judge(examples):
+        judged.append(1)
+        return _judge(examples)
+
+    first = _run(spark, out, 10, generate, judge).orderBy("accepted_count").collect()
+    assert [len(x) for x in asked] == [8, 3] and [x[0] for w in asked for x in w] == [f"d-{i:06d}" for i in range(11)]
+    assert [(r.accepted_count, r.target, r.extra["wave"]) for r in first] == [(4, 10, "1"), (8, 10, "1"), (10, 10, "2")]
+    assert [r.rejected_count is None for r in first] == [True, False, False]
+    assert sum(first[-1].taxonomy_coverage.values()) == 10 and len(judged) == 2
     assert 1 < first[0].vendi_score < first[-1].vendi_score <= 10
-    second = domain_run.run_domain(tax, "d", 12, generate, _judge, out, seed=3, embedder=embed.hashing_embedder(16), settings=few).collect()
+    second = _run(spark, out, 12, generate).collect()
     assert [(r.accepted_count, sum(r.taxonomy_coverage.values())) for r in second] == [(12, 12)]
-    done = {r.node_id for r in spark.read.parquet(f"{out}/examples").collect()}
-    assert len(done) == 12 and not set(asked[1]) & {f"d-{n:06d}" for n in range(10)}
-    records = tables.read_jsonl(spark, f"{out}/jsonl")
+    assert [x[0] for x in asked[2]] == ["d-000011", "d-000012"]
+    steps = tables.committed_steps(spark, f"{out}/manifest", "d")
+    assert steps.count() == 3
+    records = tables.read_jsonl(spark, f"{out}/jsonl", steps=steps)
     assert records.count() == 12 and records.where("metadata.nearest_neighbor_similarity > 0").count() == 12
-    met = domain_run.run_domain(tax, "d", 12, generate, _judge, out, seed=3, embedder=embed.hashing_embedder(16), settings=few).collect()
-    assert [(r.accepted_count, r.rejected_count) for r in met] == [(12, 0)] and len(asked) == 2
+    met = _run(spark, out, 12, generate).collect()
+    assert [(r.accepted_count, r.rejected_count) for r in met] == [(12, 0)] and len(asked) == 3
     assert tables.status(spark, f"{out}/manifest", "d").first()["accepted_count"] == 12
 
 
+@pytest.mark.parametrize("sink", ["write_vectors", "write_examples", "append_manifest"])
+def test_domain_run_repeats_a_broken_step(spark, tmp_path, monkeypatch, sink):
+    """Whichever sink fails, the next run asks the same scenarios again and every id is there once."""
+    asked, out = [], str(tmp_path / "run")
+
+    def broken(*_, **__):
+        raise OSError("no space")
+
+    with monkeypatch.context() as m:
+        m.setattr(tables, sink, broken)
+        with pytest.raises(OSError, match="no space"):
+            _run(spark, out, 4, _answers(asked), min_coverage=1)
+    rows = _run(spark, out, 4, _answers(asked), min_coverage=1).collect()
+    assert asked[0] == asked[1] and max(r.accepted_count for r in rows) == 4
+    steps = tables.committed_steps(spark, f"{out}/manifest", "d")
+    ids = [sorted(r[0] for r in x.collect()) for x in (
+        tables.read_jsonl(spark, f"{out}/jsonl", steps=steps).select("id"), tables.of_steps(spark.read.parquet(f"{out}/examples"), steps).select("example_id"),
+        tables.stored_vectors(spark, f"{out}/vectors", "d", steps).select("id"))]
+    assert ids[0] == ids[1] == ids[2] and len(set(ids[0])) == len(ids[0]) == 4
+
+
+def test_generate_and_judge_run_once(spark):
+    """Neither is run again by the counters: both count their rows in Spark."""
+    n = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(x):
+        n.add(1)
+        return x
+
+    kept, counters = run.curate(_generated(spark), _nodes(spark), lambda rows: _judge(rows.withColumn("prompt", seen("prompt"))))
+    assert kept.count() == 5 and counters.count() == 2 and n.value == 8
+
+
 def test_domain_run_without_an_accepted_example(spark, tmp_path):
     tax = spark.createDataFrame([("t", "a", 0)], "dimension string, value string, ordinal int")
     nothing = lambda requests: requests.select("node_id", F.lit("no list").alias("reply"), F.lit(1).cast("long").alias("ord"))
