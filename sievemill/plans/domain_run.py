@@ -140,9 +140,9 @@ def _none(spark: SparkSession) -> DataFrame:
 
 def _accepted_before(spark: SparkSession, out: str, domain: str) -> DataFrame:
     """example_id, node_id, taxonomy_node, vector of what a domain's steps have accepted so far."""
-    if not exists(spark, f"{out}/examples"):
+    if not (exists(spark, f"{out}/examples") and exists(spark, f"{out}/vectors")):
         return _none(spark)
     steps = tables.committed_steps(spark, f"{out}/manifest", domain)
-    old = tables.of_steps(spark.read.parquet(f"{out}/examples"), steps).where(F.col("domain") == domain).select("example_id", "node_id", "taxonomy_node")
+    old = tables.step_examples(spark, f"{out}/examples", domain, steps)
     vectors = tables.stored_vectors(spark, f"{out}/vectors", domain, steps).select(F.col("id").alias("example_id"), "vector")
     return written(old.join(vectors, "example_id", "left"), "before")

@@ -47,6 +47,11 @@ def output_records(examples: DataFrame) -> DataFrame:
     )
 
 
+# What is read of tables written step by step: a step without rows has no file to tell the columns.
+STEP_EXAMPLES = "example_id string, node_id string, taxonomy_node map<string,string>, step string, domain string"
+STEP_VECTORS = "id string, vector array<float>, composite_score double, step string, domain string"
+
+
 def _step(path: str, step: str | None) -> tuple[str, str]:
     """Where and how a sink writes: a step has a folder of its own, which a repetition of the step replaces."""
     return (path, "append") if step is None else (f"{path}/step={step}", "overwrite")
@@ -56,7 +61,7 @@ def of_steps(rows: DataFrame, steps: DataFrame | None) -> DataFrame:
     """Rows of the given ``steps`` (step) of a table written step by step, without that column; other steps' folders aren't read."""
     if steps is None:
         return rows
-    return rows.withColumn("step", F.col("step").cast("string")).join(F.broadcast(steps.select("step").distinct()), "step", "left_semi").drop("step")  # a row for each wave of a run
+    return rows.join(F.broadcast(steps.select("step").distinct()), "step", "left_semi").drop("step")  # a row for each wave of a run
 
 
 def committed_steps(spark: SparkSession, path: str, domain: str | None = None) -> DataFrame:
@@ -66,6 +71,11 @@ def committed_steps(spark: SparkSession, path: str, domain: str | None = None) -
     return rows.select(F.col("extra")["step"].alias("step")).where("step is not null").distinct()
 
 
+def step_examples(spark: SparkSession, path: str, domain: str, steps: DataFrame) -> DataFrame:
+    """example_id, node_id, taxonomy_node of a domain's examples in the given steps."""
+    return of_steps(spark.read.schema(STEP_EXAMPLES).parquet(path), steps).where(F.col("domain") == domain).drop("domain")
+
+
 def write_jsonl(examples: DataFrame, path: str, step: str | None = None) -> None:
     """Append output records as JSON lines, or replace those of a ``step``; nulls are written, text isn't escaped beyond JSON."""
     place, mode = _step(path, step)
@@ -109,7 +119,7 @@ def write_vectors(vectors: DataFrame, path: str, dim: int, step: str | None = No
 
 def stored_vectors(spark: SparkSession, path: str, domain: str | None = None, steps: DataFrame | None = None) -> DataFrame:
     """Stored vectors, of one domain and of given steps if told so: partition filters, so that others aren't read."""
-    rows = of_steps(spark.read.parquet(path), steps)
+    rows = spark.read.parquet(path) if steps is None else of_steps(spark.read.schema(STEP_VECTORS).parquet(path), steps)
     return rows if domain is None else rows.where(F.col("domain") == domain)
 
 
