@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Settings
-from ..functions import shingles
+from ..sources import band_index
 from ..sources.storage import delete, written
 from . import similarity
 
@@ -62,19 +62,18 @@ def deduplicate(
     stored_vectors: DataFrame | None = None,
     metric: str = "proxy_l2sq",
     settings: Settings = DEFAULTS,
+    stored_bands: DataFrame | None = None,
 ) -> DataFrame:
     """``examples`` (order long, text, vector) with ``reason``: null (stays), `minhash` or `cosine`.
 
-    Layer 1: a row goes if it shares a band of its MinHash signature with an earlier row that stays. Layer 2: if its vector is as
+    Layer 1: a row goes if it shares a band of its MinHash signature with an earlier row that stays, or with a stored one (``stored_bands``: slot, bucket). Layer 2: if its vector is as
     similar as ``settings.similarity_reject`` to such a row's, or to a stored one. Layer 1 has precedence in the reason. Copies of a text share
     one signature; null texts are empty; rows with equal ``order`` are one row. Vectors of different widths, stored ones included, raise ``ValueError``; rows without one
     are in layer 1 only. Equal vectors are compared once.
     """
     rows = examples.dropDuplicates([order]).withColumn("ord", F.col(order).cast("long"))
-    texts = rows.select("ord", F.coalesce(text, F.lit("")).alias("t"), F.md5(F.coalesce(text, F.lit(""))).alias("h"))
-    signed = written(texts.groupBy("h").agg(F.min("t").alias("t")).select("h", shingles.signature(shingles.gram_hashes(shingles.ngrams("t", settings.ngram)), settings.permutations).alias("minhash")), "signatures")
-    minhash = texts.select("ord", "h").join(similarity.lsh_buckets(signed, "h", settings.bands, settings.band_rows), "h").select("ord", F.col("bucket"))
-    minhash = written(minhash, "layer1")
+    minhash = written(band_index.text_buckets(rows.withColumn("_text", F.col(text)), "ord", "_text", settings), "layer1")
+    known = None if stored_bands is None else written(band_index.colliding(minhash, stored_bands), "known")
     edges = None
     rejected = None
     if vector is not None:
@@ -95,6 +94,9 @@ def deduplicate(
         edges = edges.unionByName(alike.select("first", F.concat_ws("-", F.lit("v"), F.col("first").cast("string")).alias("bucket")))
         edges = copies.join(edges, "first").select("ord", "bucket")
     open_, buckets = rows.select("ord"), minhash
+    if known is not None:
+        open_, buckets = open_.join(known, "ord", "left_anti"), buckets.join(known, "ord", "left_anti")
+        edges = None if edges is None else edges.join(known, "ord", "left_anti")
     if rejected is not None:
         open_, buckets = open_.join(rejected, "ord", "left_anti"), buckets.join(rejected, "ord", "left_anti")
     if edges is not None:
@@ -102,7 +104,8 @@ def deduplicate(
     stays = written(first_wins(open_, buckets).select("ord", F.lit(True).alias("stays")), "stays")
     # Why a row goes: an earlier row that stays in one of its layer-1 buckets, or else layer 2.
     first = minhash.join(stays, "ord").groupBy("bucket").agg(F.min("ord").alias("first"))
-    lsh = minhash.join(first, "bucket").where("first < ord").select("ord", F.lit(True).alias("lsh")).distinct()
+    lsh = minhash.join(first, "bucket").where("first < ord").select("ord")
+    lsh = (lsh if known is None else lsh.unionByName(known)).select("ord", F.lit(True).alias("lsh")).distinct()
     out = rows.join(stays, "ord", "left").join(lsh, "ord", "left")
     reason = F.when(F.col("stays").isNull(), F.when(F.col("lsh"), "minhash").otherwise("cosine"))
     return out.withColumn("reason", reason).select(*examples.columns, "reason")

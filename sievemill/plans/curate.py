@@ -51,6 +51,7 @@ def curate(
     metric: str = "proxy_l2sq",
     settings: Settings = DEFAULTS,
     progress: Callable[[dict], None] | None = None,
+    stored_bands: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Curated examples and the funnel's counters, from generator replies (node_id, reply, ord).
 
@@ -63,7 +64,7 @@ def curate(
     rows = written(judge(examples), "judged")
     good = scoring.accepted(scoring.passed(rows)).withColumn("text", shingles.dedup_text())
     good = written(good.withColumn("vector", embed.embed(F.col("text"), embedder)), "embedded")  # each text is embedded once
-    told = dedup.deduplicate(good, "text", "vector", "ord", stored_vectors, metric, settings) if settings.bands else good.withColumn("reason", F.lit(None).cast("string"))
+    told = dedup.deduplicate(good, "text", "vector", "ord", stored_vectors, metric, settings, stored_bands) if settings.bands else good.withColumn("reason", F.lit(None).cast("string"))
     told = written(told, "deduplicated")
     delete(good)
     counters = scoring.funnel(rows.join(told.select("ord", "reason"), "ord", "left"))

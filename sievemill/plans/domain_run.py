@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Settings
 from ..operators import diversity, requests, sampling, similarity
-from ..sources import tables
+from ..sources import band_index, tables
 from ..sources.storage import exists, numbered, written
 from .curate import curate
 
@@ -69,6 +69,7 @@ def run_domain(
     metric: str = "proxy_l2sq",
     settings: Settings = DEFAULTS,
     progress: Callable[[dict], None] | None = None,
+    layer1_scope: str = "run",
 ) -> DataFrame:
     """The manifest rows of a run that brings ``domain`` to ``target`` accepted examples.
 
@@ -76,12 +77,16 @@ def run_domain(
     are curated against all stored vectors of the domain, and the next wave is as large as the acceptance so far demands. The run ends at the target, or
     when as many scenarios were asked as ``plan_size`` allows. A later run goes on with the number after the last one asked.
 
-    A wave is a step: it writes its folders of ``jsonl``, ``examples`` and ``vectors`` in ``out``, and last of all its rows of ``manifest``. Only steps with a manifest row
+    ``layer1_scope``: texts are held against the texts accepted by this `run`, or by all runs of all domains in ``out`` (`corpus`).
+
+    A wave is a step: it writes its folders of ``jsonl``, ``examples``, ``vectors`` and ``bands`` in ``out``, and last of all its rows of ``manifest``. Only steps with a manifest row
     count; one that broke off is asked again and its folders are replaced. A manifest row stands after every ``settings.checkpoint_every``
     accepted examples of a wave and at its end, where it has the run's rejected rows so far. A run whose target is met already writes one row and nothing else.
     """
+    if layer1_scope not in ("run", "corpus"):
+        raise ValueError(f"layer1_scope is neither run nor corpus: {layer1_scope!r}")
     spark = taxonomy.sparkSession
-    manifest = f"{out}/manifest"
+    manifest, bands = f"{out}/manifest", f"{out}/bands"
     largest = taxonomy.groupBy("dimension").count().agg(F.max("count")).first()[0] or 1
     at = spark.range(1).select(tables.run_id(F.lit(domain)).alias("run_id"), F.date_trunc("millisecond", F.current_timestamp()).alias("at")).first()
     known = tables.read_manifest(spark, manifest).where(F.col("domain") == domain)
@@ -103,7 +108,12 @@ def run_domain(
             nodes = sampling.sample_node_sets(taxonomy, domain, first + asked + size, cover, seed, strict=False, use_case=use_case, start=first + asked)
             replies = generate(requests.generation_requests(nodes, settings.generator_batch))
             vectors = before.where("vector is not null").select(F.col("example_id").alias("id"), "vector") if have else None
-            kept, counters = curate(replies, nodes, judge, target - have, embedder, vectors, metric, settings, progress)
+            known = None
+            if layer1_scope == "corpus":
+                known = band_index.read_bands(spark, bands, tables.committed_steps(spark, manifest))
+            elif wave:
+                known = band_index.read_bands(spark, bands, tables.committed_steps(spark, manifest, domain), f"{at['run_id']} {at['at']}")
+            kept, counters = curate(replies, nodes, judge, target - have, embedder, vectors, metric, settings, progress, known)
             kept = written(kept.join(before.select("example_id"), "example_id", "left_anti"), "accepted")
             m = kept.count()
             rejected += counters.where("stage <> 'done'").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -113,6 +123,8 @@ def run_domain(
             tables.write_jsonl(kept.join(near.select(F.col("id").alias("example_id"), F.col("similarity").alias("nearest_neighbor_similarity")), "example_id"), f"{out}/jsonl", name)
             tables.write_vectors(kept.select(F.col("example_id").alias("id"), "vector", "composite_score", own.alias("domain")), f"{out}/vectors", settings.embedding_dim, name)
             tables.write_examples(kept, f"{out}/examples", name)
+            if settings.bands:
+                band_index.write_bands(band_index.text_buckets(kept.withColumnRenamed("example_id", "id"), "id", "text", settings), bands, name, f"{at['run_id']} {at['at']}")
             placed = numbered(kept, "ord").join(nodes.select("node_id", "idx"), "node_id", "left")
             placed = placed.withColumn("vector", F.col("vector").cast("array<float>"))
             asked, accepted = asked + size, accepted + m

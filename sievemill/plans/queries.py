@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from ..config import DEFAULTS, GENERIC_TAXONOMY, RUBRIC_WEIGHTS, Settings
 from ..functions import replies, shingles
 from ..operators import coverage, dedup, diversity, requests, sampling, scoring, similarity
-from ..sources import tables, taxonomy
+from ..sources import band_index, tables, taxonomy
 from ..sources.storage import shared_folder
 from ..streaming import continuous
 from . import curate as run
@@ -232,6 +232,18 @@ def dedup_text(spark: SparkSession, d: str) -> DataFrame:
     return dedup.deduplicate(docs, vector=None).select("ord", "reason")
 
 
+def dedup_two_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Documents in two batches of about one size, the second against the band index of the first: as if all came in one."""
+    docs = _read(spark, d, "documents").select(F.col("doc_id").alias("ord"), "text")
+    middle = docs.agg(F.avg("ord")).first()[0] or 0
+    path = _scratch(spark, "bands")
+    first = dedup.deduplicate(docs.where(F.col("ord") < middle), vector=None)
+    kept = first.where("reason is null").withColumnRenamed("ord", "id")
+    band_index.write_bands(band_index.text_buckets(kept, "id", "text"), path, "first")
+    second = dedup.deduplicate(docs.where(F.col("ord") >= middle), vector=None, stored_bands=band_index.read_bands(spark, path))
+    return first.unionByName(second).select("ord", "reason")
+
+
 def dedup_two_layers(spark: SparkSession, d: str) -> DataFrame:
     """Texts with the vector of the same number, where there is one."""
     v = _read(spark, d, "embeddings").select(F.col("vec_id").alias("ord"), F.col("embedding").alias("vector"))
@@ -456,7 +468,7 @@ QUERIES = {
     for f in (
         rubric_pipeline, verdict_coverage, taxonomy_values, coverage_all, coverage_json, coverage_gaps, coverage_gaps_unseen, deficit_total,
         node_sets, node_set_coverage, infeasible_dimensions, request_generation, request_screening, request_scoring, reply_examples,
-        screen_verdicts, rubric_parse, stage_funnel, ngram_counts, minhash_signatures, lsh_collisions, jaccard_pairs, dedup_text, dedup_two_layers,
+        screen_verdicts, rubric_parse, stage_funnel, ngram_counts, minhash_signatures, lsh_collisions, jaccard_pairs, dedup_text, dedup_two_batches, dedup_two_layers,
         nearest, similar_pairs, domain_counts, gram, vendi_by_label, hydrated, jsonl_round_trip, example_table, manifest_latest, run_ids,
         target_limit, resume_rest, stream_counts, stream_coverage, stream_first_seen, curated,
         taxonomy_files, taxonomy_domains, taxonomy_violations, generic_nodes, vector_table, screen_passed, example_count, stream_screened, run_manifest, run_waves,
@@ -580,6 +592,7 @@ ORACLES = {
     "stream_screened": """SELECT doc_id, (r // 3) AS batch, CAST(r % 3 AS INTEGER) AS pos, CASE WHEN doc_id % 3 = 0 THEN 0.0 ELSE 1.0 END::DOUBLE AS prefilter_score
         FROM (SELECT doc_id, row_number() OVER (PARTITION BY doc_id // 100 ORDER BY doc_id) - 1 AS r FROM documents)""",
     "dedup_text": _first_wins_sql(),
+    "dedup_two_batches": _first_wins_sql(),
     "dedup_two_layers": _first_wins_sql(", v AS MATERIALIZED (SELECT vec_id, [CAST(x AS DOUBLE) FOR x IN embedding] AS v FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents))", f" UNION ALL {_COSINE}"),
     "run_waves": f"""WITH {PAIRS}, t AS (SELECT count(DISTINCT conv_id) // 2 AS target FROM conversations), u AS (SELECT target, greatest(3 * target // 2, target + 1) AS n FROM t),
         j AS (SELECT conv_id, {_VERDICT} = 'accept' AS ok FROM (SELECT *, {_HUNDREDTHS.format(n='(length(prompt) + length(completion))')} AS h FROM pairs WHERE prompt <> '' AND completion <> '')),

@@ -61,7 +61,7 @@ def of_steps(rows: DataFrame, steps: DataFrame | None) -> DataFrame:
     """Rows of the given ``steps`` (step) of a table written step by step, without that column; other steps' folders aren't read."""
     if steps is None:
         return rows
-    return rows.join(F.broadcast(steps.select("step").distinct()), "step", "left_semi").drop("step")  # a row for each wave of a run
+    return rows.join(steps.select("step").distinct(), "step", "left_semi").drop("step")
 
 
 def committed_steps(spark: SparkSession, path: str, domain: str | None = None) -> DataFrame:

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 from sievemill.config import Settings
 from sievemill.functions import embed, replies
-from sievemill.operators import scoring
+from sievemill.operators import dedup, scoring
 from sievemill.plans import curate as run
 from sievemill.plans import domain_run
-from sievemill.sources import tables
+from sievemill.sources import band_index, tables
 from sievemill.streaming import continuous
 
 RUBRIC = {"factuality": 5, "instruction_clarity": 4, "response_quality": 4, "domain_relevance": 4, "format_compliance": 4}
@@ -156,6 +156,29 @@ def test_domain_run_repeats_a_broken_step(spark, tmp_path, monkeypatch, sink):
     assert ids[0] == ids[1] == ids[2] and len(set(ids[0])) == len(ids[0]) == 4
 
 
+def test_layer1_scope(spark, tmp_path):
+    """A second domain's copies of stored texts stay within a run, and go where the corpus is the scope."""
+    out, tax = str(tmp_path / "run"), spark.createDataFrame([("t", "a", 0)], "dimension string, value string, ordinal int")
+    go = lambda domain, scope: domain_run.run_domain(tax, domain, 3, _answers([]), _judge, out, min_coverage=1, embedder=embed.hashing_embedder(16), settings=FEW, layer1_scope=scope).agg(F.max("accepted_count")).first()[0]
+    assert go("one", "run") == 3
+    assert go("two", "corpus") == 1  # the fourth and last scenario asked is the only new text
+    assert go("three", "run") == 3
+    with pytest.raises(ValueError, match="layer1_scope"):
+        go("four", "all")
+
+
+def test_band_index(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a text that comes again and again, twice at least"), (2, "nothing like the others in the table"), (3, None)], "ord long, text string")
+    path = str(tmp_path / "bands")
+    for _ in range(2):  # a repeated step replaces its rows
+        band_index.write_bands(band_index.text_buckets(rows.where("ord <> 2").withColumnRenamed("ord", "id"), "id", "text"), path, "s1", "r1")
+    stored = band_index.read_bands(spark, path, run_id="r1")
+    assert stored.count() == 14 and {r.id for r in stored.collect()} == {"1"}
+    assert band_index.read_bands(spark, path, run_id="r2").count() == 0 and band_index.read_bands(spark, path, spark.createDataFrame([("s2",)], "step string")).count() == 0
+    got = {r.ord: r.reason for r in dedup.deduplicate(rows, vector=None, stored_bands=stored).collect()}
+    assert got == {1: "minhash", 2: None, 3: None}
+
+
 def test_generate_and_judge_run_once(spark):
     """Neither is run again by the counters: both count their rows in Spark."""
     n = spark.sparkContext.accumulator(0)
