@@ -202,8 +202,14 @@ def ngram_counts(spark: SparkSession, d: str) -> DataFrame:
     return _read(spark, d, "documents").select("doc_id", F.size(shingles.ngrams("text")).cast("long").alias("n"))
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """Rows of a table with fewer parts than the cluster has cores, dealt to all of them; a table of many parts isn't shuffled."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, "doc_id") if rows.rdd.getNumPartitions() < cores else rows
+
+
 def _signed(spark: SparkSession, d: str) -> DataFrame:
-    docs = _read(spark, d, "documents").select("doc_id", "text")
+    docs = _spread(_read(spark, d, "documents").select("doc_id", "text"))
     return docs.select("doc_id", shingles.signature(shingles.gram_hashes(shingles.ngrams("text"))).alias("minhash"))
 
 
