@@ -1,14 +1,16 @@
 """First-wins near-duplicate removal as a distributed job.
 
 Going through rows in order and dropping each that collides with an earlier row kept is the lexicographically first maximal
-independent set, which rounds of local minima give as well: a row that is the least of all its buckets is kept, and rows that share a
-bucket with a kept one go. Buckets stand for cliques, so a hot bucket costs its rows, never its pairs.
+independent set. Ranges of the order do so side by side: each goes through its rows and leaves open what hangs on an earlier range. The first
+range leaves nothing open, so that the rounds are at most as many as the ranges, and a chain of collisions costs no round a link. Buckets stand
+for cliques, so a hot bucket costs its rows, never its pairs.
 """
 
 from __future__ import annotations
 
-from itertools import count
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,28 +20,65 @@ from ..sources.storage import delete, written
 from . import similarity
 
 
-def first_wins(rows: DataFrame, buckets: DataFrame, kept_before: DataFrame | None = None) -> DataFrame:
-    """``ord`` of the rows that stay. ``rows`` has ord (unique); ``buckets`` has ord, bucket; rows in one bucket collide.
+RANGE_ROWS = 500_000  # of (row, bucket) pairs that one task goes through
+OPEN, KEPT, FREE = 0, 1, 2  # of a bucket: an earlier row of it is open, or kept; or neither
 
-    ``kept_before``: ords in ``buckets`` that are kept from the start. Rows without a bucket stay. Each round decides at least the least row still open, so the rounds end.
+
+def _in_order(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows (ord) of a range that are kept for sure, from its pairs (ord, bucket, least) sorted by ord; ``least`` is the bucket's first open row."""
+    state: dict[str, int] = {}
+    at, buckets = None, []
+
+    def decide() -> bool:
+        states = [state[b] for b in buckets]
+        kept = all(x == FREE for x in states)
+        for b, x in zip(buckets, states, strict=True):
+            if kept:
+                state[b] = KEPT
+            elif x == FREE and KEPT not in states:  # the row is open, and so are later ones of its buckets
+                state[b] = OPEN
+        return kept
+
+    for pdf in frames:
+        kept = []
+        for ord_, bucket, least in zip(pdf["ord"].tolist(), pdf["bucket"].tolist(), pdf["least"].tolist(), strict=True):
+            if ord_ != at:
+                if buckets and decide():
+                    kept.append(at)
+                at, buckets = ord_, []
+            if bucket not in state:
+                state[bucket] = FREE if least == ord_ else OPEN
+            buckets.append(bucket)
+        yield pd.DataFrame({"ord": pd.Series(kept, dtype="int64")})
+    if buckets and decide():
+        yield pd.DataFrame({"ord": pd.Series([at], dtype="int64")})
+
+
+def first_wins(rows: DataFrame, buckets: DataFrame, kept_before: DataFrame | None = None, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """``ord`` (long) of the rows that stay. ``rows`` has ord (unique); ``buckets`` has ord, bucket; rows in one bucket collide.
+
+    ``kept_before``: ords in ``buckets`` that are kept from the start. Rows without a bucket stay. Each round decides at least the first range of the rows still open
+    (``range_rows`` pairs or so), so the rounds end.
     """
-    b = written(buckets.select("ord", "bucket").distinct(), "buckets")
-    kept = [written(rows.select("ord").join(b.select("ord").distinct(), "ord", "left_anti"), "kept")]
+    b = written(buckets.select(F.col("ord").cast("long").alias("ord"), F.col("bucket").cast("string").alias("bucket")).distinct(), "buckets")
+    kept = [written(rows.select(F.col("ord").cast("long").alias("ord")).join(b.select("ord").distinct(), "ord", "left_anti"), "kept")]
     new = None if kept_before is None else written(kept_before.select("ord").join(b.select("ord").distinct(), "ord", "left_semi"), "kept")
-    for _ in count():
+    while left := b.count():
+        n = -(-left // range_rows)
+        last = new is None and n == 1  # one range leaves nothing open
         if new is None:
             least = b.groupBy("bucket").agg(F.min("ord").alias("least"))
-            new = b.join(least, "bucket").groupBy("ord").agg(F.min(F.col("ord") == F.col("least")).alias("wins")).where("wins").select("ord")
-            new = written(new, "kept")
+            ranges = b.join(least, "bucket").select("ord", "bucket", "least").repartitionByRange(n, "ord").sortWithinPartitions("ord")
+            new = written(ranges.mapInPandas(_in_order, "ord long"), "kept")
             kept.append(new)
+        if last:
+            break
         hit = b.join(new, "ord", "left_semi").select("bucket").distinct()
         gone = b.join(hit, "bucket", "left_semi").select("ord").distinct()
         rest = written(b.join(gone, "ord", "left_anti"), "buckets")
         delete(b)
         b, new = rest, None
-        if not b.limit(1).count():
-            delete(b)
-            break
+    delete(b)
     out = kept[0]
     for k in kept[1:]:
         out = out.unionByName(k)

@@ -2,16 +2,51 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ..config import DEFAULTS, Settings
 from ..functions import replies
 from ..operators import requests, scoring
 from ..plans.curate import curate
-from ..sources.storage import exists
+from ..sources import band_index, tables
+from ..sources.storage import delete, exists, written
+
+
+class TargetMet(Exception):
+    """Raised by a batch that comes after the target: it stays unread, and a later query with a higher target begins with it."""
+
+
+class Curation:
+    """A running curation: ``query`` is Spark's own; ``awaitTermination`` ends it after the batch that met the target."""
+
+    def __init__(self) -> None:
+        self.query: StreamingQuery | None = None
+        self.met_at: int | None = None
+
+    def awaitTermination(self, timeout: float | None = None, every: float = 0.5) -> bool:
+        """True once the query has ended: by itself, or by the target. With ``timeout`` (seconds) False if it hasn't by then."""
+        waited = 0.0
+        while True:
+            try:
+                if self.query.awaitTermination(every):
+                    return True
+            except StreamingQueryException:
+                if self.met_at is None:
+                    raise
+                return True
+            done = self.query.lastProgress
+            if self.met_at is not None and done is not None and done["batchId"] >= self.met_at:
+                self.query.stop()
+                return True
+            waited += every
+            if timeout is not None and waited >= timeout:
+                return False
 
 
 def curate_stream(
@@ -24,31 +59,57 @@ def curate_stream(
     settings: Settings = DEFAULTS,
     embedder: Callable | None = None,
     once: bool = True,
-):
-    """Run ``curate`` on each micro-batch against everything kept so far, and append what stays.
-
-    A batch's rows carry its number, and a batch that was written already is skipped, so a restart repeats nothing. With a target
-    the batch that reaches it is cut, and later batches are dropped.
+    name: str = "stream",
+    metric: str = "proxy_l2sq",
+) -> Curation:
+    """Run ``curate`` on each micro-batch against everything kept so far, and write what stays.
+
+    A batch is a step: its folders of ``jsonl``, ``kept`` (examples), ``vectors`` and ``bands`` in ``out`` come first, its row of ``manifest`` last (domain ``name``, accepted and
+    rejected counts of all batches so far). Only steps with a manifest row count: a batch that broke off replaces its folders, and one that is repeated after its manifest row is skipped.
+    Near-duplicates of what was kept go by the stored bands and vectors; nothing kept is counted or signed again. The batch that reaches ``target`` is cut, and
+    the query ends after it, so that later files stay unread.
     """
     spark = stream.sparkSession
-    kept_path = f"{out}/kept"
+    manifest, run, own = f"{out}/manifest", Curation(), f"{zlib.crc32(checkpoint.encode()):08x}"
 
     def step(batch: DataFrame, number: int) -> None:
-        before = spark.read.parquet(kept_path) if exists(spark, kept_path) else None
-        room = target
-        if before is not None:
-            if before.where(F.col("batch") == number).limit(1).count():
-                return
-            room = None if target is None else target - before.count()
-        if room is not None and room <= 0:
-            return
-        vectors = None if before is None else before.select(F.col("example_id").alias("id"), "vector")
-        rows, _ = curate(batch, nodes, judge, room, embedder, vectors, settings=settings)
-        rows = rows if before is None else rows.join(before.select("example_id"), "example_id", "left_anti")
-        rows.select("example_id", "node_id", "prompt", "completion", "composite_score", "rubric", "verdict", "taxonomy_node", "vector", "created_at", F.lit(number).alias("batch")).write.mode("append").parquet(kept_path)
+        done = tables.read_manifest(spark, manifest).where(F.col("domain") == name)
+        step_name = f"{name}-{own}-{number:09d}"
+        sums = done.agg(F.coalesce(F.max("accepted_count"), F.lit(0)), F.coalesce(F.max("rejected_count"), F.lit(0)), F.coalesce(F.max(F.col("extra")["step"] == step_name), F.lit(False)))
+        accepted, rejected, written_before = sums.first()
+        if not written_before:
+            if target is not None and accepted >= target:
+                run.met_at = number - 1
+                raise TargetMet(f"{accepted} examples of {target}")
+            steps = tables.committed_steps(spark, manifest, name)
+            vectors = tables.stored_vectors(spark, f"{out}/vectors", None, steps).select("id", "vector") if accepted else None
+            bands = band_index.read_bands(spark, f"{out}/bands", steps) if accepted and settings.bands else None
+            rows, counters = curate(batch, nodes, judge, None if target is None else target - accepted, embedder, vectors, metric, settings, stored_bands=bands)
+            if accepted:
+                stored = tables.of_steps(spark.read.schema(tables.STEP_EXAMPLES).parquet(f"{out}/kept"), steps)
+                rows = rows.join(stored.select("example_id"), "example_id", "left_anti")
+            rows = written(rows, "accepted")
+            accepted += rows.count()
+            rejected += counters.where("stage <> 'done'").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+            domain = F.coalesce(F.col("taxonomy_node")["domain"], F.lit(""))
+            tables.write_jsonl(rows, f"{out}/jsonl", step_name)
+            tables.write_examples(rows, f"{out}/kept", step_name)
+            tables.write_vectors(rows.select(F.col("example_id").alias("id"), "vector", "composite_score", domain.alias("domain")), f"{out}/vectors", settings.embedding_dim, step_name)
+            if settings.bands:
+                band_index.write_bands(band_index.text_buckets(rows.withColumnRenamed("example_id", "id"), "id", "text", settings), f"{out}/bands", step_name)
+            extra = F.create_map(F.lit("step"), F.lit(step_name), F.lit("batch"), F.lit(str(number)))
+            row = spark.range(1).select(
+                tables.run_id(F.lit(name)).alias("run_id"), F.lit(name).alias("domain"), F.lit(target).cast("long").alias("target"), F.lit(accepted).alias("accepted_count"),
+                F.lit(rejected).alias("rejected_count"), F.current_timestamp().alias("timestamp"), extra.alias("extra"),
+            )
+            tables.append_manifest(row.coalesce(1), manifest)
+            delete(rows)
+        if target is not None and accepted >= target:
+            run.met_at = number
 
     writer = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if once else writer).start()
+    run.query = (writer.trigger(availableNow=True) if once else writer).start()
+    return run
 
 
 def screen_stream(stream: DataFrame, answer: Callable[[DataFrame], DataFrame], partition: str, order: list[str], out: str, checkpoint: str):

@@ -166,6 +166,33 @@ def test_first_wins_equals_the_sequential_loop(spark):
         assert {r.ord for r in got.collect()} == kept
 
 
+def test_first_wins_by_ranges(spark):
+    """However many ranges: random buckets, and a chain of 5,000 rows, which takes few jobs."""
+    draw = random.Random(4)
+    buckets = sorted({(draw.randrange(300), f"b{draw.randrange(250)}") for _ in range(700)})
+    by: dict = {}
+    for o, b in buckets:
+        by.setdefault(o, []).append(b)
+    taken, kept = set(), set(range(300)) - set(by)
+    for o in sorted(by):
+        if not taken & set(by[o]):
+            kept.add(o)
+            taken |= set(by[o])
+    rows, df = spark.range(300).withColumnRenamed("id", "ord"), spark.createDataFrame(buckets, "ord long, bucket string")
+    for size in (1000, 90, 20):
+        got = [r.ord for r in dedup.first_wins(rows, df, range_rows=size).collect()]
+        assert len(got) == len(kept) and set(got) == kept
+    n = 5000
+    chain = spark.range(n).select(F.col("id").alias("ord"), F.explode(F.expr("array(string(id), string(id + 1))")).alias("bucket"))
+    for size in (1 << 20, 2500):
+        spark.sparkContext.setJobGroup(f"chain-{size}", "first wins")
+        got = sorted(r.ord for r in dedup.first_wins(spark.range(n).withColumnRenamed("id", "ord"), chain, range_rows=size).collect())
+        assert got == list(range(0, n, 2))
+        if size > 2 * n:
+            assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"chain-{size}")) < 20
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_two_layers(spark):
     u = np.eye(8).tolist()
     rows = [(0, "the quick brown fox jumps over the lazy dog", u[0]), (1, "the quick brown fox jumps over the lazy dog", u[1]), (2, "something else altogether here", u[0]), (3, "a third and quite different text", u[3]), (4, None, u[5]), (5, "words no other row has in it", None)]

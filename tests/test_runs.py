@@ -216,6 +216,58 @@ def test_stream(spark, tmp_path):
     assert spark.read.parquet(f"{out}/kept").count() == 5
 
 
+def _own_replies(spark, first, n):
+    rows = _answers([])(spark.createDataFrame([(f"d-{i:06d}", "p") for i in range(first, first + n)], "node_id string, prompt string"))
+    return rows.coalesce(1)
+
+
+def test_stream_ends_at_its_target(spark, tmp_path):
+    """The batch that meets the target is cut and ends the query; later files stay unread until a higher target asks for them."""
+    src, out, at = (str(tmp_path / x) for x in ("in", "out", "at"))
+    for i in range(4):
+        _own_replies(spark, 10 * i, 4).write.mode("append").parquet(src)
+    read = []
+
+    def judge(rows):
+        read.append(rows.count())
+        return _judge(rows)
+
+    def go(target, **more):
+        stream = continuous.file_stream(spark, src, "node_id string, ord long, reply string", 1)
+        return continuous.curate_stream(stream, _nodes(spark), judge, out, at, target, FEW, embed.hashing_embedder(16), **more)
+
+    assert go(6).awaitTermination() and read == [4, 4]
+    manifest = tables.read_manifest(spark, f"{out}/manifest").orderBy("accepted_count").collect()
+    assert [(r.domain, r.target, r.accepted_count, r.rejected_count, r.extra["batch"]) for r in manifest] == [("stream", 6, 4, 0, "0"), ("stream", 6, 6, 0, "1")]
+    assert go(6).awaitTermination() and read == [4, 4]
+    assert go(9).awaitTermination() and read == [4, 4, 4]
+    endless = go(13, once=False)  # the query waits for files, but the target ends it
+    assert endless.awaitTermination(120) and not endless.query.isActive and read == [4, 4, 4, 4]
+    steps = tables.committed_steps(spark, f"{out}/manifest", "stream")
+    ids = [x.select(c).distinct().count() for x, c in ((tables.read_jsonl(spark, f"{out}/jsonl", steps=steps), "id"), (spark.read.parquet(f"{out}/kept"), "example_id"), (tables.stored_vectors(spark, f"{out}/vectors", None, steps), "id"))]
+    assert ids == [13, 13, 13] and tables.status(spark, f"{out}/manifest", "stream").first()["accepted_count"] == 13
+
+
+@pytest.mark.parametrize("sink", ["write_vectors", "append_manifest"])
+def test_stream_repeats_a_broken_batch(spark, tmp_path, monkeypatch, sink):
+    src, out, at = (str(tmp_path / x) for x in ("in", "out", "at"))
+    _own_replies(spark, 0, 4).write.parquet(src)
+
+    def go():
+        stream = continuous.file_stream(spark, src, "node_id string, ord long, reply string", 1)
+        return continuous.curate_stream(stream, _nodes(spark), _judge, out, at, None, FEW, embed.hashing_embedder(16)).awaitTermination()
+
+    def broken(*_, **__):
+        raise OSError("no space")
+
+    with monkeypatch.context() as m:
+        m.setattr(tables, sink, broken)
+        with pytest.raises(Exception, match="no space"):
+            go()
+    assert tables.read_manifest(spark, f"{out}/manifest").count() == 0
+    assert go() and spark.read.parquet(f"{out}/kept").count() == 4 and spark.read.json(f"{out}/jsonl").count() == 4
+
+
 def test_entry_has_queries_and_sql():
     import __spark_entry__ as entry
 
