@@ -1,7 +1,8 @@
 """Language identification by bit-sliced Bloom filters of character trigrams.
 
-One filter has, at each position, a bit mask of languages; the AND of an n-gram's positions is the set of all languages that may
-hold it. A text's popcount per language, corrected for that language's false-positive rate, decides.
+One filter has, at each position, a bit mask of languages; the AND of an n-gram's positions is the set of all languages that hold it, for every
+n-gram of every language. A text's popcount per language, corrected for that language's false-positive rate, decides. A rare n-gram tells little, so
+the filters come in levels: the one of level i holds the n-grams that have at least RATES[i] of a language's n-grams, and level 0 all of them.
 """
 
 from __future__ import annotations
@@ -14,10 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import forget, stored
+
 SLICE = 20  # bits of a position: a filter has 2**20 of them, whatever the corpus
 HASHES = 3
 MASK_BITS = 62  # languages in one mask; more languages take more masks
-RARE = 100_000  # trigrams of a language's texts, below which those that come once count as well
+RATES = (0.0, 1e-5, 1e-4, 1e-3)  # least share of a language's trigrams, by level
 _tables: dict = {}
 
 
@@ -34,6 +37,8 @@ def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     """
     joined = "\x00".join((t or "").lower().replace("\x00", " ") for t in texts)
     codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    if not len(codes):  # at most one text, and that is empty
+        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
     ends = np.append(np.flatnonzero(codes == 0), len(codes))[: len(texts)]
     letter = _letters()[codes]
     counts = np.diff(np.concatenate([[0], np.cumsum(letter)[ends - 1] * (ends > 0)])) if len(texts) else np.zeros(0, int)
@@ -72,24 +77,33 @@ def batches_of(texts: list, most: int = 1_000_000) -> Iterator[list]:
 @dataclass
 class Model:
     languages: list[str]
-    masks: np.ndarray  # int64, [positions, words]
-    false_rate: np.ndarray
+    masks: np.ndarray  # int64, [levels, positions, words]
+    false_rate: np.ndarray  # [levels, languages]
+
+    def languages_of(self, grams: np.ndarray, level: int = 0) -> np.ndarray:
+        """For each n-gram the masks of all languages whose filter of that level holds it."""
+        low = np.uint64((1 << SLICE) - 1)
+        hits = self.masks[level, (grams & low).astype(np.int64)]
+        for i in range(1, HASHES):
+            hits = hits & self.masks[level, ((grams >> np.uint64(SLICE * i)) & low).astype(np.int64)]
+        return hits
+
+    def rates(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """For each text and language the mean over the levels of the corrected share of its n-grams; and how many letters it has."""
+        grams, starts, letters = trigrams(texts)
+        sizes = np.diff(np.append(starts, len(grams)))
+        total = np.zeros((len(texts), len(self.languages)))
+        for level, wrong in enumerate(self.false_rate):
+            hits = self.languages_of(grams, level)
+            for k in range(len(self.languages)):
+                sums = np.concatenate([[0], np.cumsum((hits[:, k // MASK_BITS] >> (k % MASK_BITS)) & 1)])
+                share = (sums[starts + sizes] - sums[starts]) / np.maximum(sizes, 1)
+                total[:, k] += np.clip((share - wrong[k]) / max(1 - wrong[k], 1e-9), 0, 1)
+        return total / len(self.false_rate), letters
 
     def predict(self, texts: list[str | None]) -> Iterator[tuple[str, float]]:
         for group in batches_of(texts):
-            grams, starts, letters = trigrams(group)
-            low = np.uint64((1 << SLICE) - 1)
-            hits = self.masks[(grams & low).astype(np.int64)]
-            for i in range(1, HASHES):
-                hits = hits & self.masks[((grams >> np.uint64(SLICE * i)) & low).astype(np.int64)]
-            sizes = np.diff(np.append(starts, len(grams)))
-            found = np.zeros((len(group), len(self.languages)))
-            for k in range(len(self.languages)):
-                sums = np.concatenate([[0], np.cumsum((hits[:, k // MASK_BITS] >> (k % MASK_BITS)) & 1)])
-                found[:, k] = sums[starts + sizes] - sums[starts]
-            rate = found / np.maximum(sizes, 1)[:, None]
-            rate = np.clip((rate - self.false_rate) / np.maximum(1 - self.false_rate, 1e-9), 0, 1)
-            for r, n in zip(rate, letters, strict=True):
+            for r, n in zip(*self.rates(group), strict=True):
                 if not n or not len(r):
                     yield "und", 0.0
                 else:
@@ -97,11 +111,11 @@ class Model:
                     yield self.languages[best], float(r[best] / r.sum()) if r.sum() > 0 else 0.0
 
 
-def train(docs: DataFrame, share: float = 0.2) -> Model:
+def train(docs: DataFrame) -> Model:
     """Learn from all rows of ``docs`` (doc_id, text, lang) whose lang and text are not null.
 
-    A trigram belongs to a language if it comes twice or more there, or once in one of less than RARE trigrams in all, and its rate
-    there is at least ``share`` of its highest rate in any. What reaches the driver is the filter: at most 2**20 positions and the list of languages.
+    Every trigram of every language is in that language's filter of level 0, and in those of the levels whose rate it reaches; what is counted doesn't depend on
+    the size of a corpus. What reaches the driver is the filters: at most 2**20 positions for each level and 62 languages, and the list of languages.
     """
     rows = docs.where("lang is not null and text is not null")
 
@@ -117,22 +131,23 @@ def train(docs: DataFrame, share: float = 0.2) -> Model:
                     )
 
     counts = rows.select("lang", "text").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = stored(counts, "trigrams")
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     languages = sorted(r[0] for r in totals.select("lang").collect())
     words = max(1, -(-len(languages) // MASK_BITS))
-    masks, false_rate = np.zeros((1 << SLICE, words), dtype=np.int64), np.zeros(len(languages))
+    masks, false_rate = np.zeros((len(RATES), 1 << SLICE, words), dtype=np.int64), np.zeros((len(RATES), len(languages)))
     if languages:
-        rates = counts.join(F.broadcast(totals), "lang").withColumn("rate", F.col("n") / F.col("total"))  # a row per language
-        best = rates.groupBy("gram").agg(F.max("rate").alias("best"))
         number = F.element_at(F.create_map(*[x for i, v in enumerate(languages) for x in (F.lit(v), F.lit(i))]), F.col("lang"))
-        often = (F.col("n") >= 2) | (F.col("total") < RARE)
-        own = rates.join(best, "gram").where(often & (F.col("rate") >= share * F.col("best"))).withColumn("k", number)
+        rates = counts.join(F.broadcast(totals), "lang").select("gram", (F.col("n") / F.col("total")).alias("rate"), number.alias("k"))  # a row per language
+        levels = F.sequence(F.lit(0), sum(((F.col("rate") >= r).cast("int") for r in RATES[1:]), F.lit(0)))
         at = F.explode(F.array(*[F.shiftrightunsigned("gram", SLICE * i).bitwiseAND(F.lit((1 << SLICE) - 1)) for i in range(HASHES)]))
-        placed = own.select(at.alias("at"), F.expr(f"k div {MASK_BITS}").alias("word"), F.expr(f"shiftleft(1L, cast(k % {MASK_BITS} as int))").alias("bit"))
-        found = placed.groupBy("at", "word").agg(F.bit_or("bit").alias("bits")).toPandas()
-        masks[found["at"].to_numpy(np.int64), found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
-        fill = [((masks[:, k // MASK_BITS] >> (k % MASK_BITS)) & 1).mean() for k in range(len(languages))]
-        false_rate = np.array(fill) ** HASHES
+        placed = rates.select("gram", "k", F.explode(levels).alias("level")).select(at.alias("at"), "level", F.expr(f"k div {MASK_BITS}").alias("word"), F.expr(f"shiftleft(1L, cast(k % {MASK_BITS} as int))").alias("bit"))
+        found = placed.groupBy("level", "at", "word").agg(F.bit_or("bit").alias("bits")).toPandas()
+        masks[found["level"].to_numpy(np.int64), found["at"].to_numpy(np.int64), found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
+        for level in range(len(RATES)):
+            fill = [((masks[level, :, k // MASK_BITS] >> (k % MASK_BITS)) & 1).mean() for k in range(len(languages))]
+            false_rate[level] = np.array(fill) ** HASHES
+    forget(counts)
     return Model(languages, masks, false_rate)
 
 
@@ -142,7 +157,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     `und` and score 0 where the text is null or has no letters; ties go to the language that sorts first. Repeated rows get
     repeated results; an empty table an empty one; a model of no language says `und`. Other columns stay out.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**20 masks, always
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**20 masks a level, always
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

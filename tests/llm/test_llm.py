@@ -222,6 +222,37 @@ def test_langid(spark, docs):
     assert len(many.languages) == 70 and next(many.predict(["qaaz qaaz"]))[0] == "l000"
 
 
+def test_langid_equals_plain_sets(spark):
+    """The filters answer as sets of trigrams by level do: all languages of every trigram, and each text's rates but for false positives."""
+    draw = random.Random(18)
+    kinds = {"xa": "the and of in tion er", "xb": "der und die ung heit sch", "xc": "le la les et ment que"}
+    said = [(i, " ".join(draw.choice(kinds[k].split()) + draw.choice("aeiou") for _ in range(30)), k) for i in range(40) for k in kinds] + [(99, "", "xa"), (98, None, "xb")]
+    model = langid.train(spark.createDataFrame(said, "doc_id long, text string, lang string"))
+    counts: dict = {k: {} for k in kinds}
+    for _, t, k in said:
+        for g in langid.trigrams([t])[0].tolist():
+            counts[k][g] = counts[k].get(g, 0) + 1
+    total = {k: sum(c.values()) for k, c in counts.items()}
+    sets = [{k: {g for g, n in c.items() if n / total[k] >= rate} for k, c in counts.items()} for rate in langid.RATES]
+    everything = np.array(sorted(set().union(*sets[0].values())), dtype=np.uint64)
+    for level, own in enumerate(sets):
+        hits = model.languages_of(everything, level)[:, 0]
+        for bit, k in enumerate(model.languages):
+            inside = np.array([g in own[k] for g in everything.tolist()])
+            got = (hits >> bit) & 1 == 1
+            assert got[inside].all() and (got & ~inside).sum() <= 2  # none left out; a false positive is rare
+    texts = [t for _, t, _ in said[:60]] + ["qqq the zzz", "x", "THE AND\x00of " * 2000, None]
+    rates, _ = model.rates(texts)
+    for text, row in zip(texts, rates, strict=True):
+        grams = langid.trigrams([text])[0].tolist()
+        plain = [np.mean([sum(g in s[k] for g in grams) / max(len(grams), 1) for s in sets]) for k in model.languages]
+        assert np.allclose(row, plain, atol=0.02)
+    tie = langid.train(spark.createDataFrame([(1, "abc def", "y"), (2, "abc def", "x")], "doc_id long, text string, lang string"))
+    assert next(tie.predict(["abc"]))[0] == "x"
+    odd = spark.createDataFrame([(7, "the and of", "k"), (7, "the and of", "k"), (None, "der und die", None)], "doc_id long, text string, level string")
+    assert sorted((r.doc_id or 0, r.lang_pred) for r in langid.identify(odd, model).collect()) == [(0, "xb"), (7, "xa"), (7, "xa")]
+
+
 def test_langid_rare_language(spark):
     rows = spark.range(22_000).selectExpr("id as doc_id", "concat('the and of in tion er w', id % 50) as text", "'xa' as lang")
     rare = spark.createDataFrame([(50_000, "zug ulm qix", "xr")], "doc_id long, text string, lang string")
