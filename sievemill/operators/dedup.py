@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULTS, Settings
 from ..sources import band_index
 from ..sources.storage import delete, written
-from . import similarity
+from . import neighbours, similarity
 
 
 RANGE_ROWS = 500_000  # of (row, bucket) pairs that one task goes through
@@ -102,13 +102,15 @@ def deduplicate(
     metric: str = "proxy_l2sq",
     settings: Settings = DEFAULTS,
     stored_bands: DataFrame | None = None,
+    stored_index: neighbours.VectorIndex | None = None,
 ) -> DataFrame:
     """``examples`` (order long, text, vector) with ``reason``: null (stays), `minhash` or `cosine`.
 
     Layer 1: a row goes if it shares a band of its MinHash signature with an earlier row that stays, or with a stored one (``stored_bands``: slot, bucket). Layer 2: if its vector is as
     similar as ``settings.similarity_reject`` to such a row's, or to a stored one. Layer 1 has precedence in the reason. Copies of a text share
     one signature; null texts are empty; rows with equal ``order`` are one row. Vectors of different widths, stored ones included, raise ``ValueError``; rows without one
-    are in layer 1 only. Equal vectors are compared once.
+    are in layer 1 only. Equal vectors are compared once. ``stored_index``, an index of the stored vectors by the same metric, takes the place of ``stored_vectors``: only cells that
+    may hold a vector so similar are read, with the same result.
     """
     rows = examples.dropDuplicates([order]).withColumn("ord", F.col(order).cast("long"))
     minhash = written(band_index.text_buckets(rows.withColumn("_text", F.col(text)), "ord", "_text", settings), "layer1")
@@ -121,6 +123,12 @@ def deduplicate(
         if stored_vectors is not None:
             near = similarity.nearest_similarity(vectors.withColumn("id", F.concat(F.lit("new:"), F.col("id").cast("string"))), stored_vectors.select(F.concat(F.lit("old:"), F.col("id").cast("string")).alias("id"), "vector"), metric)
             rejected = written(near.where(F.col("similarity") >= settings.similarity_reject).select(F.substring("id", 5, 40).cast("long").alias("ord")), "rejected")
+        elif stored_index is not None:
+            if stored_index.metric != metric:
+                raise ValueError(f"the index is by {stored_index.metric}, not {metric}")
+            new = vectors.select(F.concat(F.lit("new:"), F.col("id").cast("string")).alias("id"), "vector")
+            near = neighbours.nearest(new, stored_index, at_least=settings.similarity_reject)
+            rejected = written(near.where(F.col("similarity") >= settings.similarity_reject).select(F.substring("id", 5, 40).cast("long").alias("ord")), "rejected")
         # Copies of a vector stand by their first row; with a link between two vectors, all copies of both collide.
         same = vectors.groupBy(F.col("vector").cast("array<double>").alias("vector")).agg(F.min("id").alias("first"), F.count("*").alias("copies"))
         same = written(same, "vectors")
