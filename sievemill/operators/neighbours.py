@@ -85,8 +85,7 @@ def assign(vectors: DataFrame, centroids: np.ndarray, metric: str = "proxy_l2sq"
                 cell = d.argmin(axis=1)
                 yield pd.DataFrame({"cell": cell.astype(np.int32), "id": pdf["id"], "vector": pdf["vector"], "distance": d[np.arange(len(d)), cell]})
 
-    rows = vectors.where("vector is not null and size(vector) > 0").select("id", F.col("vector").cast("array<double>").alias("vector"))
-    return rows.mapInPandas(run, f"cell int, id {dict(vectors.dtypes)['id']}, vector array<double>, distance double")
+    return _with_vector(vectors).mapInPandas(run, f"cell int, id {dict(vectors.dtypes)['id']}, vector array<double>, distance double")
 
 
 def build(vectors: DataFrame, metric: str = "proxy_l2sq", cells: int | None = None) -> VectorIndex:
@@ -119,7 +118,7 @@ def read_index(spark: SparkSession, path: str, steps: DataFrame | None = None) -
 
 
 def _looked_up(queries: DataFrame, index: VectorIndex, sizes: pd.DataFrame, block: int) -> DataFrame:
-    """id, other, similarity: the best of each block of the cells that each row of ``queries`` (id, vector, cell) looks into.
+    """id, other, similarity, cell: the best of each block of the cells that each row of ``queries`` (id, vector, cell) looks into.
 
     A cell of many rows, or of many queries, is cut into blocks of about ``block`` rows on either side.
     """
@@ -134,7 +133,7 @@ def _looked_up(queries: DataFrame, index: VectorIndex, sizes: pd.DataFrame, bloc
 
     def tile(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if not len(x) or not len(y):
-            return pd.DataFrame({"id": [], "other": [], "similarity": []})
+            return pd.DataFrame({"id": [], "other": [], "similarity": [], "cell": []})
         y = y.sort_values("other", kind="stable")
         a, b = np.stack(x["vector"].to_numpy()), np.stack(y["vector"].to_numpy())
         ids, others = x["id"].to_numpy(), y["other"].to_numpy()
@@ -143,38 +142,73 @@ def _looked_up(queries: DataFrame, index: VectorIndex, sizes: pd.DataFrame, bloc
         best = s.argmax(axis=1)
         top = s[np.arange(len(best)), best]
         ok = np.isfinite(top)
-        return pd.DataFrame({"id": ids[ok], "other": others[best][ok], "similarity": top[ok]})
+        return pd.DataFrame({"id": ids[ok], "other": others[best][ok], "similarity": top[ok], "cell": np.int32(x["cell"].iloc[0])})
 
     kinds = dict(queries.dtypes)["id"], dict(index.rows.dtypes)["id"]
-    return q.groupBy("cell", "i", "j").cogroup(r.groupBy("cell", "i", "j")).applyInPandas(tile, f"id {kinds[0]}, other {kinds[1]}, similarity double")
+    return q.groupBy("cell", "i", "j").cogroup(r.groupBy("cell", "i", "j")).applyInPandas(tile, f"id {kinds[0]}, other {kinds[1]}, similarity double, cell int")
 
 
-def nearest(rows: DataFrame, index: VectorIndex, probes: int = 8, exact: bool = False, at_least: float | None = None, block: int = 4096) -> DataFrame:
+Choice = Callable[[np.ndarray, np.ndarray, pd.DataFrame], np.ndarray]  # distances to cells and bounds, [rows, cells], and the rows: which cells to look into
+
+
+def _sizes(index: VectorIndex) -> pd.DataFrame:
+    return index.rows.groupBy("cell").agg(F.count("*").alias("n"), F.max("distance").alias("radius")).orderBy("cell").toPandas()  # a row a cell
+
+
+def _chosen(rows: DataFrame, index: VectorIndex, sizes: pd.DataFrame, choose: Choice) -> DataFrame:
+    """id, vector, cell: each row of ``rows`` (id, vector) with each cell it looks into."""
+    numbers, metric = sizes["cell"].to_numpy(), index.metric
+    shared = rows.sparkSession.sparkContext.broadcast((index.centroids[numbers], sizes["radius"].to_numpy(), numbers))  # a row a cell
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        centroids, radius, cells = shared.value
+        for pdf in frames:
+            if len(pdf):
+                d = _distances(_points(pdf["vector"], metric), centroids)
+                bound = _best_possible(np.maximum(d * (1 - SLACK) - radius * (1 + SLACK) - SLACK, 0), metric)
+                p, q = np.nonzero(choose(d, bound, pdf))
+                yield pd.DataFrame({"id": pdf["id"].to_numpy()[p], "vector": pdf["vector"].to_numpy()[p], "cell": cells[q].astype(np.int32)})
+
+    return rows.mapInPandas(run, f"id {dict(rows.dtypes)['id']}, vector array<double>, cell int")
+
+
+def _with_vector(rows: DataFrame) -> DataFrame:
+    return rows.where("vector is not null and size(vector) > 0").select("id", F.col("vector").cast("array<double>").alias("vector"))
+
+
+def probes_for(rows: DataFrame, index: VectorIndex, recall: float = 0.95, sample: int = 256, block: int = 4096) -> int:
+    """In how many of its nearest cells a row has to look, so that ``recall`` of a sample of ``rows`` (id, vector) find their nearest vector.
+
+    The sample of about ``sample`` rows, chosen by a hash of the id, looks into all cells. 1 where no row of it has a neighbour.
+    """
+    asked, sizes = _with_vector(rows), _sizes(index)
+    one_in = max(1, asked.count() // sample)
+    some = written(asked.where(F.pmod(F.xxhash64("id", F.lit(9)), F.lit(one_in)) == 0), "sample")
+    if not len(sizes) or not some.limit(1).count():
+        return 1
+    found = _looked_up(_chosen(some, index, sizes, lambda d, bound, _: np.ones(d.shape, dtype=bool)), index, sizes, block)
+    best = found.groupBy("id").agg(F.max_by("cell", "similarity").alias("cell")).join(some, "id").select("vector", "cell").toPandas()  # the sample
+    delete(some)
+    if not len(best):
+        return 1
+    d = _distances(_points(best["vector"], index.metric), index.centroids[sizes["cell"].to_numpy()])
+    at = np.searchsorted(sizes["cell"].to_numpy(), best["cell"].to_numpy())
+    place = (d <= d[np.arange(len(d)), at][:, None]).sum(axis=1)
+    return int(np.sort(place)[math.ceil(recall * len(place)) - 1])
+
+
+def nearest(rows: DataFrame, index: VectorIndex, probes: int | None = None, exact: bool = False, at_least: float | None = None, recall: float = 0.95, block: int = 4096) -> DataFrame:
     """id, similarity of each row of ``rows`` (id unique, vector) to the nearest indexed vector with another id; 0.0 where there is none.
 
-    Each row looks into its ``probes`` nearest cells. Rows that find nothing there, and with ``exact`` all rows, look also into every cell whose bound exceeds what they
-    found. With ``at_least`` a row looks into all cells that may hold a vector as similar as that, and no others: a similarity from there on is exact, and a smaller one is
-    that of what was seen. Rows without a vector have 0.0. Vectors of another width than the index's fail.
+    Each row looks into its ``probes`` nearest cells, by default as many as ``probes_for`` finds for ``recall``. Rows that find nothing there, and with ``exact`` all rows,
+    look also into every cell whose bound exceeds what they found. With ``at_least`` a row looks into all cells that may hold a vector as similar as that, and no others: a
+    similarity from there on is exact, and a smaller one is that of what was seen. Rows without a vector have 0.0. Vectors of another width than the index's fail.
     """
-    metric = index.metric
-    sizes = index.rows.groupBy("cell").agg(F.count("*").alias("n"), F.max("distance").alias("radius")).orderBy("cell").toPandas()  # a row a cell
-    kind = dict(rows.dtypes)["id"]
+    sizes = _sizes(index)
     if not len(sizes):
         return rows.select("id", F.lit(0.0).alias("similarity"))
-    numbers = sizes["cell"].to_numpy()
-    shared = rows.sparkSession.sparkContext.broadcast((index.centroids[numbers], sizes["radius"].to_numpy(), numbers))
-
-    def chosen(choose: Callable[[np.ndarray, np.ndarray, pd.DataFrame], np.ndarray]) -> Callable:
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            centroids, radius, cells = shared.value
-            for pdf in frames:
-                if len(pdf):
-                    d = _distances(_points(pdf["vector"], metric), centroids)
-                    bound = _best_possible(np.maximum(d * (1 - SLACK) - radius * (1 + SLACK) - SLACK, 0), metric)
-                    p, q = np.nonzero(choose(d, bound, pdf))
-                    yield pd.DataFrame({"id": pdf["id"].to_numpy()[p], "vector": pdf["vector"].to_numpy()[p], "cell": cells[q].astype(np.int32)})
-
-        return run
+    if probes is None and at_least is None:
+        probes = 1 if exact else probes_for(rows, index, recall, block=block)
 
     def first(d: np.ndarray, bound: np.ndarray, _: pd.DataFrame) -> np.ndarray:
         if at_least is not None:
@@ -183,19 +217,17 @@ def nearest(rows: DataFrame, index: VectorIndex, probes: int = 8, exact: bool =
         np.put_along_axis(mask, np.argsort(d, axis=1, kind="stable")[:, :probes], True, axis=1)
         return mask
 
-    schema = f"id {kind}, vector array<double>, cell int"
-    asked = rows.where("vector is not null and size(vector) > 0").select("id", F.col("vector").cast("array<double>").alias("vector"))
+    def more(d: np.ndarray, bound: np.ndarray, pdf: pd.DataFrame) -> np.ndarray:
+        return ~first(d, bound, pdf) & (bound > pdf["similarity"].fillna(-np.inf).to_numpy()[:, None])
+
+    asked = _with_vector(rows)
     best = lambda found: found.groupBy("id").agg(F.max("similarity").alias("similarity"))
-    found = written(best(_looked_up(asked.mapInPandas(chosen(first), schema), index, sizes, block)), "nearest")
+    found = written(best(_looked_up(_chosen(asked, index, sizes, first), index, sizes, block)), "nearest")
     if at_least is None:
-
-        def more(d: np.ndarray, bound: np.ndarray, pdf: pd.DataFrame) -> np.ndarray:
-            return ~first(d, bound, pdf) & (bound > pdf["similarity"].fillna(-np.inf).to_numpy()[:, None])
-
         rest = asked.join(found, "id", "left")
         rest = rest if exact else rest.where("similarity is null")
-        again = _looked_up(rest.mapInPandas(chosen(more), schema), index, sizes, block)
-        both = written(best(found.unionByName(again.select("id", "similarity"))), "nearest")
+        again = _looked_up(_chosen(rest, index, sizes, more), index, sizes, block)
+        both = written(best(found.unionByName(again.select("id", "similarity"))) if exact else found.unionByName(best(again)), "nearest")
         delete(found)
         found = both
     return rows.select("id").join(found, "id", "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))

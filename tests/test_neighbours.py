@@ -38,6 +38,7 @@ def test_nearest_by_index(spark, metric):
     exact = got(exact=True, probes=1, block=500)
     assert len(exact) == 301 and exact.pop("none") == 0.0
     assert all(abs(s - want[int(i)]) < 1e-9 for i, s in exact.items())
+    assert 1 <= neighbours.probes_for(rows, index, 0.5) <= neighbours.probes_for(rows, index, 0.99) <= 54
     probed = got()
     assert np.mean([abs(probed[i] - want[int(i)]) < 1e-9 for i in exact]) >= 0.9  # recall
     limit = float(np.median(want))
