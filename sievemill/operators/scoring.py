@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, RUBRIC_WEIGHTS, Settings
@@ -63,3 +63,30 @@ def funnel(rows: DataFrame) -> DataFrame:
         .otherwise(told("done", F.lit("accepted")))
     )
     return rows.groupBy(outcome.alias("o")).agg(F.count("*").alias("n")).select("o.stage", "o.outcome", "n")
+
+
+VERDICTS = ("accept", "revise", "reject")
+REASONS = ("minhash", "cosine")
+
+
+def observe_verdicts(rows: DataFrame, seen: Observation) -> DataFrame:
+    """``rows`` (prefilter_score, verdict), counted by outcome while they are written: no pass of their own."""
+    ok = F.coalesce(F.col("prefilter_score") >= 1.0, F.lit(False))
+    said = {v: ok & F.col("verdict").eqNullSafe(v) for v in VERDICTS}
+    return rows.observe(
+        seen, F.count(F.lit(1)).alias("rows"), F.count_if(~ok).alias("fail"), *[F.count_if(is_it).alias(v) for v, is_it in said.items()],
+    )
+
+
+def observe_reasons(rows: DataFrame, seen: Observation) -> DataFrame:
+    """``rows`` (reason, null if the row stays), counted by reason while they are written."""
+    return rows.observe(seen, F.count_if(F.col("reason").isNull()).alias("accepted"), *[F.count_if(F.col("reason") == r).alias(r) for r in REASONS])
+
+
+def observed_funnel(spark: SparkSession, verdicts: Observation, reasons: Observation) -> DataFrame:
+    """What ``funnel`` says, from what was observed: stage, outcome, n, without outcomes that no row had; a verdict that is none of the three is `other`."""
+    v, r = verdicts.get, reasons.get
+    told = [("screen", "fail", v.get("fail", 0)), *[("judge", x, v.get(x, 0)) for x in VERDICTS if x != "accept"]]
+    told.append(("judge", "other", v.get("rows", 0) - v.get("fail", 0) - sum(v.get(x, 0) for x in VERDICTS)))
+    told += [*[("dedup", x, r.get(x, 0)) for x in REASONS], ("done", "accepted", r.get("accepted", 0))]
+    return spark.createDataFrame([x for x in told if x[2]], "stage string, outcome string, n bigint")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Settings
@@ -57,17 +57,18 @@ def curate(
 
     Parses replies, has ``judge`` add prefilter_score, composite_score, rubric and verdict, drops near-duplicates first-wins in the
     order of ``ord``, node and place, joins the node sets, and stops at ``target``. Parsed and judged rows are written once, so that ``generated``
-    and ``judge`` run once. With ``settings.bands`` 0 there is no near-duplicate removal. Returned ``ord`` are places, from 1.
+    and ``judge`` run once; the counters are observed while these are written. With ``settings.bands`` 0 there is no near-duplicate removal. Returned ``ord`` are places, from 1.
     """
     parsed = replies.parse_examples(generated, "reply", ("node_id", "ord")).withColumn("created_at", F.current_timestamp())
     examples = numbered(parsed, "ord", "node_id", "pos").drop("ord", "pos").withColumnRenamed("place", "ord").withColumn("ord", F.col("ord").cast("long"))
-    rows = written(judge(examples), "judged")
+    verdicts, reasons = Observation(), Observation()
+    rows = written(scoring.observe_verdicts(judge(examples), verdicts), "judged")
     good = scoring.accepted(scoring.passed(rows)).withColumn("text", shingles.dedup_text())
     good = written(good.withColumn("vector", embed.embed(F.col("text"), embedder)), "embedded")  # each text is embedded once
     told = dedup.deduplicate(good, "text", "vector", "ord", stored_vectors, metric, settings, stored_bands) if settings.bands else good.withColumn("reason", F.lit(None).cast("string"))
-    told = written(told, "deduplicated")
-    delete(good)
-    counters = scoring.funnel(rows.join(told.select("ord", "reason"), "ord", "left"))
+    told = written(scoring.observe_reasons(told, reasons), "deduplicated")
+    delete(good, rows)
+    counters = scoring.observed_funnel(rows.sparkSession, verdicts, reasons)
     kept = hydrate(told.where("reason is null").drop("reason"), nodes)
     if progress is not None:
         progress({f"{r['stage']}.{r['outcome']}": r["n"] for r in counters.collect()})  # a handful of rows

@@ -10,10 +10,10 @@ from pyspark.sql import Window as W
 
 from ..config import DEFAULTS, GENERIC_TAXONOMY, RUBRIC_WEIGHTS, Settings
 from ..functions import replies, shingles
-from ..operators import coverage, dedup, diversity, neighbours, requests, sampling, scoring, similarity
+from ..operators import coverage, dedup, diversity, neighbours, requests, sampling, scoring, similarity, spectrum
 from ..sources import band_index, tables, taxonomy
 from ..sources.storage import shared_folder
-from ..streaming import continuous
+from ..streaming import continuous, kept_counts
 from . import curate as run
 from . import domain_run
 
@@ -289,6 +289,11 @@ def gram(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("domain", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), (F.col("g") + 0.0).alias("g"))
 
 
+def vendi_sketched(spark: SparkSession, d: str) -> DataFrame:
+    """Scores of the labels from sketches of 32 rows; vectors have 64 components."""
+    return spectrum.vendi(_vectors(spark, d), size=32).select("domain", "n", *[F.round(c, 6).alias(c) for c in ("score", "low", "high", "error")])
+
+
 def vendi_by_label(spark: SparkSession, d: str) -> DataFrame:
     return diversity.vendi(_vectors(spark, d)).select("domain", "n", F.round("score", 6).alias("score"))
 
@@ -358,6 +363,25 @@ def stream_coverage(spark: SparkSession, d: str) -> DataFrame:
     return spark.table(name)
 
 
+def stream_kept_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Events by type and user, kept as a table by batches."""
+    out = _scratch(spark, "kept_counts")
+    events = continuous.file_stream(spark, _glob(d, "events"), _read(spark, d, "events").schema)
+    kept_counts.count_stream(events, "event_type string, user_id bigint", out, f"{out}_at").awaitTermination()
+    return kept_counts.read_counts(spark, out, "event_type string, user_id bigint")
+
+
+def stream_kept_gaps(spark: SparkSession, d: str) -> DataFrame:
+    """Gaps of the coverage that a stream keeps, against twice the mean of the values."""
+    out = _scratch(spark, "kept_coverage")
+    docs = continuous.file_stream(spark, _glob(d, "documents"), _read(spark, d, "documents").schema)
+    docs = docs.select(F.create_map(F.lit("lang"), "lang", F.lit("source"), "source").alias("dimensions"))
+    kept_counts.coverage_stream(docs, out, f"{out}_at").awaitTermination()
+    kept = kept_counts.kept_coverage(spark, out)
+    mean = kept.agg(F.expr("coalesce(sum(n) div count(*), 0)")).first()[0]
+    return coverage.gaps(kept, int(2 * mean))
+
+
 def stream_first_seen(spark: SparkSession, d: str) -> DataFrame:
     """Users in the order of their first event's file: one row each."""
     out, at = _scratch(spark, "seen"), _scratch(spark, "seen-checkpoint")
@@ -484,8 +508,8 @@ QUERIES = {
         rubric_pipeline, verdict_coverage, taxonomy_values, coverage_all, coverage_json, coverage_gaps, coverage_gaps_unseen, deficit_total,
         node_sets, node_set_coverage, infeasible_dimensions, request_generation, request_screening, request_scoring, reply_examples,
         screen_verdicts, rubric_parse, stage_funnel, ngram_counts, minhash_signatures, lsh_collisions, jaccard_pairs, dedup_text, dedup_two_batches, dedup_two_layers,
-        nearest, nearest_indexed, similar_pairs, domain_counts, gram, vendi_by_label, hydrated, jsonl_round_trip, example_table, manifest_latest, run_ids,
-        target_limit, resume_rest, stream_counts, stream_coverage, stream_first_seen, curated,
+        nearest, nearest_indexed, similar_pairs, domain_counts, gram, vendi_by_label, vendi_sketched, hydrated, jsonl_round_trip, example_table, manifest_latest, run_ids,
+        target_limit, resume_rest, stream_counts, stream_coverage, stream_kept_counts, stream_kept_gaps, stream_first_seen, curated,
         taxonomy_files, taxonomy_domains, taxonomy_violations, generic_nodes, vector_table, screen_passed, example_count, stream_screened, run_manifest, run_waves,
     )
 } | {"instruction_pairs": lambda spark, d: pairs(spark, d).select("example_id", "prompt", "completion")}
@@ -620,6 +644,9 @@ ORACLES = {
             ELSE (11 * (target - accepted_count) * asked_to + 10 * accepted_count - 1) // (10 * accepted_count) END)) AS size FROM w, u WHERE accepted_count < target AND asked_to < n), l)
         SELECT *, 2 * accepted_count AS covered FROM w WHERE wave > 0""",
     "stream_counts": "SELECT event_type, count(*) AS n FROM events GROUP BY 1",
+    "stream_kept_counts": "SELECT event_type, user_id, count(*) AS n FROM events GROUP BY 1, 2",
+    "stream_kept_gaps": """WITH c AS (SELECT dimension, value, count(*) AS n FROM (SELECT 'lang' AS dimension, lang AS value FROM documents UNION ALL SELECT 'source', source FROM documents) WHERE value IS NOT NULL GROUP BY 1, 2)
+        SELECT dimension, value, CAST(2 * m - n AS BIGINT) AS deficit FROM c, (SELECT sum(n) // count(*) AS m FROM c) WHERE 2 * m > n""",
     "stream_coverage": "SELECT dimension, value, count(*) AS n FROM (SELECT 'lang' AS dimension, lang AS value FROM documents UNION ALL SELECT 'source', source FROM documents) GROUP BY 1, 2",
     "stream_first_seen": "SELECT DISTINCT user_id FROM events",
 }

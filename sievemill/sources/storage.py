@@ -20,6 +20,21 @@ def exists(spark: SparkSession, path: str) -> bool:
     return system.exists(where)
 
 
+def complete_folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in ``path`` whose write has ended, in order."""
+    if not exists(spark, path):
+        return []
+    system, where = _place(spark, path)
+    names = sorted(x.getPath().getName() for x in system.listStatus(where) if x.isDirectory())
+    return [n for n in names if exists(spark, f"{path}/{n}/_SUCCESS")]
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    for path in paths:
+        system, where = _place(spark, path)
+        system.delete(where, True)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster shares (``spark.checkpoint.dir``); a local one only where none is named, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -45,8 +60,7 @@ def delete(*tables: DataFrame) -> None:
     """Delete tables made by ``written`` that nothing reads any more."""
     for t in tables:
         if path := getattr(t, "_written_path", None):
-            system, where = _place(t.sparkSession, path)
-            system.delete(where, True)
+            remove(t.sparkSession, path)
 
 
 def numbered(rows: DataFrame, *order: str, name: str = "place") -> DataFrame:

@@ -61,13 +61,14 @@ def curate_stream(
     once: bool = True,
     name: str = "stream",
     metric: str = "proxy_l2sq",
+    progress: Callable[[dict], None] | None = None,
 ) -> Curation:
     """Run ``curate`` on each micro-batch against everything kept so far, and write what stays.
 
     A batch is a step: its folders of ``jsonl``, ``kept`` (examples), ``vectors`` and ``bands`` in ``out`` come first, its row of ``manifest`` last (domain ``name``, accepted and
     rejected counts of all batches so far). Only steps with a manifest row count: a batch that broke off replaces its folders, and one that is repeated after its manifest row is skipped.
     Near-duplicates of what was kept go by the stored bands and vectors; nothing kept is counted or signed again. The batch that reaches ``target`` is cut, and
-    the query ends after it, so that later files stay unread.
+    the query ends after it, so that later files stay unread. ``progress`` is told each batch's number and counters, which are observed while the batch is written.
     """
     spark = stream.sparkSession
     manifest, run, own = f"{out}/manifest", Curation(), f"{zlib.crc32(checkpoint.encode()):08x}"
@@ -84,7 +85,8 @@ def curate_stream(
             steps = tables.committed_steps(spark, manifest, name)
             vectors = tables.stored_vectors(spark, f"{out}/vectors", None, steps).select("id", "vector") if accepted else None
             bands = band_index.read_bands(spark, f"{out}/bands", steps) if accepted and settings.bands else None
-            rows, counters = curate(batch, nodes, judge, None if target is None else target - accepted, embedder, vectors, metric, settings, stored_bands=bands)
+            told = None if progress is None else lambda counts: progress({"batch": number, **counts})
+            rows, counters = curate(batch, nodes, judge, None if target is None else target - accepted, embedder, vectors, metric, settings, told, bands)
             if accepted:
                 stored = tables.of_steps(spark.read.schema(tables.STEP_EXAMPLES).parquet(f"{out}/kept"), steps)
                 rows = rows.join(stored.select("example_id"), "example_id", "left_anti")

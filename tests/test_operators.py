@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sievemill.config import Settings
 from sievemill.functions import embed, replies, shingles
-from sievemill.operators import coverage, dedup, diversity, requests, sampling, scoring, similarity
+from sievemill.operators import coverage, dedup, diversity, requests, sampling, scoring, similarity, spectrum
 from sievemill.sources import tables, taxonomy
 
 
@@ -282,6 +282,76 @@ def test_vendi(spark):
     assert got["many"] == pytest.approx(np.exp(-(w * np.log(w)).sum()))
 
 
+def _spectrum(x):
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    return np.sort(np.linalg.eigvalsh(u.T @ u / len(x)))[::-1]
+
+
+def _entropy_score(w):
+    w = w[w > 1e-12]
+    return np.exp(-(w * np.log(w)).sum())
+
+
+def test_sketched_vendi(spark):
+    """Exact where the sketch has room for all directions, else within its own error; however rows are dealt."""
+    rng = np.random.default_rng(5)
+    sets = {"low": rng.normal(size=(300, 6)) @ rng.normal(size=(6, 40)), "full": rng.normal(size=(300, 40)) * np.linspace(3, 0.1, 40), "pair": np.eye(40)[:2]}
+    rows = [(d, v.tolist()) for d, x in sets.items() for v in x] + [("alone", [1.0, 0.0]), ("zero", [0.0, 0.0]), ("zero", [2.0, 0.0]), ("nothing", [0.0]), ("nothing", [0.0]), ("low", None), (None, [])]
+    df = spark.createDataFrame(rows, "domain string, vector array<double>")
+    exact = {r.domain: r.score for r in diversity.vendi(df).collect()}
+    for parts in (1, 23):  # one task; more than FAN_IN squared of partial sketches meet in rounds
+        dealt = df.repartition(parts)
+        for size in (64, 10):
+            got = {r.domain: r for r in spectrum.vendi(dealt, size).collect()}
+            assert got.keys() == exact.keys() and {d: r.n for d, r in got.items()} == {"low": 300, "full": 300, "pair": 2, "alone": 1, "zero": 2, "nothing": 2}
+            for d in set(exact) - ({"full"} if size == 10 else set()):
+                assert got[d].score == pytest.approx(exact[d], abs=1e-6) and got[d].error == pytest.approx(0, abs=1e-9)
+        r = got["full"]
+        assert 0 < r.error <= 1 / 11 and r.low <= exact["full"] <= r.high and r.low <= r.score <= r.high <= 40.001
+        s = {r.domain: r for r in spectrum.sketches(dealt, 10).collect()}["full"]
+        below = _spectrum(sets["full"])[:10] - np.linalg.svd(np.array(s.rows).reshape(-1, 40), compute_uv=False)[:10] ** 2 / 300
+        assert len(s.rows) <= 10 * 40 and (below > -1e-9).all() and (below <= s.cut / 300 + 1e-9).all()
+    assert spectrum.vendi(df.where("false")).count() == 0
+
+
+def test_sketches_go_out_early(spark):
+    """A task that meets many domains sends sketches out before its end; nothing is lost."""
+    rng = np.random.default_rng(6)
+    rows = [(str(i % 40), v.tolist()) for i, v in enumerate(rng.normal(size=(800, 8)))]
+    df = spark.createDataFrame(rows, "domain string, vector array<double>").coalesce(1)
+    parts = spectrum.partial_sketches(df, 4, held=4).collect()
+    assert sum(r.n for r in parts) == 800 and len({r.number for r in parts}) == len(parts) > 0 and all(len(r.rows) <= 4 * 8 for r in parts)
+    assert {r.domain: r.n for r in spectrum.sketches(df, 4).collect()} == {str(i): 20 for i in range(40)}
+
+
+def test_score_bounds():
+    """No eigenvalues within the bounds score outside of them, and the bounds are met by some."""
+    rng = np.random.default_rng(8)
+    w, error = np.array([0.4, 0.2, 0.05, 0.0, 0.0]), 0.1
+    low, high = spectrum.score_bounds(w, error, 1.0)
+    for _ in range(3000):
+        more = rng.random(5) ** rng.integers(1, 6)
+        more = np.minimum(more * (1 - w.sum()) / more.sum(), error)
+        more += (1 - w.sum() - more.sum()) * (error - more) / (error - more).sum()
+        assert low - 1e-9 <= _entropy_score(w + more) <= high + 1e-9
+    assert low == pytest.approx(_entropy_score(np.array([0.5, 0.3, 0.15, 0.05, 0.0]))) and high == pytest.approx(_entropy_score(np.array([0.4, 0.25, 0.15, 0.1, 0.1])), rel=0.02)
+    assert spectrum.score_bounds(np.array([0.5, 0.5]), 0.0, 1.0) == (pytest.approx(2), pytest.approx(2))
+
+
+def test_sketch_merges_keep_the_bound():
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(500, 30))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    b, cut = np.zeros((0, 30)), 0.0
+    for at in range(0, 500, 37):
+        part, one = spectrum.shrink(x[at : at + 37], 12)
+        b, two = spectrum.shrink(np.concatenate([b, part]), 12)
+        cut += one + two
+    gap = np.linalg.eigvalsh(x.T @ x - b.T @ b)
+    assert gap.min() > -1e-9 and gap.max() <= cut + 1e-9 and cut <= 500 / 13
+    assert _entropy_score(_spectrum(x)) > 1
+
+
 def test_embedder(spark):
     rows = spark.createDataFrame([("hello world",), ("hello world",), (None,)], "t string").select(embed.embed(F.col("t")).alias("v")).collect()
     assert rows[0].v == rows[1].v and len(rows[0].v) == 384 and sum(rows[2].v) == 0

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 
 from sievemill.config import Settings
 from sievemill.functions import embed, replies
-from sievemill.operators import dedup, scoring
+from sievemill.operators import coverage, dedup, scoring
 from sievemill.plans import curate as run
 from sievemill.plans import domain_run
 from sievemill.sources import band_index, tables
-from sievemill.streaming import continuous
+from sievemill.streaming import continuous, kept_counts
 
 RUBRIC = {"factuality": 5, "instruction_clarity": 4, "response_quality": 4, "domain_relevance": 4, "format_compliance": 4}
 
@@ -199,6 +199,72 @@ def test_domain_run_without_an_accepted_example(spark, tmp_path):
     assert [(r.accepted_count, r.vendi_score, r.extra["asked"]) for r in sorted(rows, key=lambda r: int(r.extra["wave"]))] == [(0, None, "1"), (0, None, "2"), (0, None, "1")]
 
 
+def test_observed_funnel_equals_the_pass(spark):
+    """Counters that are observed while rows are written say what a pass over them says."""
+    from pyspark.sql import Observation
+
+    from sievemill.sources.storage import written
+
+    rows = spark.range(200).select(
+        "id", F.when(F.col("id") % 5 == 0, 0.0).otherwise(1.0).alias("prefilter_score"), F.expr("element_at(array('accept', 'revise', 'reject'), int(id % 3) + 1)").alias("verdict"),
+        F.expr("case id % 7 when 0 then 'minhash' when 1 then 'cosine' end").alias("reason"),
+    )
+    for some in (rows, rows.where("id < 4"), rows.where("id < 0"), rows.where("verdict = 'revise'")):
+        a, b = Observation(), Observation()
+        judged = written(scoring.observe_verdicts(some.repartition(3), a), "judged")
+        written(scoring.observe_reasons(scoring.accepted(scoring.passed(judged)), b), "told")
+        assert sorted(map(tuple, scoring.observed_funnel(spark, a, b).collect())) == sorted(map(tuple, scoring.funnel(some).collect()))
+    a, b = Observation(), Observation()
+    odd = spark.createDataFrame([(1.0, None), (None, "accept"), (1.0, "perhaps")], "prefilter_score double, verdict string")
+    judged = written(scoring.observe_verdicts(odd, a), "judged")
+    written(scoring.observe_reasons(scoring.accepted(scoring.passed(judged)).withColumn("reason", F.lit(None).cast("string")), b), "told")
+    assert sorted(map(tuple, scoring.observed_funnel(spark, a, b).collect())) == [("judge", "other", 2), ("screen", "fail", 1)]
+
+
+def test_kept_counts_by_batches(spark, tmp_path):
+    """Repeated batches count once, before and after a new base, and a broken base is not read."""
+    path, keys = str(tmp_path / "counts"), "k string, m bigint"
+    assert kept_counts.read_counts(spark, path, keys).count() == 0
+    batches = [[("a", i), (None, 1), ("b", None), ("a", i)] for i in range(7)]
+    want = {}
+    for i, rows in enumerate(batches):
+        for again in range(1 + i % 2):
+            kept_counts.add_batch(spark.createDataFrame(rows, keys), keys, path, i, fold_every=3)
+        for r in rows:
+            want[r] = want.get(r, 0) + 1
+        assert {(r.k, r.m): r.n for r in kept_counts.read_counts(spark, path, keys).collect()} == want
+    for old in (0, 3):  # in a base already
+        kept_counts.add_batch(spark.createDataFrame(batches[old], keys), keys, path, old, fold_every=3)
+    names = sorted(p.name for p in (tmp_path / "counts").iterdir())
+    assert [n for n in names if n.startswith("base")] == [f"base={2:012d}", f"base={5:012d}"] and f"batch={2:012d}" not in names
+    spark.createDataFrame([("x", 1, 99)], "k string, m long, n long").write.parquet(f"{path}/base={6:012d}")
+    (tmp_path / "counts" / f"base={6:012d}" / "_SUCCESS").unlink()
+    kept_counts.add_batch(spark.createDataFrame([], keys), keys, path, 7, fold_every=3)
+    assert {(r.k, r.m): r.n for r in kept_counts.read_counts(spark, path, keys).collect()} == want
+
+
+def test_kept_coverage_of_a_stream_goes_on(spark, tmp_path):
+    src, out, at = (str(tmp_path / x) for x in ("in", "out", "at"))
+    total = None
+    for i in range(3):
+        more = spark.createDataFrame([({"tone": "dry", "topic": f"t{i}"},), ({"tone": "warm", "topic": None},), (None,)], "dimensions map<string,string>")
+        more.coalesce(1).write.mode("append").parquet(src)
+        total = more if total is None else total.unionByName(more)
+        stream = continuous.file_stream(spark, src, more.schema, 1)
+        kept_counts.coverage_stream(stream, out, at, fold_every=2).awaitTermination()
+        kept_counts.coverage_stream(stream, out, at, fold_every=2).awaitTermination()  # nothing new
+        assert sorted(map(tuple, kept_counts.kept_coverage(spark, out).collect())) == sorted(map(tuple, coverage.coverage(total).collect()))
+
+
+def test_stream_progress(spark, tmp_path):
+    src, out, at = (str(tmp_path / x) for x in ("in", "out", "at"))
+    _generated(spark).coalesce(1).write.parquet(src)
+    told = []
+    stream = continuous.file_stream(spark, src, _generated(spark).schema, 1)
+    continuous.curate_stream(stream, _nodes(spark), _judge, out, at, progress=told.append).awaitTermination()
+    assert told == [{"batch": 0, "done.accepted": 5, "dedup.minhash": 3}]
+
+
 def test_judge_by_tables(spark):
     examples = spark.createDataFrame([("a",), ("b",), ("c",)], "example_id string")
     screening = spark.createDataFrame([("a", True), ("b", False)], "example_id string, passed boolean")
