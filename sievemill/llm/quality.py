@@ -15,11 +15,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import forget, stored
 
 ORDER, BITS = 4, 16  # four characters of 16 bits make one long
 FOLDS = 4  # of trusted texts, by their hash: copies share a fold
-BROADCAST_IDS = 4_000_000  # trusted ids that may be broadcast; more are joined by a shuffle
+SALTS = 64  # parts of a language where its rows meet its discounts or its limit
 
 
 def gram_keys(text: str) -> np.ndarray:
@@ -52,6 +52,12 @@ def _counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "lang string, key long, c long").groupBy("lang", "key").agg(F.sum("c").alias("c"))
 
 
+def _with_language(rows: DataFrame, per_lang: DataFrame, dealt_by: str, how: str = "inner") -> DataFrame:
+    """``rows`` with the one row of their language in ``per_lang``, which is repeated for each part that a language is dealt into, so that no task holds it all."""
+    many = per_lang.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(dealt_by), F.lit(SALTS))).join(many, ["lang", "_salt"], how).drop("_salt")
+
+
 def _suffix(order: int) -> Column:
     return F.col("key").bitwiseAND(F.lit((1 << BITS * order) - 1))
 
@@ -84,20 +90,22 @@ def _model(counts: DataFrame) -> dict[int, tuple[DataFrame, DataFrame]]:
             "lang", safe(1 - 2 * F.when(F.col("n1") > 0, y) * per("n2", "n1"), 1.0).alias("d1"),
             safe(2 - 3 * F.when(F.col("n1") > 0, y) * per("n3", "n2"), 2.0).alias("d2"), safe(3 - 4 * F.when(F.col("n1") > 0, y) * per("n4", "n3"), 3.0).alias("d3"),
         )
-        rows = counts.join(d, "lang").withColumn("d", F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3")))
+        rows = _with_language(counts, d, "key").withColumn("d", F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3")))
         rows = rows.withColumn("ctx", F.shiftrightunsigned("key", BITS) if order > 1 else F.lit(0).cast("long"))
         sums = rows.groupBy("lang", "ctx").agg(F.sum("c").alias("all"), F.sum("d").alias("held"))
         grams = rows.join(sums, ["lang", "ctx"]).select("lang", "key", ((F.col("c") - F.col("d")) / F.col("all")).alias("a"))
         model[order] = stored(grams, f"grams{order}"), stored(sums.select("lang", "ctx", (F.col("held") / F.col("all")).alias("b")), f"weights{order}")
         if order > 1:
-            counts = stored(counts.groupBy("lang", _suffix(order - 1).alias("key")).agg(F.count("*").alias("c")), f"counts{order - 1}")
+            lower = stored(counts.groupBy("lang", _suffix(order - 1).alias("key")).agg(F.count("*").alias("c")), f"counts{order - 1}")
+            forget(counts)
+            counts = lower
     model[0] = (counts.groupBy("lang").agg((1.0 / (F.count("*") + 1)).alias("floor")), None)
     return model
 
 
 def log_probabilities(types: DataFrame, model: dict) -> DataFrame:
     """lang, key, logp of 4-grams (lang, key), of languages that the model has; the joins are on the n-grams, never on documents."""
-    p = types.join(model[0][0], "lang").withColumn("p", F.col("floor"))
+    p = _with_language(types, model[0][0], "key").withColumn("p", F.col("floor"))
     for order in range(1, ORDER + 1):
         grams, weights = model[order]
         suffix = _suffix(order) if order < ORDER else F.col("key")
@@ -124,13 +132,14 @@ def _unpacked(table: pa.Table) -> Iterator[str]:
     return (unpack(p.as_py()).decode("utf-8", "surrogatepass") for p in table["packed"])
 
 
-def perplexities(docs: DataFrame, model: dict, block_docs: int = 8000) -> DataFrame:
+def perplexities(docs: DataFrame, model: dict, block_bytes: int = 16 << 20) -> DataFrame:
     """doc_id, text_key, lang, trusted, chars, perplexity of every row of ``docs`` (doc_id, lang, fold, text, trusted); null if there are no characters.
 
-    ``lang`` names a document's model; a block has documents of one fold, so that it needs one model of a language.
+    ``lang`` names a document's model; a block has documents of one fold, so that it needs one model of a language, and about ``block_bytes`` of text.
     """
-    sizes = {r["fold"]: max(1, -(-r["count"] // block_docs)) for r in docs.groupBy("fold").count().collect()}  # FOLDS + 1 rows at most
     text = F.coalesce("text", F.lit(""))
+    total = docs.groupBy("fold").agg(F.sum(F.octet_length(text)).alias("bytes"))
+    sizes = {r["fold"]: max(1, -(-r["bytes"] // block_bytes)) for r in total.collect()}  # FOLDS + 1 rows at most
     block, before = F.lit(0).cast("long"), 0
     for fold, blocks in sorted(sizes.items()):
         block = F.when(F.col("fold") == fold, before + F.pmod(F.xxhash64("doc_id", text), F.lit(blocks))).otherwise(block)
@@ -177,29 +186,31 @@ def perplexities(docs: DataFrame, model: dict, block_docs: int = 8000) -> DataFr
     return scored
 
 
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, spread: float = 2.0, block_docs: int = 8000, least: int = 20) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, spread: float = 2.0, block_bytes: int = 16 << 20, few: float = 2.0) -> DataFrame:
     """doc_id, text_key, lang, perplexity, limit, kept for every row of ``docs`` (doc_id, lang, text).
 
     Trusted are documents that ``labels`` (doc_id, quality) calls good, and never bad; all of them train the model. They are dealt into
     folds by text, and the perplexity of each is by a model without its fold, as that of an unseen text is. Kept are documents
     whose log-perplexity is at most that of the ``quantile`` of the trusted ones of their language, plus ``spread`` divided by
-    the root of their length, as the mean over a short text varies. A null language is one of its own (`und`).
-    Documents of a language with less than ``least`` different trusted texts so scored have no limit and stay; null, empty and blank texts have no perplexity and go.
+    the root of their length, as the mean over a short text varies, plus ``few`` divided by the number of the language's different trusted texts, as a quantile of few of them is
+    too low. A null language is one of its own (`und`). A language without a trusted text that a model of other texts could score has no limit, and its documents stay; null, empty and blank texts have no perplexity and go.
     Repeated rows get equal results; an empty table gives an empty one; other columns stay out.
     """
     good = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select("doc_id", F.lit(True).alias("trusted"))
-    good = F.broadcast(good) if labels.count() <= BROADCAST_IDS else good
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit("und")).alias("lang"), "text")
     rows = rows.join(good, "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
     fold = F.when(F.col("trusted"), F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(FOLDS)).cast("string")).otherwise("")
     rows = rows.withColumn("fold", fold)
     model = train_folds(rows.where("trusted").select("lang", "fold", "text"))
     named = rows.withColumn("lang", F.concat_ws(":", "fold", "lang"))
-    scored = perplexities(named, model, block_docs).withColumn("lang", F.expr("substring(lang, instr(lang, ':') + 1)"))
+    scored = perplexities(named, model, block_bytes).withColumn("lang", F.expr("substring(lang, instr(lang, ':') + 1)"))
     scored = stored(scored, "perplexities")
-    enough = scored.where("trusted and perplexity is not null").select("lang", "text_key").distinct().groupBy("lang").count().where(F.col("count") >= least)
-    limits = scored.where("trusted").groupBy("lang").agg(F.percentile_approx("perplexity", quantile, 10_000).alias("limit")).join(enough, "lang", "left_semi")
-    out = scored.join(limits, "lang", "left")
+    forget(*[t for order in range(1, ORDER + 1) for t in model[order]])
+    held = scored.where("trusted and perplexity is not null")
+    texts = held.select("lang", "text_key").distinct().groupBy("lang").agg(F.count("*").alias("n"))
+    limits = held.groupBy("lang").agg(F.percentile_approx("perplexity", quantile, 10_000).alias("limit")).join(texts, "lang")
+    limits = limits.select("lang", (F.col("limit") * F.exp(few / F.col("n"))).alias("limit"))
+    out = _with_language(scored, limits, "text_key", "left")
     allowed = F.col("limit") * F.exp(spread / F.sqrt(F.greatest("chars", F.lit(1))))
     kept = F.coalesce(F.col("perplexity") <= allowed, F.col("limit").isNull() & (F.col("chars") > 0))
     return out.select("doc_id", "text_key", "lang", "perplexity", "limit", kept.alias("kept"))

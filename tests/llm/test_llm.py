@@ -1,6 +1,7 @@
 """The corpus operators against brute force, and on the odd cases that each docstring defines."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -267,7 +268,7 @@ def test_quality(spark):
     odd = [(2000, "en", None), (2001, "en", ""), (2002, "fr", "une langue sans textes"), (2003, None, _words(draw, 30)), (0, "en", good[0][2])]
     docs = spark.createDataFrame([*good, *bad, *odd], "doc_id long, lang string, text string")
     labels = spark.createDataFrame([(i, 1) for i in range(80)] + [(1000, 0), (1001, None), (None, 1)], "doc_id long, quality int")
-    got = {(r.doc_id, r.text_key): r for r in quality.classify(docs, labels, block_docs=40).collect()}
+    got = {(r.doc_id, r.text_key): r for r in quality.classify(docs, labels, block_bytes=16_000).collect()}
     kept = {k[0]: r.kept for k, r in got.items()}
     assert not any(kept[1000 + i] for i in range(5)) and sum(kept[i] for i in range(120)) >= 117
     assert (kept[2000], kept[2001], kept[2002], kept[2003]) == (False, False, True, True)
@@ -282,7 +283,7 @@ def test_quality_held_out(spark):
     rows = [(i, "en", write(150)) for i in range(90)] + [(1000, "it", write(150)), *[(1001 + i, "it", write(150)) for i in range(10)]]
     docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
     labels = spark.createDataFrame([(i, 1) for i in range(30)] + [(1000, 1)], "doc_id long, quality int")
-    got = {r.doc_id: r for r in quality.classify(docs, labels, spread=0.3, block_docs=40).collect()}
+    got = {r.doc_id: r for r in quality.classify(docs, labels, spread=0.3, block_bytes=30_000).collect()}
     assert sum(got[i].kept for i in range(30, 90)) >= 55  # unseen clean texts, though the trusted ones are few
     assert all(got[1000 + i].kept and got[1000 + i].limit is None for i in range(11))
 
@@ -299,6 +300,80 @@ def test_probabilities_sum_to_one(spark):
     assert all(1 - floor < r.p <= 1.0000001 for r in sums)  # the rest is for unseen characters
 
 
+def _plain_kneser_ney(texts, order=4):
+    """Interpolated modified Kneser-Ney over characters, by dicts: a function of a context of three characters and the next one."""
+    counts = {order: {}}
+    for t in texts:
+        t = "   " + " ".join(t.split())
+        for i in range(order, len(t) + 1):
+            counts[order][t[i - order : i]] = counts[order].get(t[i - order : i], 0) + 1
+    for n in range(order - 1, 0, -1):
+        counts[n] = {}
+        for gram in counts[n + 1]:
+            counts[n][gram[1:]] = counts[n].get(gram[1:], 0) + 1
+    held = {}
+    for n, grams in counts.items():
+        n1, n2, n3, n4 = (sum(c == i for c in grams.values()) for i in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2) if n1 else None
+        raw = [i - (i + 1) * y * b / a if a and y is not None else None for i, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
+        held[n] = [max(0.05, min(0.5 * i if d is None else d, 0.95 * i)) for i, d in zip((1, 2, 3), raw)]
+
+    def p(context, c):
+        value = 1 / (len(counts[1]) + 1)
+        for n in range(1, order + 1):
+            h = context[len(context) - n + 1 :]
+            after = {g: k for g, k in counts[n].items() if g[:-1] == h}
+            if after:
+                d = lambda k: held[n][min(k, 3) - 1]  # noqa: B023, E731
+                whole, own = sum(after.values()), after.get(h + c, 0)
+                value = (own - d(own) if own else 0) / whole + sum(map(d, after.values())) / whole * value
+        return value
+
+    return p
+
+
+def test_quality_equals_plain_kneser_ney(spark):
+    """Perplexities of all documents, by the whole model and by those without a fold, are those of a plain model; the limits and decisions follow."""
+    draw = random.Random(12)
+    write = lambda letters, n: "".join(draw.choice(letters) for _ in range(n))
+    rows = [(i, "xa" if i % 3 else "xb", write("abc  d" if i % 3 else "dé ef", draw.randrange(5, 90)), i) for i in range(60)]
+    rows += [(100, "xa", write("abcxyz", 50), 0), (101, "xa", "", 0), (102, "xc", "zzz", 0), (103, None, None, 0), (104, "xb", " \t\n", 0), (5, "xa", rows[5][2], 5), (105, "xb", "e" * 3000, 0)]
+    docs = spark.createDataFrame([(*r, True, "7", 1.0, 2) for r in rows], "doc_id long, lang string, text string, n int, trusted boolean, fold string, limit double, chars int")  # names that clash
+    labels = spark.createDataFrame([(i, 1) for i in range(0, 40)] + [(3, 0)], "doc_id long, quality int")
+    got = quality.classify(docs, labels, quantile=0.9, spread=0.5, block_bytes=700).collect()
+    assert len(got) == len(rows)
+    folds = {r.text: r.f for r in docs.select("text", F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(quality.FOLDS)).alias("f")).collect()}
+    keys = {r.text: r.k for r in docs.select("text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("k")).collect()}
+    trusted = [r for r in rows if r[0] < 40 and r[0] != 3]
+    models, want, held = {}, {}, {}
+    for i, lang, text, _ in rows:
+        lang = lang or "und"
+        leave = folds[text] if i < 40 and i != 3 else None
+        base = tuple(t for _, g, t, _ in trusted if g == lang and folds[t] != leave)
+        if base and base not in models:
+            models[base] = _plain_kneser_ney(base)
+        line = " ".join((text or "").split())
+        if not base or not line:
+            want[i, keys[text]] = None, len(line)
+            continue
+        whole = "   " + line
+        logs = [math.log(models[base](whole[j - 3 : j], whole[j])) for j in range(3, len(whole))]
+        want[i, keys[text]] = math.exp(-sum(logs) / len(logs)), len(line)
+        if leave is not None:
+            held.setdefault(lang, []).append((want[i, keys[text]][0], text))
+    assert {(r.doc_id, r.text_key) for r in got} == set(want)
+    for r in got:
+        perplexity, chars = want[r.doc_id, r.text_key]
+        assert (r.perplexity is None) == (perplexity is None) and (perplexity is None or r.perplexity == pytest.approx(perplexity, rel=1e-9))
+        if r.lang not in held:
+            assert r.limit is None and r.kept == (chars > 0)
+            continue
+        values = sorted(v for v, _ in held[r.lang])
+        limit = values[math.ceil(0.9 * len(values)) - 1] * math.exp(2.0 / len({t for _, t in held[r.lang]}))
+        assert r.limit == pytest.approx(limit, rel=1e-9)
+        assert r.kept == (perplexity is not None and perplexity <= limit * math.exp(0.5 / math.sqrt(max(chars, 1))))
+
+
 def test_mixing(spark, docs, texts):
     rows = mixing.mix_documents(docs.where("doc_id is not null"), bins=4).toPandas()
     size = {k: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for k, t in texts.items()}
