@@ -19,6 +19,7 @@ from .common import forget, stored
 
 ORDER, BITS = 4, 16  # four characters of 16 bits make one long
 FOLDS = 4  # of trusted texts, by their hash: copies share a fold
+BROADCAST_IDS = 4_000_000  # trusted ids that may be broadcast (32 MB of longs); more are joined by a shuffle, which texts then go through
 SALTS = 64  # parts of a language where its rows meet its discounts or its limit
 
 
@@ -197,6 +198,7 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, spread:
     Repeated rows get equal results; an empty table gives an empty one; other columns stay out.
     """
     good = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select("doc_id", F.lit(True).alias("trusted"))
+    good = F.broadcast(good) if good.count() <= BROADCAST_IDS else good
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit("und")).alias("lang"), "text")
     rows = rows.join(good, "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
     fold = F.when(F.col("trusted"), F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(FOLDS)).cast("string")).otherwise("")
