@@ -12,12 +12,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.storage import delete, exists, written
 from ..sources.tables import of_steps
-from .similarity import _score
+from .similarity import CHUNK, SIDES, block_rows, gathered, ranked, score_of
 
 SLACK = 1e-6  # of distances, for rounding
 ROWS = "cell int, id string, vector array<double>, distance double, step string"
@@ -44,6 +46,12 @@ def _distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((x * x).sum(1)[:, None] + (c * c).sum(1)[None, :] - 2 * x @ c.T, 0))
 
 
+def _chunks(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """Few rows at a time, since a task holds the distance of each to every cell."""
+    for p in range(0, len(pdf), CHUNK):
+        yield pdf.iloc[p : p + CHUNK]
+
+
 def _best_possible(distance: np.ndarray, metric: str) -> np.ndarray:
     """The similarity of two points at least ``distance`` apart is at most this."""
     return 1 - distance**2 / 2 if metric == "cosine" else 1 / (1 + distance**2)
@@ -80,10 +88,10 @@ def assign(vectors: DataFrame, centroids: np.ndarray, metric: str = "proxy_l2sq"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            if len(pdf):
-                d = _distances(_points(pdf["vector"], metric), shared.value)
+            for part in _chunks(pdf):
+                d = _distances(_points(part["vector"], metric), shared.value)
                 cell = d.argmin(axis=1)
-                yield pd.DataFrame({"cell": cell.astype(np.int32), "id": pdf["id"], "vector": pdf["vector"], "distance": d[np.arange(len(d)), cell]})
+                yield pd.DataFrame({"cell": cell.astype(np.int32), "id": part["id"], "vector": part["vector"], "distance": d[np.arange(len(d)), cell]})
 
     return _with_vector(vectors).mapInPandas(run, f"cell int, id {dict(vectors.dtypes)['id']}, vector array<double>, distance double")
 
@@ -117,37 +125,6 @@ def read_index(spark: SparkSession, path: str, steps: DataFrame | None = None) -
     return VectorIndex(np.stack(c["centroid"].to_numpy()), rows.select("cell", "id", "vector", "distance"), c["metric"].iloc[0])
 
 
-def _looked_up(queries: DataFrame, index: VectorIndex, sizes: pd.DataFrame, block: int) -> DataFrame:
-    """id, other, similarity, cell: the best of each block of the cells that each row of ``queries`` (id, vector, cell) looks into.
-
-    A cell of many rows, or of many queries, is cut into blocks of about ``block`` rows on either side.
-    """
-    queries = written(queries, "probes")
-    spark, metric = queries.sparkSession, index.metric
-    asked = queries.groupBy("cell").agg(F.count("*").alias("asked")).toPandas().merge(sizes, on="cell")  # a row a cell
-    blocks = spark.createDataFrame([(int(r.cell), -(-int(r.asked) // block), -(-int(r.n) // block)) for r in asked.itertuples()], "cell int, ni int, nj int")
-    at = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    q = queries.join(F.broadcast(blocks), "cell").select("cell", "id", "vector", at("ni").alias("i"), every("nj").alias("j"))
-    r = index.rows.where(F.col("cell").isin(asked["cell"].tolist())).join(F.broadcast(blocks), "cell").select("cell", F.col("id").alias("other"), "vector", every("ni").alias("i"), at("nj").alias("j"))
-
-    def tile(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        if not len(x) or not len(y):
-            return pd.DataFrame({"id": [], "other": [], "similarity": [], "cell": []})
-        y = y.sort_values("other", kind="stable")
-        a, b = np.stack(x["vector"].to_numpy()), np.stack(y["vector"].to_numpy())
-        ids, others = x["id"].to_numpy(), y["other"].to_numpy()
-        s = _score(a @ b.T, np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1), metric)
-        s[ids[:, None] == others[None, :]] = -np.inf
-        best = s.argmax(axis=1)
-        top = s[np.arange(len(best)), best]
-        ok = np.isfinite(top)
-        return pd.DataFrame({"id": ids[ok], "other": others[best][ok], "similarity": top[ok], "cell": np.int32(x["cell"].iloc[0])})
-
-    kinds = dict(queries.dtypes)["id"], dict(index.rows.dtypes)["id"]
-    return q.groupBy("cell", "i", "j").cogroup(r.groupBy("cell", "i", "j")).applyInPandas(tile, f"id {kinds[0]}, other {kinds[1]}, similarity double, cell int")
-
-
 Choice = Callable[[np.ndarray, np.ndarray, pd.DataFrame], np.ndarray]  # distances to cells and bounds, [rows, cells], and the rows: which cells to look into
 
 
@@ -155,28 +132,111 @@ def _sizes(index: VectorIndex) -> pd.DataFrame:
     return index.rows.groupBy("cell").agg(F.count("*").alias("n"), F.max("distance").alias("radius")).orderBy("cell").toPandas()  # a row a cell
 
 
-def _chosen(rows: DataFrame, index: VectorIndex, sizes: pd.DataFrame, choose: Choice) -> DataFrame:
-    """id, vector, cell: each row of ``rows`` (id, vector) with each cell it looks into."""
-    numbers, metric = sizes["cell"].to_numpy(), index.metric
-    shared = rows.sparkSession.sparkContext.broadcast((index.centroids[numbers], sizes["radius"].to_numpy(), numbers))  # a row a cell
+def _parts(sizes: pd.DataFrame, most: int) -> np.ndarray:
+    """The part of each cell: cells in a row, of about a ``SIDES``-th of the rows together, and of more than ``most`` only where one cell has more."""
+    full = min(most, max(2 * CHUNK, -(-int(sizes["n"].sum()) // SIDES)))
+    part, rows, out = 0, 0, []
+    for n in sizes["n"].tolist():  # a row a cell
+        if rows and rows + n > full:
+            part, rows = part + 1, 0
+        out.append(part)
+        rows += n
+    return np.array(out)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        centroids, radius, cells = shared.value
-        for pdf in frames:
-            if len(pdf):
-                d = _distances(_points(pdf["vector"], metric), centroids)
-                bound = _best_possible(np.maximum(d * (1 - SLACK) - radius * (1 + SLACK) - SLACK, 0), metric)
-                p, q = np.nonzero(choose(d, bound, pdf))
-                yield pd.DataFrame({"id": pdf["id"].to_numpy()[p], "vector": pdf["vector"].to_numpy()[p], "cell": cells[q].astype(np.int32)})
 
-    return rows.mapInPandas(run, f"id {dict(rows.dtypes)['id']}, vector array<double>, cell int")
+def _looked_up(rows: DataFrame, index: VectorIndex, sizes: pd.DataFrame, choose: Choice, block: int | None) -> DataFrame:
+    """id, other, similarity, cell: the best of each part of the cells that each row of ``rows`` (id, vector and what ``choose`` needs) looks into.
+
+    A row travels once to each part that has a cell chosen for it, with a bit for each cell there, not once to each cell. A part of many rows, or one asked by many, is cut into
+    blocks of about ``block`` rows on either side (by default as many as hold ``similarity.NUMBERS`` numbers).
+    """
+    spark, metric = rows.sparkSession, index.metric
+    numbers, most = sizes["cell"].to_numpy(), block or block_rows(index.centroids.shape[1])
+    part = _parts(sizes, most)
+    shared = spark.sparkContext.broadcast((index.centroids[numbers], sizes["radius"].to_numpy(), part))  # a row a cell
+
+    def chosen(pdf: pd.DataFrame) -> np.ndarray:
+        centroids, radius, _ = shared.value
+        d = _distances(_points(pdf["vector"], metric), centroids)
+        return choose(d, _best_possible(np.maximum(d * (1 - SLACK) - radius * (1 + SLACK) - SLACK, 0), metric), pdf)
+
+    def used(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        any_ = [chosen(x).any(axis=0) for pdf in frames for x in _chunks(pdf)]
+        if any_:
+            yield pd.DataFrame({"cells": [np.packbits(np.any(any_, axis=0)).tobytes()]})
+
+    def sent(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part = shared.value[2]
+        for pdf in frames:
+            for x in _chunks(pdf):
+                mask = chosen(x)
+                for k in range(part[-1] + 1):
+                    bits = mask[:, part == k]
+                    some = bits.any(axis=1)
+                    if some.any():
+                        yield pd.DataFrame({"part": np.int32(k), "id": x["id"].to_numpy()[some], "vector": x["vector"].to_numpy()[some], "cells": [b.tobytes() for b in np.packbits(bits[some], axis=1)]})
+
+    kinds = dict(rows.dtypes)["id"], dict(index.rows.dtypes)["id"]
+    none = spark.createDataFrame([], f"id {kinds[0]}, other {kinds[1]}, similarity double, cell int")
+    asked = [np.unpackbits(np.frombuffer(r[0], dtype=np.uint8), count=len(numbers)) for r in rows.mapInPandas(used, "cells binary").collect()]  # a bit a cell from each task
+    asked = np.any(asked, axis=0) if asked else np.zeros(len(numbers), dtype=bool)
+    if not asked.any():
+        return none
+    ni = max(1, -(-rows.count() // most))
+    told = sizes.assign(part=part)[asked]
+    nj = (-(-told.groupby("part")["n"].sum() // most)).to_dict()
+    blocks = spark.createDataFrame([(int(c), int(p), int(nj[p])) for c, p in zip(told["cell"], told["part"], strict=True)], "cell int, part int, nj int")  # a row a cell
+    at = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    no = lambda k: F.lit(None).cast(k)
+    q = rows.mapInPandas(sent, f"part int, id {kinds[0]}, vector array<double>, cells binary").join(F.broadcast(blocks.select("part", "nj").distinct()), "part")
+    q = q.select("part", at(F.lit(ni)).alias("i"), every(F.col("nj")).alias("j"), "id", no(kinds[1]).alias("other"), "vector", "cells", no("int").alias("cell"))
+    r = index.rows.where(F.col("cell").isin(told["cell"].tolist())).join(F.broadcast(blocks), "cell")
+    r = r.select("part", every(F.lit(ni)).alias("i"), at(F.col("nj")).alias("j"), no(kinds[0]).alias("own"), F.col("id").alias("other"), "vector", no("binary").alias("cells"), "cell").withColumnRenamed("own", "id")
+
+    def tile(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries, held = [], []
+        for batch in batches:
+            of_index = pc.is_valid(batch.column("cell"))
+            queries.append(batch.filter(pc.invert(of_index)))
+            held.append(batch.filter(of_index))
+        if not any(x.num_rows for x in queries) or not any(x.num_rows for x in held):
+            return
+        (one, a), (two, b) = gathered(queries, ["id", "cells"]), gathered(held, ["other", "cell"])
+        del queries, held
+        order = pc.sort_indices(pa.table(two), sort_keys=[("cell", "ascending"), ("other", "ascending")])
+        others, cell, b = two["other"].take(order), two["cell"].take(order).to_numpy(), b[order.to_numpy()]
+        ids = one["id"]
+        codes = pa.concat_arrays([ids, others]).dictionary_encode().indices.to_numpy() if ids.type == others.type else np.arange(len(ids) + len(others))
+        ca, cb = codes[: len(ids)], codes[len(ids) :]
+        mine = numbers[part == key[0].as_py()]
+        looks = np.unpackbits(np.stack([np.frombuffer(x, dtype=np.uint8) for x in one["cells"].to_pylist()]), axis=1, count=len(mine)).astype(bool)
+        ra, rb = ranked(a, b, metric)
+        best, where = np.full(len(a), -np.inf), np.zeros(len(a), dtype=np.int64)
+        for k, c in enumerate(mine):
+            low, high = np.searchsorted(cell, [c, c + 1])
+            asking = np.flatnonzero(looks[:, k]) if high > low else []
+            for p in range(0, len(asking), CHUNK):
+                at = asking[p : p + CHUNK]
+                for s0 in range(low, high, CHUNK):
+                    s = ra[at] @ rb[s0 : min(high, s0 + CHUNK)].T
+                    s[ca[at, None] == cb[None, s0 : min(high, s0 + CHUNK)]] = -np.inf
+                    first = s.argmax(axis=1)
+                    top = s[np.arange(len(s)), first]
+                    better = top > best[at]
+                    best[at[better]], where[at[better]] = top[better], first[better] + s0
+        ok = np.isfinite(best)
+        found = pa.array(where[ok])
+        yield pa.RecordBatch.from_arrays([ids.filter(pa.array(ok)), others.take(found), pa.array(score_of(best, a, metric)[ok]), pa.array(cell[where[ok]].astype(np.int32))], names=["id", "other", "similarity", "cell"])
+
+    return q.unionByName(r).groupBy("part", "i", "j").applyInArrow(tile, none.schema)
 
 
 def _with_vector(rows: DataFrame) -> DataFrame:
     return rows.where("vector is not null and size(vector) > 0").select("id", F.col("vector").cast("array<double>").alias("vector"))
 
 
-def probes_for(rows: DataFrame, index: VectorIndex, recall: float = 0.95, sample: int = 256, block: int = 4096) -> int:
+def probes_for(rows: DataFrame, index: VectorIndex, recall: float = 0.95, sample: int = 256, block: int | None = None) -> int:
     """In how many of its nearest cells a row has to look, so that ``recall`` of a sample of ``rows`` (id, vector) find their nearest vector.
 
     The sample of about ``sample`` rows, chosen by a hash of the id, looks into all cells. 1 where no row of it has a neighbour.
@@ -186,7 +246,7 @@ def probes_for(rows: DataFrame, index: VectorIndex, recall: float = 0.95, sample
     some = written(asked.where(F.pmod(F.xxhash64("id", F.lit(9)), F.lit(one_in)) == 0), "sample")
     if not len(sizes) or not some.limit(1).count():
         return 1
-    found = _looked_up(_chosen(some, index, sizes, lambda d, bound, _: np.ones(d.shape, dtype=bool)), index, sizes, block)
+    found = _looked_up(some, index, sizes, lambda d, bound, _: np.ones(d.shape, dtype=bool), block)
     best = found.groupBy("id").agg(F.max_by("cell", "similarity").alias("cell")).join(some, "id").select("vector", "cell").toPandas()  # the sample
     delete(some)
     if not len(best):
@@ -197,7 +257,7 @@ def probes_for(rows: DataFrame, index: VectorIndex, recall: float = 0.95, sample
     return int(np.sort(place)[math.ceil(recall * len(place)) - 1])
 
 
-def nearest(rows: DataFrame, index: VectorIndex, probes: int | None = None, exact: bool = False, at_least: float | None = None, recall: float = 0.95, block: int = 4096) -> DataFrame:
+def nearest(rows: DataFrame, index: VectorIndex, probes: int | None = None, exact: bool = False, at_least: float | None = None, recall: float = 0.95, block: int | None = None) -> DataFrame:
     """id, similarity of each row of ``rows`` (id unique, vector) to the nearest indexed vector with another id; 0.0 where there is none.
 
     Each row looks into its ``probes`` nearest cells, by default as many as ``probes_for`` finds for ``recall``. Rows that find nothing there, and with ``exact`` all rows,
@@ -222,11 +282,11 @@ def nearest(rows: DataFrame, index: VectorIndex, probes: int | None = None, exac
 
     asked = _with_vector(rows)
     best = lambda found: found.groupBy("id").agg(F.max("similarity").alias("similarity"))
-    found = written(best(_looked_up(_chosen(asked, index, sizes, first), index, sizes, block)), "nearest")
+    found = written(best(_looked_up(asked, index, sizes, first, block)), "nearest")
     if at_least is None:
         rest = asked.join(found, "id", "left")
         rest = rest if exact else rest.where("similarity is null")
-        again = _looked_up(_chosen(rest, index, sizes, more), index, sizes, block)
+        again = _looked_up(rest, index, sizes, more, block)
         both = written(best(found.unionByName(again.select("id", "similarity"))) if exact else found.unionByName(best(again)), "nearest")
         delete(found)
         found = both

@@ -1,10 +1,11 @@
 """The inverted-cell index against brute force."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from sievemill.operators import dedup, neighbours
+from sievemill.operators import dedup, neighbours, similarity
 
 SCHEMA = "id string, vector array<double>"
 
@@ -73,3 +74,22 @@ def test_dedup_by_index(spark):
     with pytest.raises(ValueError, match="index is by"):
         dedup.deduplicate(rows, stored_index=neighbours.build(stored, "cosine"))
     assert dedup.deduplicate(rows.where(F.col("ord") < 0), metric="cosine", stored_index=neighbours.build(stored, "cosine")).count() == 0
+
+
+def test_rows_go_to_parts_of_cells():
+    """A row travels once to each of about 16 parts of the cells, however many cells there are; a cell of more rows than a block stands alone."""
+    even = pd.DataFrame({"cell": range(800), "n": 800})
+    part = neighbours._parts(even, 65536)
+    assert (np.diff(part) >= 0).all() and part[-1] + 1 <= similarity.SIDES + 1
+    hot = neighbours._parts(pd.DataFrame({"cell": range(5), "n": [10, 90_000, 10, 10, 10]}), 65536)
+    assert hot.tolist() == [0, 1, 2, 2, 2]
+
+
+def test_exact_where_every_cell_is_looked_into(spark):
+    """Vectors without clusters, so that no cell is ruled out: many cells in a part, many parts, blocks on both sides."""
+    x = np.random.default_rng(3).normal(size=(2500, 24))
+    rows = spark.createDataFrame([(str(i), v.tolist()) for i, v in enumerate(x)], SCHEMA)
+    index, want = neighbours.build(rows, cells=200), _brute(x, "proxy_l2sq")
+    got = {r.id: r.similarity for r in neighbours.nearest(rows, index, exact=True, block=700).collect()}
+    assert len(got) == 2500 and all(abs(s - want[int(i)]) < 1e-9 for i, s in got.items())
+    assert neighbours.nearest(rows.where("id = 'x'"), index, exact=True).count() == 0

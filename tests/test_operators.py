@@ -237,6 +237,17 @@ def test_pairs_of_blocks(spark):
     assert len(got) == len(want) and {(r.left_id, r.right_id) for r in got} == want
 
 
+def test_blocks_grow_with_the_table(spark):
+    """A row travels 16 times however many rows there are, until a block would be too large for a task; equal neighbours give the smallest id."""
+    rows = spark.range(200_000).select("id", F.transform(F.sequence(F.lit(1), F.lit(64)), lambda x: x.cast("float")).alias("vector"))
+    assert similarity._blocks(rows, None) == similarity.SIDES and similarity._blocks(rows.limit(1000), None) == 1 and similarity._blocks(rows, 10_000) == 20
+    same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(40)], "id long, vector array<float>")
+    got = {r.left_id: (r.right_id, r.similarity) for r in similarity.similar_vectors(same, same, block=7).collect()}
+    assert got == {i: (int(i == 0), 1.0) for i in range(40)}
+    with pytest.raises(Exception, match="different dimensions"):
+        similarity.similar_vectors(same, same.unionByName(spark.createDataFrame([(99, [1.0])], same.schema))).collect()
+
+
 def test_jaccard_links_against_all_pairs(spark):
     draw = random.Random(5)
     base = ["".join(draw.choice("abcd ") for _ in range(60)) for _ in range(6)]
