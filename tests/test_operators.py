@@ -149,6 +149,18 @@ def test_ngrams(spark):
     assert got == [["abc", "bcd", "cde", "def"], ["ab", "bc"], ["ab"], [], ["a\n", "\nb", "b😀", "😀c"]]
 
 
+def test_text_signature(spark):
+    """Signed by groups of texts as by one text's n-grams at a time: short, empty and null texts, signs of two code units, many letters, texts of several groups."""
+    draw = random.Random(8)
+    wide = "".join(chr(0x4E00 + i) for i in range(6000))
+    texts = [None, "", "a", "abcd", "ABCDE", "abcdef", "\U0001f600\U0001f601 x\U0001f600y\u0130", "aaaaaaaaaa", wide, wide[::-1], "ab c" * 300_000, "".join(draw.choice("abcdefgh \n") for _ in range(600_000))]
+    texts += ["".join(draw.choice("abc é\x00") for _ in range(draw.randrange(200))) for _ in range(300)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, t string").repartition(2)
+    plain = {r.id: r.s for r in rows.select("id", shingles.signature(shingles.gram_hashes(shingles.ngrams("t"))).alias("s")).collect()}
+    got = {r.id: r.s for r in rows.select("id", shingles.text_signature("t").alias("s")).collect()}
+    assert got == plain and got[0] is None and got[1] is None
+
+
 def test_first_wins_equals_the_sequential_loop(spark):
     draw = random.Random(3)
     for _ in range(3):
