@@ -60,7 +60,9 @@ def first_wins(rows: DataFrame, buckets: DataFrame, kept_before: DataFrame | Non
     ``kept_before``: ords in ``buckets`` that are kept from the start. Rows without a bucket stay. Each round decides at least the first range of the rows still open
     (``range_rows`` pairs or so), so the rounds end.
     """
-    b = written(buckets.select(F.col("ord").cast("long").alias("ord"), F.col("bucket").cast("string").alias("bucket")).distinct(), "buckets")
+    b = buckets.select(F.col("ord").cast("long").alias("ord"), F.md5(F.col("bucket").cast("string")).alias("bucket"))
+    shared = b.groupBy("bucket").agg(F.min("ord").alias("least"), F.max("ord").alias("most")).where("least < most").select("bucket")
+    b = written(b.join(shared, "bucket", "left_semi").select("ord", "bucket").distinct(), "buckets")  # a bucket of one row decides nothing
     kept = [written(rows.select(F.col("ord").cast("long").alias("ord")).join(b.select("ord").distinct(), "ord", "left_anti"), "kept")]
     new = None if kept_before is None else written(kept_before.select("ord").join(b.select("ord").distinct(), "ord", "left_semi"), "kept")
     while left := b.count():

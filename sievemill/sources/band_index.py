@@ -23,11 +23,9 @@ def slot(bucket: Column | str) -> Column:
 
 
 def text_buckets(rows: DataFrame, key: str, text: str, settings: Settings = DEFAULTS) -> DataFrame:
-    """key, bucket of each band of a text's MinHash signature; null texts are empty, and empty ones have none. Copies of a text are signed once."""
-    texts = rows.select(key, F.coalesce(text, F.lit("")).alias("t"), F.md5(F.coalesce(text, F.lit(""))).alias("h"))
-    signed = texts.groupBy("h").agg(F.min("t").alias("t")).select("h", shingles.signature(shingles.gram_hashes(shingles.ngrams("t", settings.ngram)), settings.permutations).alias("minhash"))
-    buckets = signed.where("minhash is not null").select("h", F.explode(shingles.band_keys("minhash", settings.bands, settings.band_rows)).alias("bucket"))
-    return texts.select(key, "h").join(buckets, "h").select(key, "bucket")
+    """key, bucket of each band of a text's MinHash signature; null texts are empty, and empty ones have none. Texts are signed where they lie: none is shuffled."""
+    signed = rows.select(key, shingles.text_signature(text, settings.ngram, settings.permutations).alias("minhash"))
+    return signed.where("minhash is not null").select(key, F.explode(shingles.band_keys("minhash", settings.bands, settings.band_rows)).alias("bucket"))
 
 
 def write_bands(buckets: DataFrame, path: str, step: str, run_id: str = "") -> None:
