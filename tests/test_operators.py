@@ -315,6 +315,28 @@ def _entropy_score(w):
     return np.exp(-(w * np.log(w)).sum())
 
 
+def test_vendi_so_far(spark):
+    """The scores up to each step, however the steps are cut into ranges: steps of a row, one of many rows, zero vectors, two widths."""
+    draw = np.random.default_rng(4)
+    steps = [0] * 30 + [s for s in range(1, 40) for _ in range(1 + s % 3)] + [40] * 90 + [41, 41, 45]
+    x = draw.normal(size=(len(steps), 6))
+    x[5] = 0
+    rows = spark.createDataFrame([(s, v.tolist()) for s, v in zip(steps, x, strict=True)] + [(3, [1.0, 0.0]), (9, [0.0, 2.0]), (4, None)], "step long, vector array<float>").repartition(3)
+    unit = x.astype(np.float32).astype(float)
+    unit = unit / np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-300)
+    want = {}
+    for s in set(steps):
+        part = unit[[t <= s for t in steps]]
+        w = np.linalg.eigvalsh(part.T @ part / len(part))
+        w = w[w > 1e-12]
+        want[s, len(part)] = float(np.exp(-(w * np.log(w)).sum()))
+    want |= {(3, 1): 0.0, (9, 2): 2.0}
+    for size in (1, 12, 50, 10_000):
+        got = [((r.step, r.n), r.score) for r in diversity.vendi_so_far(rows, size).collect()]
+        assert len(got) == len(want) and dict(got).keys() == want.keys() and all(abs(v - want[k]) < 1e-9 for k, v in got)
+    assert diversity.vendi_so_far(rows.where("step < 0")).count() == 0
+
+
 def test_sketched_vendi(spark):
     """Exact where the sketch has room for all directions, else within its own error; however rows are dealt."""
     rng = np.random.default_rng(5)
