@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sievemill.config import Settings
 from sievemill.functions import embed, replies, shingles
 from sievemill.operators import coverage, dedup, diversity, requests, sampling, scoring, similarity, spectrum
-from sievemill.sources import tables, taxonomy
+from sievemill.sources import band_index, tables, taxonomy
 
 
 def test_taxonomy_files(spark, tmp_path):
@@ -161,6 +161,11 @@ def test_text_signature(spark):
     assert got == plain and got[0] is None and got[1] is None
 
 
+def test_signing_shuffles_no_text(spark):
+    rows = spark.range(5).select("id", F.concat(F.lit("text "), F.col("id").cast("string")).alias("t"))
+    assert "Exchange" not in band_index.text_buckets(rows, "id", "t")._jdf.queryExecution().executedPlan().toString()
+
+
 def test_first_wins_equals_the_sequential_loop(spark):
     draw = random.Random(3)
     for _ in range(3):
