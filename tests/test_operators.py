@@ -275,6 +275,28 @@ def test_jaccard_links_against_all_pairs(spark):
     assert {(r.a, r.b) for r in got.collect()} == want and want
 
 
+def test_jaccard_links_meet_by_sketches(spark, monkeypatch):
+    """Many classes of size and many blocks of a class lose no link and meet no pair twice; texts that share most of their n-grams without a link aren't compared by n-grams."""
+    draw = random.Random(8)
+    words = ["".join(draw.choice("abcdefgh") for _ in range(5)) for _ in range(150)]
+    texts = {"x", "ab", "abcde", "abcdef", "\U0001f600abcd", "", None}
+    for size in (3, 8, 20, 60, 150, 400):
+        for _ in range(25):
+            t = [draw.choice(words) for _ in range(size)]
+            texts |= {" ".join(t), " ".join([*t[: -1 - size // 8], "zz"]), " ".join(t[: size * 3 // 4])}
+    texts = sorted(texts, key=str)
+    grams = [{t.lower()[i : i + 5] for i in range(max(1, len(t) - 4))} if t else set() for t in texts]
+    want = {(i, j): len(a & b) / len(a | b) for i, a in enumerate(grams) for j, b in enumerate(grams) if i < j and a and b and len(a & b) >= 0.7 * len(a | b)}
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, t string").repartition(3)
+    monkeypatch.setattr(similarity, "SKETCHES", 512)
+    found, stored = [], similarity.written
+    monkeypatch.setattr(similarity, "written", lambda df, name: (found.append((name, stored(df, name))), found[-1][1])[1])
+    got = similarity.jaccard_links(docs, "id", "t").collect()
+    assert {(r.a, r.b): r.jaccard for r in got} == want and len(got) == len(want) > 100
+    assert dict(found)["near"].count() < 3 * len(want)
+    assert similarity.jaccard_links(docs.where("id < 0"), "id", "t").count() == 0
+
+
 def test_nearest(spark):
     a = spark.createDataFrame([(1, [0.0] * 4), (2, [10.0] * 4)], "id int, vector array<double>")
     empty = a.where("id < 0")
