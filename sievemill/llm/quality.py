@@ -56,7 +56,8 @@ def _counts(texts: DataFrame) -> DataFrame:
 def _with_language(rows: DataFrame, per_lang: DataFrame, dealt_by: str, how: str = "inner") -> DataFrame:
     """``rows`` with the one row of their language in ``per_lang``, which is repeated for each part that a language is dealt into, so that no task holds it all."""
     many = per_lang.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    return rows.withColumn("_salt", F.pmod(F.xxhash64(dealt_by), F.lit(SALTS))).join(many, ["lang", "_salt"], how).drop("_salt")
+    salt = F.coalesce(F.pmod(F.xxhash64(dealt_by), F.lit(SALTS)), F.lit(0).cast("long"))  # never null, so that the join adds no filter on it
+    return rows.withColumn("_salt", salt).join(many, ["lang", "_salt"], how).drop("_salt")
 
 
 def _suffix(order: int) -> Column:
@@ -120,7 +121,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts as they travel to their block: compressed one by one."""
     import zstandard
 
-    pack = zstandard.ZstdCompressor(level=3).compress
+    pack = zstandard.ZstdCompressor(level=6).compress
     for batch in batches:
         packed = pa.array([pack((t.as_py() or "").encode("utf-8", "surrogatepass")) for t in batch["text"]], pa.binary())
         yield pa.RecordBatch.from_arrays([*[batch[c] for c in ("doc_id", "lang", "trusted", "text_key", "block")], packed], names=["doc_id", "lang", "trusted", "text_key", "block", "packed"])
@@ -156,16 +157,16 @@ def perplexities(docs: DataFrame, model: dict, block_bytes: int = 16 << 20) -> D
         block = table["block"][0].as_py()
         return pa.table({
             "block": pa.array([block] * sum(len(k) for _, k in found), pa.int64()),
-            "lang": pa.array([lang for lang, k in found for _ in range(len(k))], pa.string()),
+            "lang": pa.concat_arrays([pa.repeat(pa.scalar(lang, pa.string()), len(k)) for lang, k in found]),
             "key": pa.array(np.concatenate([k for _, k in found]), pa.int64()),
         })
 
     def score(table: pa.Table, known: pa.Table) -> pa.Table:
-        said = np.array(known["lang"].to_pylist(), dtype=object)
-        keys, logs = known["key"].to_numpy(), known["logp"].to_numpy()
+        said = known["lang"].combine_chunks().dictionary_encode()
+        number, keys, logs = said.indices.to_numpy(), known["key"].to_numpy(), known["logp"].to_numpy()
         by = {}
-        for lang in set(said):
-            mine = np.flatnonzero(said == lang)
+        for k, lang in enumerate(said.dictionary.to_pylist()):
+            mine = np.flatnonzero(number == k)
             order = mine[np.argsort(keys[mine], kind="stable")]
             by[lang] = keys[order], logs[order]
         out, sizes = [], []
@@ -179,9 +180,10 @@ def perplexities(docs: DataFrame, model: dict, block_bytes: int = 16 << 20) -> D
                 out.append(None)
         return table.select(["doc_id", "text_key", "lang", "trusted"]).append_column("chars", pa.array(sizes, pa.int64())).append_column("perplexity", pa.array(out, pa.float64()))
 
-    # The same exchange serves the distinct 4-grams and the way back to the blocks.
-    held = rows.groupBy("block").applyInArrow(types, "block long, lang string, key long").repartition("lang", "key")
-    logs = log_probabilities(held.select("lang", "key").distinct(), model)
+    # The same exchange serves the distinct 4-grams and the way back to the blocks: both read all of its columns under one filter, or it would be made twice.
+    held = rows.groupBy("block").applyInArrow(types, "block long, lang string, key long").repartition("lang", "key").where("lang is not null and key is not null")
+    distinct = held.groupBy("lang", "key").agg(F.min("block").alias("first")).where("first >= 0").select("lang", "key")
+    logs = log_probabilities(distinct, model)
     own = held.join(logs, ["lang", "key"]).select(F.col("block").alias("of"), "lang", "key", "logp")
     scored = rows.groupBy("block").cogroup(own.groupBy("of")).applyInArrow(score, "doc_id long, text_key long, lang string, trusted boolean, chars long, perplexity double")
     return scored

@@ -276,6 +276,23 @@ def test_quality(spark):
     assert quality.classify(docs, labels.where("doc_id < 0")).where("kept").count() == len(good) + len(bad) + 3
 
 
+def test_quality_deals_ngrams_out_once(spark, monkeypatch):
+    """The blocks' distinct 4-grams are made and shuffled once for the model and for the way back."""
+    plans, stored = [], quality.stored
+
+    def seen(df, name):
+        if name == "perplexities":
+            df.collect()
+            plans.append(df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0])
+        return stored(df, name)
+
+    monkeypatch.setattr(quality, "stored", seen)
+    draw = random.Random(3)
+    docs = spark.createDataFrame([(i, "".join(draw.choice("abcde ") for _ in range(80)), "en") for i in range(60)], "doc_id long, text string, lang string")
+    assert quality.classify(docs, spark.createDataFrame([(i, 1) for i in range(40)], "doc_id long, quality int"), block_bytes=500).count() == 60
+    assert len(plans) == 1 and plans[0].count("FlatMapGroupsInArrow") == 1
+
+
 def test_quality_held_out(spark):
     draw = random.Random(10)
     names = ["".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(draw.randrange(3, 9))) for _ in range(3000)]
