@@ -2,7 +2,8 @@
 
 A shard is what a task has read of a language, up to a bound. Its index is two Burrows-Wheeler transforms, of the words and of their
 reverse, sorted to the depth that patterns reach. Phrases are enumerated level by level: each phrase that is frequent in all
-shards together is extended, by turns to its right and to its left, and both of its intervals follow. What a shard finds at a level is added up over shards;
+shards together is extended, by turns to its right and to its left, and both of its intervals follow. What a shard finds at a level is added up over shards,
+pairs of words first by slots that they are hashed to, so that a pair whose slot stays below the threshold isn't shuffled, then all exactly;
 a phrase below the threshold is extended by none, as no longer phrase can come more often.
 """
 
@@ -20,6 +21,8 @@ from .common import forget, free_shuffles, stored, text_or_empty
 
 DEPTH = 4  # of the sorted contexts: phrases of one more word have their counts, not their intervals
 SHARD_BYTES = 8 << 20  # of text in a shard
+RANGE = 22  # bits of the slots that one task adds up
+SLOTS = 17, 27  # bits of the slots of a shard, and of all shards at most
 PACKED = 21  # three numbers of so many bits make one long
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
@@ -211,6 +214,67 @@ def _next_level(level: int, rightwards: bool):
     return run
 
 
+def _slot(p: np.ndarray, q: np.ndarray, width: int) -> np.ndarray:
+    """A phrase's slot among 2 ** ``width``, the same in all shards."""
+    x = p.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + q.view(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return (x >> np.uint64(64 - width)).view(np.int64)
+
+
+def _tally(found, width: int, least: int):
+    """What ``found`` finds in a shard, added up by slots: in each range of slots those hit, as differences, and how often, up to ``least``."""
+
+    def run(index: pa.Table, frequent: pa.Table) -> pa.Table:
+        rows = found(index, frequent)
+        at, c = _slot(rows["p"].to_numpy(), rows["q"].to_numpy(), width), rows["times"].to_numpy() >> 32
+        order = np.argsort(at)
+        at, c = at[order], c[order]
+        first = np.flatnonzero(np.diff(at, prepend=-1))
+        at, c = at[first], np.minimum(np.add.reduceat(c, first), least) if len(first) else c
+        ranges, begin = np.unique(at >> RANGE, return_index=True)
+        parts = list(zip(ranges.tolist(), begin, [*begin[1:], len(at)], strict=True))
+        slots = [_packed(np.diff(at[a:b], prepend=r << RANGE)) for r, a, b in parts]
+        return pa.table([pa.array(ranges, pa.int64()), pa.array(slots, pa.binary()), pa.array([_packed(c[a:b]) for _, a, b in parts], pa.binary())], names=["range", "slots", "counts"])
+
+    return run
+
+
+def _likely(tallies: DataFrame, width: int, least: int) -> np.ndarray:
+    """A bit map, of 2 ** ``width`` bits, of the slots whose phrases come ``least`` times together: no other phrase can come as often."""
+
+    def total(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(1 << RANGE, dtype=np.int32)
+        for batch in batches:
+            for slots, counts in zip(batch["slots"], batch["counts"], strict=True):
+                sums[np.cumsum(_unpacked(slots.as_py()))] += _unpacked(counts.as_py())
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), pa.array([np.packbits(sums >= least, bitorder="little").tobytes()], pa.binary())], names=["range", "bits"])
+
+    out = np.zeros((max(1, 1 << width >> RANGE), 1 << RANGE >> 3), dtype=np.uint8)
+    for row in tallies.groupBy("range").applyInArrow(total, "range long, bits binary").collect():  # 2 ** SLOTS[1] bits at most
+        out[row["range"]] = np.frombuffer(row["bits"], dtype=np.uint8)
+    return out.ravel()
+
+
+def _extended(side: DataFrame, mine: DataFrame, level: int, shards: int, least: int) -> DataFrame:
+    """What the shards find at the next level; of pairs of words less what a tally over all shards shows to come fewer than ``least`` times: most of them, which need no shuffle then."""
+    found = _next_level(level, level % 2 == 1)
+    both = side.groupBy("shard").cogroup(mine.groupBy("shard"))
+    if level > 1:  # few phrases go on: what a tally would leave out is less than the indexes it would shuffle again
+        return both.applyInArrow(found, _FOUND)
+    width = min(SLOTS[1], SLOTS[0] + max(0, shards - 1).bit_length())
+    tallies = both.applyInArrow(_tally(found, width, least), "range long, slots binary, counts binary")
+    likely = side.sparkSession.sparkContext.broadcast(_likely(tallies, width, least))
+    del tallies
+    free_shuffles(side.sparkSession)
+
+    def run(index: pa.Table, frequent: pa.Table) -> pa.Table:
+        rows = found(index, frequent)
+        at = _slot(rows["p"].to_numpy(), rows["q"].to_numpy(), width)
+        return rows.filter(pa.array((likely.value[at >> 3] >> (at & 7) & 1).astype(bool)))
+
+    return both.applyInArrow(run, _FOUND)
+
+
 def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = DEPTH + 1, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame]:
     """lang, phrase, level, f, inner of all phrases of up to ``longest`` (at most 5) words that come ``least`` times; lang, n of all words.
 
@@ -220,6 +284,7 @@ def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = DEPTH + 1
     if longest > DEPTH + 1:
         raise ValueError(f"phrases of more than {DEPTH + 1} words")
     index = stored(build_indexes(docs, shard_bytes), "indexes")
+    shards = index.count()
     found, key, texts, scratch = _first_level(index.select("lang", "shard", "n_words", "words", "counts")), ["lang", "word"], [], [index]
     for level in range(1, longest + 1):
         # In a shard no two phrases of a level have one place: a phrase's number is the first of its places.
@@ -245,10 +310,9 @@ def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = DEPTH + 1
             scratch.append(words)
         key = ["p", "q"]
         free_shuffles(docs.sparkSession)  # of the level before
-        rightwards = level % 2 == 1
-        side = index.select("shard", F.col("reverse" if rightwards else "forward").alias("side")).join(words, "shard")
+        side = index.select("shard", F.col("reverse" if level % 2 == 1 else "forward").alias("side")).join(words, "shard")
         mine = mine.select("shard", "number", "p", "q", "times", "place")
-        found = side.groupBy("shard").cogroup(mine.groupBy("shard")).applyInArrow(_next_level(level, rightwards), _FOUND)
+        found = _extended(side, mine, level, shards, least)
     f = None
     for text in texts:
         one = text.select("lang", "phrase", "level", "f", "inner")

@@ -130,6 +130,25 @@ def test_collocations(spark, shard_bytes):
     assert phrases.collocations(docs.where("doc_id < 0"), least=8).count() == 0
 
 
+def test_rare_pairs_are_not_shuffled(spark, monkeypatch):
+    """What a tally by slots shows to be rare stays in its shard; sums over shards, and phrases frequent in none of them, are as counted."""
+    draw = random.Random(4)
+    texts = [" ".join([*(f"w{draw.randrange(60)}" for _ in range(300)), "x y z", "x y z"]) for _ in range(30)]
+    docs = spark.createDataFrame([(i, t, "en", "m", 1) for i, t in enumerate(texts)], DOC).repartition(5)
+    sizes, extended = {}, phrases._extended
+
+    def seen(side, mine, level, shards, least):
+        found = extended(side, mine, level, shards, least)
+        sizes[level] = shards, found.count()
+        return found
+
+    monkeypatch.setattr(phrases, "_extended", seen)
+    f, _ = phrases.frequent_phrases(docs, least=20, longest=3, shard_bytes=2000)
+    counts = Counter(" ".join(w) for t in texts for w in zip(*(t.split()[k:] for k in range(3)), strict=False))
+    assert {r.phrase: r.f for r in f.where("level = 3").collect()} == {p: c for p, c in counts.items() if c >= 20} and counts["x y z"] == 60
+    assert sizes[1][0] > 5 and sizes[1][1] < 0.1 * sum(counts.values())
+
+
 def test_transform_beyond_packed_numbers(monkeypatch):
     """Shards of more symbols than fit a packed key are ordered alike."""
     s = np.array([0, *np.random.default_rng(3).integers(0, 6, 400), 0], dtype=np.int32)
