@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULTS
 
+ROWS = 512  # texts that the model gets at once
+
 Embedder = Callable[[list[str]], np.ndarray]
 
 
@@ -42,7 +44,8 @@ def embed(text: Column, factory: Callable[[], Embedder] | None = None) -> Column
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = factory()
         for texts in batches:
-            vectors = model([t or "" for t in texts]) if len(texts) else []
-            yield pd.Series([np.asarray(v, dtype=np.float32) for v in vectors], index=texts.index, dtype=object)
+            for at in range(0, len(texts), ROWS):
+                some = texts.iloc[at : at + ROWS]
+                yield pd.Series([np.asarray(v, dtype=np.float32) for v in model([t or "" for t in some])], index=some.index, dtype=object)
 
     return run(text)

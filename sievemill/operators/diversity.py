@@ -6,30 +6,38 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .similarity import CHUNK, matrix
+
 PARTS = "domain string, dim int, n long, gram array<double>"
 
 
 def gram_partials(rows: DataFrame) -> DataFrame:
     """domain, dim, n, gram (flat): one row per task, domain and width of ``rows`` (domain, vector); vectors scaled to length 1."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict = {}
-        for pdf in frames:
-            sizes = pdf["vector"].map(len)
-            for (domain, dim), part in pdf.groupby([pdf["domain"].fillna(""), sizes]):
-                x = np.stack(part["vector"].to_numpy()).astype(float)
-                norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
-                x = x / np.where(norm > 0, norm, 1)
-                n, g = sums.get((domain, dim), (0, 0.0))
-                sums[domain, dim] = n + len(x), g + x.T @ x
-        yield pd.DataFrame([(d, int(k), n, g.ravel()) for (d, k), (n, g) in sums.items()], columns=["domain", "dim", "n", "gram"])
+        for batch in batches:
+            for at in range(0, batch.num_rows, CHUNK):
+                rows = pa.Table.from_batches([batch.slice(at, CHUNK)])
+                rows = rows.set_column(0, "domain", pc.fill_null(rows["domain"], "")).append_column("dim", pc.list_value_length(rows["vector"]))
+                for key in rows.select(["domain", "dim"]).group_by(["domain", "dim"]).aggregate([]).to_pylist():
+                    x = matrix(rows.filter((pc.field("domain") == key["domain"]) & (pc.field("dim") == key["dim"]))["vector"].combine_chunks())
+                    norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
+                    x = x / np.where(norm > 0, norm, 1)
+                    n, g = sums.get((key["domain"], key["dim"]), (0, 0.0))
+                    sums[key["domain"], key["dim"]] = n + len(x), g + x.T @ x
+        for (domain, dim), (n, g) in sums.items():
+            gram = pa.ListArray.from_arrays(pa.array([0, g.size], pa.int32()), pa.array(g.ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array([domain], pa.string()), pa.array([dim], pa.int32()), pa.array([n], pa.int64()), gram], names=["domain", "dim", "n", "gram"])
 
     rows = rows.select(F.col("domain").cast("string").alias("domain"), F.col("vector").cast("array<double>").alias("vector"))
-    return rows.where("vector is not null and size(vector) > 0").mapInPandas(run, PARTS)
+    return rows.where("vector is not null and size(vector) > 0").mapInArrow(run, PARTS)
 
 
 def gram_matrix(rows: DataFrame) -> DataFrame:

@@ -427,3 +427,50 @@ def test_sketch_merges_keep_the_bound():
 def test_embedder(spark):
     rows = spark.createDataFrame([("hello world",), ("hello world",), (None,)], "t string").select(embed.embed(F.col("t")).alias("v")).collect()
     assert rows[0].v == rows[1].v and len(rows[0].v) == 384 and sum(rows[2].v) == 0
+
+
+def test_embedder_gets_few_texts_at_once(spark):
+    def factory():
+        def model(texts):
+            assert len(texts) <= embed.ROWS
+            return np.array([[len(t), 1.0] for t in texts])
+
+        return model
+
+    rows = spark.range(0, 2000, 1, 1).withColumn("text", F.when(F.col("id") % 7 > 0, F.repeat(F.lit("x"), (F.col("id") % 50).cast("int"))))
+    got = {r.id: r.v for r in rows.select("id", embed.embed(F.col("text"), factory).alias("v")).collect()}
+    assert got == {i: [i % 50 if i % 7 else 0, 1.0] for i in range(2000)}
+
+
+def test_blocks_stay_as_they_came(monkeypatch):
+    """A block of vectors takes four bytes a number; chunks alone become doubles."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    n, width, held = 12_000, 384, {}
+
+    class Rows:  # what similar_vectors asks of a table, to get at its function for a task
+        dtypes = [("id", "bigint"), ("vector", "array<float>")]
+        select = unionByName = groupBy = lambda self, *_: self
+
+        def applyInArrow(self, run, _):
+            held["run"] = run
+            return self
+
+    monkeypatch.setattr(similarity, "_blocks", lambda *_: 1)
+    monkeypatch.setattr(similarity, "F", type("F", (), {"__getattr__": lambda self, _: lambda *a, **k: self, **{x: lambda self, *_: self for x in ("__call__", "__sub__", "__neg__")}})())
+    similarity.similar_vectors(Rows(), Rows(), threshold=0.9)
+    draw = np.random.default_rng(3)
+
+    def side(left):
+        flat = pa.array(draw.standard_normal(n * width, dtype=np.float32))
+        ids = pa.array(np.arange(n) + (0 if left else n - 10)), pa.nulls(n, pa.int64())
+        return pa.RecordBatch.from_arrays([*(ids if left else ids[::-1]), pa.array([left] * n), pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), flat)], names=["a_id", "b_id", "is_left", "vector"])
+
+    batches = [side(True), side(False)]
+    tracemalloc.start()
+    assert sum(b.num_rows for b in held["run"]((pa.scalar(0), pa.scalar(1)), iter(batches))) == 0
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 2 * n * width * 4 + (55 << 20)
