@@ -33,8 +33,8 @@ def _starts(b: str, k: int) -> str:
 def shingle_sets(lines: DataFrame, k: int) -> DataFrame:
     """line_id, shingles: the distinct hashes, of 32 bits, of each line's shingles of ``k`` UTF-16 characters. ``lines`` is grouped by line_id already."""
     b = lines.select("line_id", F.encode("line", "UTF-16BE").alias("b"))
-    at = b.select("line_id", "b", F.explode(F.expr(_starts("b", k))).alias("i"))
-    return at.select("line_id", F.expr(f"hash(substring(b, i, {2 * k}))").alias("h")).groupBy("line_id").agg(F.collect_set("h").alias("shingles"))
+    # A line's set is made where the line is: as an aggregate of exploded shingles it would sort them all.
+    return b.select("line_id", F.expr(f"array_distinct(transform({_starts('b', k)}, i -> hash(substring(b, i, {2 * k}))))").alias("shingles"))
 
 
 def signatures(lines: DataFrame, k: int, hashes: int) -> DataFrame:
@@ -82,9 +82,8 @@ def sketches(sets: DataFrame) -> DataFrame:
     """
     h = sets.select("line_id", F.explode("shingles").alias("h"))
     h = h.select("line_id", F.expr(f"shiftright(h, 8) & {SKETCH - 1}").alias("word"), F.expr("shiftleft(1L, h & 63)").alias("bit"))
-    words = h.groupBy("line_id", "word").agg(F.bit_xor("bit").alias("bits"), F.count("*").alias("n"))
-    all_ = words.groupBy("line_id").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("at"))  # SKETCH entries at most
-    return all_.select("line_id", "n", *[F.coalesce(F.col("at")[w], F.lit(0)).alias(f"b{w}") for w in range(SKETCH)])
+    words = [F.bit_xor(F.when(F.col("word") == w, F.col("bit")).otherwise(0)).alias(f"b{w}") for w in range(SKETCH)]
+    return h.groupBy("line_id").agg(F.count("*").alias("n"), *words)
 
 
 def _near(percent: int) -> Column:

@@ -5,6 +5,7 @@ import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -570,3 +571,35 @@ def test_topk_repeated_rows(spark):
     q = spark.createDataFrame(rows, "vec_id long, q array<long>")
     got = topk.top_k(q, q.where("vec_id = 0"), k=3).orderBy("rank").collect()
     assert [(r.query_id, r.rank, r.vec_id, r.score) for r in got] == [(0, 1, 1, 3), (0, 2, 2, 2), (0, 3, 3, 1)]
+
+
+def test_tally_holds_few_keys():
+    """Counts of 4-grams, whose memory doesn't grow with the texts of a batch."""
+    import tracemalloc
+
+    draw = random.Random(8)
+    texts = [(draw.choice(["en", "de", None]), " ".join(draw.choice(["ab", "cd", "efg", "h"]) for _ in range(400))) for _ in range(5000)] + [("en", ""), ("x", " ")]
+    plain: dict = {}
+    for lang, text in texts[:200] + texts[-2:]:
+        plain.setdefault(lang, Counter()).update(quality.gram_keys(text).tolist())
+    got = quality.tally(iter(texts[:200] + texts[-2:]))
+    assert {lang: dict(zip(key.tolist(), c.tolist(), strict=True)) for lang, (key, c) in got.items()} == {lang: dict(c) for lang, c in plain.items()}
+    tracemalloc.start()
+    whole = quality.tally(iter(texts))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    chars = sum(int(c.sum()) for _, c in whole.values())
+    assert chars > 4 * quality.HELD and most < 5 * 8 * quality.HELD  # all keys and their sorted copy take twice 8 bytes a character
+
+
+def test_line_sets_need_no_sort(spark):
+    lines = spark.createDataFrame([(1, "abcdefghij" * 3), (2, "short"), (3, "𝒳abcdefgh")], "line_id long, line string")
+    sets = line_dedup.shingle_sets(lines, 8)
+    assert "Aggregate" not in sets._jdf.queryExecution().executedPlan().toString()
+    known = {r.line_id: r for r in line_dedup.sketches(sets).collect()}
+    for r in sets.collect():
+        assert len(set(r.shingles)) == len(r.shingles) == known[r.line_id].n == {1: 10, 2: 1, 3: 3}[r.line_id]
+        words = [0] * line_dedup.SKETCH
+        for h in r.shingles:
+            words[(h >> 8) & (line_dedup.SKETCH - 1)] ^= 1 << (h & 63)
+        assert [known[r.line_id][f"b{w}"] & (2**64 - 1) for w in range(line_dedup.SKETCH)] == words
