@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from .common import forget, stored
 
 ORDER, BITS = 4, 16  # four characters of 16 bits make one long
+HELD = 1 << 20  # characters whose keys a task holds before they are counted
 FOLDS = 4  # of trusted texts, by their hash: copies share a fold
 BROADCAST_IDS = 4_000_000  # trusted ids that may be broadcast (32 MB of longs); more are joined by a shuffle, which texts then go through
 SALTS = 64  # parts of a language where its rows meet its discounts or its limit
@@ -38,17 +39,39 @@ def gram_keys(text: str) -> np.ndarray:
     return key.view(np.int64)
 
 
+def tally(rows: Iterator[tuple[str | None, str]]) -> dict[str | None, tuple[np.ndarray, np.ndarray]]:
+    """By language, the different 4-grams of the texts, in order, and how often each comes; held are no more than these and HELD characters' keys, or one text's."""
+    sums: dict = {}
+    waiting: dict = {}
+    held = 0
+
+    def add() -> None:
+        for lang, keys in waiting.items():
+            key, c = np.unique(np.concatenate(keys), return_counts=True)
+            if lang in sums:
+                key, at = np.unique(np.concatenate([sums[lang][0], key]), return_inverse=True)
+                c = np.bincount(at, weights=np.concatenate([sums[lang][1], c])).astype(np.int64)
+            sums[lang] = key, c.astype(np.int64)
+        waiting.clear()
+
+    for lang, text in rows:
+        keys = gram_keys(text)
+        waiting.setdefault(lang, []).append(keys)
+        held += len(keys)
+        if held >= HELD:
+            add()
+            held = 0
+    add()
+    return sums
+
+
 def _counts(texts: DataFrame) -> DataFrame:
     """lang, key, c: how often each 4-gram comes in all texts of a language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            by: dict = {}
-            for lang, text in zip(batch["lang"].to_pylist(), batch["text"], strict=True):
-                by.setdefault(lang, []).append(gram_keys(text.as_py() or ""))
-            for lang, keys in by.items():
-                key, c = np.unique(np.concatenate(keys), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(key), pa.string()), pa.array(key), pa.array(c.astype(np.int64))], names=["lang", "key", "c"])
+            for lang, (key, c) in tally((lang, text.as_py() or "") for lang, text in zip(batch["lang"].to_pylist(), batch["text"], strict=True)).items():
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(key), pa.string()), pa.array(key), pa.array(c)], names=["lang", "key", "c"])
 
     return texts.mapInArrow(run, "lang string, key long, c long").groupBy("lang", "key").agg(F.sum("c").alias("c"))
 
@@ -150,10 +173,7 @@ def perplexities(docs: DataFrame, model: dict, block_bytes: int = 16 << 20) -> D
     rows = rows.mapInArrow(_packed, "doc_id long, lang string, trusted boolean, text_key long, block long, packed binary")
 
     def types(table: pa.Table) -> pa.Table:
-        by: dict = {}
-        for lang, text in zip(table["lang"].to_pylist(), _unpacked(table), strict=True):
-            by.setdefault(lang, []).append(np.unique(gram_keys(text)))
-        found = [(lang, np.unique(np.concatenate(keys))) for lang, keys in by.items()]
+        found = [(lang, key) for lang, (key, _) in tally(zip(table["lang"].to_pylist(), _unpacked(table), strict=True)).items()]
         block = table["block"][0].as_py()
         return pa.table({
             "block": pa.array([block] * sum(len(k) for _, k in found), pa.int64()),
