@@ -32,9 +32,10 @@ def _starts(b: str, k: int) -> str:
 
 def shingle_sets(lines: DataFrame, k: int) -> DataFrame:
     """line_id, shingles: the distinct hashes, of 32 bits, of each line's shingles of ``k`` UTF-16 characters. ``lines`` is grouped by line_id already."""
-    b = lines.select("line_id", F.encode("line", "UTF-16BE").alias("b"))
-    # A line's set is made where the line is: as an aggregate of exploded shingles it would sort them all.
-    return b.select("line_id", F.expr(f"array_distinct(transform({_starts('b', k)}, i -> hash(substring(b, i, {2 * k}))))").alias("shingles"))
+    # A line's set is made where the line is: as an aggregate of exploded shingles it would sort them all. The outer function hands the line's
+    # bytes to the inner one as a value; as a column they would be copied whole for each shingle.
+    h = f"transform({_starts('b', k)}, i -> hash(substring(b, i, {2 * k})))"
+    return lines.select("line_id", F.expr(f"array_distinct(element_at(transform(array(encode(line, 'UTF-16BE')), b -> {h}), 1))").alias("shingles"))
 
 
 def signatures(lines: DataFrame, k: int, hashes: int) -> DataFrame:

@@ -603,3 +603,15 @@ def test_line_sets_need_no_sort(spark):
         for h in r.shingles:
             words[(h >> 8) & (line_dedup.SKETCH - 1)] ^= 1 << (h & 63)
         assert [known[r.line_id][f"b{w}"] & (2**64 - 1) for w in range(line_dedup.SKETCH)] == words
+
+
+def test_line_sets_take_linear_time(spark):
+    import time
+
+    draw = random.Random(9)
+    long = "".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=400_000))
+    lines = spark.createDataFrame([(1, long), (2, long[:5000])], "line_id long, line string")
+    began = time.time()
+    sizes = dict(line_dedup.shingle_sets(lines, 8).select("line_id", F.size("shingles")).collect())
+    assert time.time() - began < 15  # a copy of the line for each shingle would move 320 GB
+    assert 399_900 < sizes[1] <= 399_993 and sizes[2] == 4993
