@@ -615,3 +615,11 @@ def test_line_sets_take_linear_time(spark):
     sizes = dict(line_dedup.shingle_sets(lines, 8).select("line_id", F.size("shingles")).collect())
     assert time.time() - began < 15  # a copy of the line for each shingle would move 320 GB
     assert 399_900 < sizes[1] <= 399_993 and sizes[2] == 4993
+
+
+def test_stored_tables_free_the_driver(spark, monkeypatch):
+    freed = []
+    monkeypatch.setattr(common, "free_shuffles", freed.append)
+    for _ in range(2 * common.FREED_EVERY):
+        common.forget(common.stored(spark.range(3).toDF("v"), "freed"))
+    assert len(freed) == 2
