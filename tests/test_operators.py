@@ -297,6 +297,40 @@ def test_jaccard_links_meet_by_sketches(spark, monkeypatch):
     assert similarity.jaccard_links(docs.where("id < 0"), "id", "t").count() == 0
 
 
+def test_jaccard_links_travel_once(spark, monkeypatch):
+    """However many blocks a row meets, its sketch lies in one of them and isn't copied for the others; the texts of a group of near copies travel to one place, or to several if they are many."""
+    draw = random.Random(11)
+    texts = []
+    for size, copies in ((30, 12), (60, 9), (200, 7), (40, 1), (45, 1), (80, 40)):
+        t = [draw.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(size * 5)]
+        texts += ["".join([*t[:k], draw.choice("XYZ"), *t[k + 1 :]]) for k in draw.sample(range(size), copies)]
+    grams = [{t.lower()[i : i + 5] for i in range(len(t) - 4)} for t in texts]
+    want = {(i, j): len(a & b) / len(a | b) for i, a in enumerate(grams) for j, b in enumerate(grams) if i < j and len(a & b) >= 0.7 * len(a | b)}
+    name = lambda i: f"k{i:03}"
+    docs = spark.createDataFrame([(name(i), t) for i, t in enumerate(texts)] + [(name(900 + i), t) for i, t in enumerate(texts)], "id string, t string").repartition(3)
+    monkeypatch.setattr(similarity, "SKETCHES", 256)
+    found, plans, stored = {}, [], similarity.written
+
+    def written(df, at):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        found[at] = stored(df, at)
+        return found[at]
+
+    monkeypatch.setattr(similarity, "written", written)
+    monkeypatch.setattr(similarity, "delete", lambda *tables: None)
+    for characters, pairs, keys in ((1 << 22, 1 << 17, 1 << 20), (1 << 11, 1 << 17, 1 << 20), (1 << 22, 20, 10)):
+        monkeypatch.setattr(similarity, "VERIFIED", characters)
+        monkeypatch.setattr(similarity, "PAIRS", pairs)
+        monkeypatch.setattr(similarity, "WANTED", keys)
+        got = similarity.jaccard_links(docs, "id", "t").collect()
+        assert {(r.a, r.b): r.jaccard for r in got} == {(name(i), name(j)): v for (i, j), v in want.items()} and len(got) == len(want) > 700
+        assert not [line for plan in plans for line in plan.splitlines() if "Generate" in line and "sketch" in line]
+        assert found["blocks"].count() > 10 and found["blocks"].select(F.explode("ids")).count() == found["sketches"].count() == len(texts)
+        travels = found["near"].select("p", "q", F.explode(F.array("x", "y")).alias("id")).distinct().count()
+        ends = len({k for pair in want for k in pair})
+        assert travels == ends if (characters, pairs) == (1 << 22, 1 << 17) else ends < travels < 16 * ends
+
+
 def test_nearest(spark):
     a = spark.createDataFrame([(1, [0.0] * 4), (2, [10.0] * 4)], "id int, vector array<double>")
     empty = a.where("id < 0")
